@@ -58,3 +58,8 @@ def checked_join(left: DataFrame, right: DataFrame, on, how: str, rows: int = BR
     `right` is counted here, so pass something cheap to read, such as a checkpoint.
     """
     return left.join(F.broadcast(right) if is_small(right, rows) else right, on, how)
+
+
+def row_key(text: Column, doc: Column) -> list[Column]:
+    """Tells rows apart by content, so it is the same whenever and wherever it is computed."""
+    return [F.xxhash64(doc, text).alias("_row1"), F.xxhash64(text, F.lit(1), doc).alias("_row2")]

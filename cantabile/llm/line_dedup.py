@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantabile.llm.common import ascii_lower, checkpoint, table
+from cantabile.llm.common import ascii_lower, checkpoint, row_key, table
 
 MIN_CHARS, MIN_DOCS = 10, 2
 
@@ -32,15 +32,10 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(" \t\n\x0b\f\r")))
 
 
-def _row_key(text: Column, doc: Column) -> list[Column]:
-    """Tells rows apart by content, so it is the same whenever and wherever it is computed."""
-    return [F.xxhash64(doc, text).alias("_row1"), F.xxhash64(text, F.lit(1), doc).alias("_row2")]
-
-
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs that loses lines: _row1, _row2 (its key) and _drop (0-based positions)."""
     doc, text = F.col(id_col), F.col(text_col)
-    lines = docs.select(doc.alias("_doc"), *_row_key(text, doc), F.posexplode(split_lines(text)).alias("_pos", "_line"))
+    lines = docs.select(doc.alias("_doc"), *row_key(text, doc), F.posexplode(split_lines(text)).alias("_pos", "_line"))
     keys = lines.withColumn("_key", line_key(F.col("_line"))).where(F.length("_key") >= min_chars)
     keys = checkpoint(keys.select("_doc", "_row1", "_row2", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("line"), "_key").alias("_h2")))
     # of each key once per document first: the hot key's documents then meet only as partial counts
@@ -54,7 +49,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """docs with the text column cut, and the columns n_lines (before) and n_dropped."""
     dropped = dropped_lines(docs, min_chars, min_docs, id_col, text_col)
     text = F.coalesce(F.col("_in")[text_col], F.lit(""))
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_in"), *_row_key(F.col(text_col), F.col(id_col)))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_in"), *row_key(F.col(text_col), F.col(id_col)))
     cut = whole.join(dropped, ["_row1", "_row2"], "left").withColumn("_lines", F.split(text, "\n", -1))
     places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     kept = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(F.transform(places, lambda i: F.element_at(F.col("_lines"), i + 1)), "\n"))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from cantabile.llm import bpe, exact_dedup, line_dedup, sharding
-from cantabile.llm.oracles import EXACT_DEDUP, LINE_DEDUP, sharding_sql
+from cantabile.llm import bpe, exact_dedup, jaccard_join, line_dedup, sharding
+from cantabile.llm.oracles import EXACT_DEDUP, JACCARD_JOIN, LINE_DEDUP, sharding_sql
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_sharding": sharding.op2_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
 }
 
 ORACLES = {
     "op2_sharding": sharding_sql(),
     "op5_exact_dedup": EXACT_DEDUP,
     "op6_line_dedup": LINE_DEDUP,
+    "op8_jaccard_join": JACCARD_JOIN,
 }
