@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cantabile.llm import bpe, exact_dedup, jaccard_join, line_dedup, sharding
+from cantabile.llm import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, sharding
 from cantabile.llm.oracles import EXACT_DEDUP, JACCARD_JOIN, LINE_DEDUP, sharding_sql
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLES = {

@@ -22,6 +22,8 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOWER[0x41:0x5B] += np.uint64(32)
 _CUT = re.compile(rb"[\x20\x09-\x0D]")
+#: For word_hashes: only letters, digits and bytes beyond ASCII make words, so punctuation doesn't tell words apart.
+PLAIN = np.asarray([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -43,13 +45,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _hash_words(raw: bytes, white: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and start offsets of the words of at most PIECE bytes (longer words are hashed by themselves)."""
     buf = np.frombuffer(raw, np.uint8)
-    inside = np.concatenate(([False], ~_WHITE[buf], [False]))
+    inside = np.concatenate(([False], ~white[buf], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    if len(buf) > PIECE:  # one word longer than a piece
+    if len(buf) > PIECE:  # a run without white space, longer than a piece, is one word
         total = np.uint64(len(buf))
         for i in range(0, len(buf), PIECE):
             part = _LOWER[buf[i : i + PIECE]]
@@ -59,8 +61,8 @@ def _hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * _INV[starts]), starts
 
 
-def word_hashes(texts: Iterable[str | None]) -> list[np.ndarray]:
-    """For each text the hashes of its words, in order."""
+def word_hashes(texts: Iterable[str | None], white: np.ndarray = _WHITE) -> list[np.ndarray]:
+    """For each text the hashes of its words, in order. white: which bytes separate words; ASCII white space must."""
     out: list[np.ndarray] = []
     held: list[bytes] = []
     size = 0
@@ -68,7 +70,7 @@ def word_hashes(texts: Iterable[str | None]) -> list[np.ndarray]:
     def flush() -> None:
         nonlocal size
         if held:
-            hashes, starts = _hash_words(b" ".join(held))
+            hashes, starts = _hash_words(b" ".join(held), white)
             offsets = np.cumsum([0, *(len(x) + 1 for x in held)])
             out.extend(np.split(hashes, np.searchsorted(starts, offsets[1:-1])))
             held.clear()
@@ -78,7 +80,7 @@ def word_hashes(texts: Iterable[str | None]) -> list[np.ndarray]:
         raw = (text or "").encode("utf-8", "surrogatepass")
         if len(raw) >= PIECE:
             flush()
-            out.append(_long(raw))
+            out.append(_long(raw, white))
         else:
             if size + len(raw) + 1 > PIECE:
                 flush()
@@ -88,7 +90,7 @@ def word_hashes(texts: Iterable[str | None]) -> list[np.ndarray]:
     return out
 
 
-def _long(raw: bytes) -> np.ndarray:
+def _long(raw: bytes, white: np.ndarray) -> np.ndarray:
     parts, start = [], 0
     while start < len(raw):
         stop = start + PIECE
@@ -99,7 +101,7 @@ def _long(raw: bytes) -> np.ndarray:
             back = max((raw.rfind(c, start, stop) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")))
             ahead = _CUT.search(raw, stop) if back <= start else None
             stop = back if back > start else ahead.start() if ahead else len(raw)
-        parts.append(_hash_words(raw[start:stop].strip(b" \t\n\x0b\x0c\r") if stop - start > PIECE else raw[start:stop])[0])
+        parts.append(_hash_words(raw[start:stop].strip(b" \t\n\x0b\x0c\r") if stop - start > PIECE else raw[start:stop], white)[0])
         start = stop
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
