@@ -1,6 +1,6 @@
 """Benchmark passages in documents, exact or paraphrased, by latent semantic retrieval.
 
-1. Texts are words (letters and digits, A-Z lower-cased). Documents are read in windows of two
+1. Texts are lower-cased words (letters and digits). Documents are read in windows of two
    blocks, each block STRIDE words; benchmark items are cut into passages of the same length.
 2. Document frequencies, over the blocks of all documents, are counted for the words of the
    benchmark; they give TF-IDF weights and tell which words are too common to say anything. Each item keeps
@@ -41,7 +41,7 @@ STRIDE = 16
 RANK, EXTRA = 128, 16
 #: Words in a larger share of the blocks are left out, unless they are among an item's RARE rarest.
 MAX_DF, RARE = 0.002, 8
-COSINE, LCS, LCS_ANSWER = 0.35, 0.6, 0.5
+COSINE, LCS, LCS_ANSWER = 0.35, 0.6, 0.55
 #: The answer of an item: its last words, this share of it and so many at least.
 ANSWER, ANSWER_WORDS = 0.15, 3
 ITEMS = 2000
@@ -154,7 +154,7 @@ def read_items(bench: DataFrame, id_col: str = "item_id", text_col: str = "text"
     held: list = []
 
     def made() -> Benchmark:
-        items = word_hashes((r.text for r in held), PLAIN)
+        items = word_hashes((r.text and r.text.lower() for r in held), PLAIN)
         pairs = [(r.id, i) for r, i in zip(held, items, strict=True) if len(i)]
         return Benchmark([p[0] for p in pairs], [p[1] for p in pairs], np.unique(np.concatenate([p[1] for p in pairs])) if pairs else np.zeros(0, np.uint64))
 
@@ -170,7 +170,7 @@ def read_items(bench: DataFrame, id_col: str = "item_id", text_col: str = "text"
 def word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         if batch.num_rows:
-            yield batch, word_hashes(batch.column("text").to_pylist(), PLAIN)
+            yield batch, word_hashes((t and t.lower() for t in batch.column("text").to_pylist()), PLAIN)
 
 
 def weigh(docs: DataFrame, bench: Benchmark) -> Benchmark:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from cantabile.llm import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, sharding
-from cantabile.llm.oracles import EXACT_DEDUP, JACCARD_JOIN, LINE_DEDUP, sharding_sql
+from cantabile.llm import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, sharding, token_files, warc
+from cantabile.llm.oracles import EXACT_DEDUP, JACCARD_JOIN, LINE_DEDUP, WARC, sharding_sql
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_sharding": sharding.op2_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_token_files": token_files.op7_token_files,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_warc": warc.op9_warc,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
@@ -19,4 +21,5 @@ ORACLES = {
     "op5_exact_dedup": EXACT_DEDUP,
     "op6_line_dedup": LINE_DEDUP,
     "op8_jaccard_join": JACCARD_JOIN,
+    "op9_warc": WARC,
 }
