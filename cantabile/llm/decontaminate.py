@@ -29,12 +29,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantabile.llm.common import checkpoint, small_batches, table
+from cantabile.llm.matrices import summed
 from cantabile.llm.shingles import PLAIN, word_hashes
 
 STRIDE = 16
@@ -45,8 +45,6 @@ COSINE, LCS, LCS_ANSWER = 0.35, 0.6, 0.55
 #: The answer of an item: its last words, this share of it and so many at least.
 ANSWER, ANSWER_WORDS = 0.15, 3
 ITEMS = 2000
-#: Words to a row of partial sums, and first-step groups they are summed in.
-CHUNK, SALTS = 64, 256
 
 
 @dataclass
@@ -205,28 +203,12 @@ def gram_times(docs: DataFrame, bench: Benchmark, x: np.ndarray) -> np.ndarray:
     """A'(A x), A having a row for each window of all documents."""
     n, width = x.shape
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        out = np.zeros((n, width), np.float32)
+    def part(batches: Iterator[pa.RecordBatch], out: np.ndarray) -> None:
         for _, words in word_batches(batches):
             w, _ = windows(words, bench)
             w.transposed(w.times(x), out)
-        chunks = [(i, out[i * CHUNK : (i + 1) * CHUNK]) for i in range(-(-n // CHUNK))]
-        chunks = [(i, c.tobytes()) for i, c in chunks if c.any()]
-        salt = TaskContext.get().partitionId() % SALTS
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([i for i, _ in chunks], pa.int64()), "salt": pa.array([salt] * len(chunks), pa.int64()), "sums": pa.array([c for _, c in chunks], pa.binary())})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(s, np.float32).astype(np.float64) for s in pdf["sums"])
-        return pd.DataFrame({"chunk": pdf["chunk"][:1], "salt": pdf["salt"][:1], "sums": [total.astype(np.float32).tobytes()]})
-
-    schema = "chunk long, salt long, sums binary"
-    sums = docs.select("text").mapInArrow(part, schema).groupBy("chunk", "salt").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema)
-    out = np.zeros((n, width))
-    for r in sums.select("chunk", "sums").toLocalIterator():
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.sums, np.float32).reshape(-1, width)
-    return out
+
+    return summed(docs.select("text"), n, width, part)
 
 
 def singular_vectors(docs: DataFrame, bench: Benchmark, rank: int = RANK, seed: int = 7) -> np.ndarray:

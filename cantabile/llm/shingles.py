@@ -26,14 +26,14 @@ _CUT = re.compile(rb"[\x20\x09-\x0D]")
 PLAIN = np.asarray([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-_POW = _powers(_BASE, PIECE + 1)
-_INV = _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), PIECE + 1)
+_POW = powers(_BASE, PIECE + 1)
+_INV = powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), PIECE + 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
