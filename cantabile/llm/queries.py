@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cantabile.llm import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, sharding, token_files, warc
+from cantabile.llm import bpe, decontaminate, exact_dedup, jaccard_join, language, line_dedup, quality, sharding, token_files, warc
 from cantabile.llm.oracles import EXACT_DEDUP, JACCARD_JOIN, LINE_DEDUP, WARC, sharding_sql
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_sharding": sharding.op2_sharding,
+    "op3_quality": quality.op3_quality,
+    "op4_language": language.op4_language,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_token_files": token_files.op7_token_files,
