@@ -11,7 +11,9 @@ The join is a prefix filter with set relations used to skip work:
 * First the sets of an index list are compared only with the list's hub, the set with the fewest
   shingles of its own: the copies of a text fall into one component in a number of comparisons that
   is linear in their number.
-* Then only links between different components matter. Index lists are cut into blocks by set
+* Then only links between different components matter. The sets whose lists still mix components, and
+  no others, are indexed again by all their shingles, now with exact counts among them: a shingle that one component alone
+  has can't be part of such a link, and comes before all others. Index lists are cut into blocks by set
   size and position. A pair of blocks is skipped whole if it lies in one component, or if the
   shingles left behind its positions can't reach the overlap its sizes ask for.
 * For the pairs that remain, the answer of a set highly similar to each (its hub) is computed
@@ -46,6 +48,10 @@ from cantabile.llm.shingles import K, mix, overlap, shingle_sets
 PERCENT = 80
 #: Share of all shingles with exact counts, as a multiple of the prefix's share of a set.
 ZONE = 1.25
+#: Width of the classes of size and position that blocks of an index list are made of, as a share.
+STEP = 0.02
+#: Rounds of comparing with hubs, at most, before pairs between components are listed.
+TURNS = 3
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -81,6 +87,17 @@ def sketch(text: Column, k: int, percent: int) -> Column:
     return _sketch(text)
 
 
+def all_shingles(text: Column, k: int) -> Column:
+    """The whole set as array<long>."""
+
+    @F.arrow_udf("array<long>")
+    def _all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([s.view(np.int64) for s in shingle_sets(batch.to_pylist(), k)], pa.list_(pa.int64()))
+
+    return _all(text)
+
+
 def _overlap(k: int):
     @F.arrow_udf("long")
     def both(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -132,13 +149,16 @@ class SetJoin:
         )
         return checkpoint(out.select("_e.token", "sid", "n", "own", (F.greatest("_before", F.lit(0)) + F.col("_i")).alias("pos")))
 
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """Adds _text, a text of the set, to rows with distinct sid."""
+        known = checkpoint(wanted.join(self.sets.select("sid", "n", "_row1", "_row2"), "sid"))
+        # rows that agree in id and text are one row here
+        return checked_join(self.source.select("_row1", "_row2", "_text"), known, ["_row1", "_row2"], "inner").drop("_row1", "_row2").dropDuplicates(["sid"])
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Adds n_a, n_b and inter to distinct pairs (a, b) of sets, from their whole texts."""
         pairs = checkpoint(pairs)
-        wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(self.sets.select("sid", "n", "_row1", "_row2"), "sid")
-        wanted = checkpoint(wanted)
-        # rows that agree in id and text are one row here
-        texts = checked_join(self.source.select("_row1", "_row2", "_text"), wanted, ["_row1", "_row2"], "inner").select("sid", "n", "_text").dropDuplicates(["sid"])
+        texts = self.texts(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
         side = lambda s: texts.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("_text").alias(f"_text_{s}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return checkpoint(both.select("a", "b", "n_a", "n_b", _overlap(self.k)("_text_a", "_text_b").alias("inter")))
@@ -150,32 +170,70 @@ class SetJoin:
         """SQL: sizes allow a link, and so do the shingles from these positions on, if this is the first that both have."""
         return f"least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {_needed(f'{a}.n', f'{b}.n', self.percent)}"
 
+    def stars(self, entries: DataFrame, turn: int, apart: str) -> DataFrame:
+        """Pairs (a, b) of a set and the hub of an index list that both are in; apart: SQL, which pairs of x and h to look at.
+
+        The hub is the set with the fewest shingles of its own, in later turns any.
+        """
+        rank = F.col("own") if turn == 0 else F.xxhash64(F.lit(turn), "sid")
+        hubs = entries.groupBy("token").agg(F.min(F.struct(rank.alias("_rank"), *(c for c in entries.columns if c != "token"))).alias("h"), F.count("*").alias("_c")).where("_c > 1").select("token", "h.*")
+        met = entries.alias("x").join(hubs.alias("h"), "token").where(apart).where(self._may_link("x", "h"))
+        return met.select(F.col("x.sid").alias("a"), F.col("h.sid").alias("b")).distinct()
+
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links (a, b) that connect what the join connects, and (node, root): the components they make."""
         index = self.index()
-        hubs = index.groupBy("token").agg(F.min(F.struct("own", "sid", "n", "pos")).alias("h"), F.count("*").alias("_c")).where("_c > 1").select("token", "h.*")
-        star = index.alias("x").join(hubs.alias("h"), "token").where("x.sid <> h.sid").where(self._may_link("x", "h"))
-        stars = self.verified(star.select(F.col("x.sid").alias("a"), F.col("h.sid").alias("b")).distinct())
-        good = stars.where(self.reaches())
+        tested = self.verified(self.stars(index, 0, "x.sid <> h.sid"))
+        good = tested.where(self.reaches())
         found = checkpoint(components(good.select("a", "b")))
-        cross = self.across(index, found, stars)
+        entries = checkpoint(self.crossing(index, found))
+        for turn in range(TURNS):
+            if entries.isEmpty():
+                return good.select("a", "b"), found
+            more = self.verified(self.stars(entries, turn, "x.root <> h.root").join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+            fresh = more.where(self.reaches())
+            tested = tested.union(more)
+            if fresh.isEmpty():
+                break
+            good = good.union(fresh)
+            found = checkpoint(components(good.select("a", "b")))
+            entries = checkpoint(self.rooted(entries.drop("root"), found))
+        cross = self.across(entries, tested)
         if cross.isEmpty():
             return good.select("a", "b"), found
-        more = self.derived(cross, good)
-        links = good.select("a", "b").union(more)
+        links = good.select("a", "b").union(self.derived(cross, good))
         return links, checkpoint(components(links))
 
-    def across(self, index: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
-        """Candidates (a, n_a, b, n_b) between different components that have not been compared yet, by way of blocks."""
-        where = index.join(found.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    def rooted(self, entries: DataFrame, found: DataFrame) -> DataFrame:
+        """Entries with the root of their component, of the lists that mix components."""
+        where = entries.join(found.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         mixed = where.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("token")
-        # sets that may link differ by one size class at most
-        step = math.log(100 / self.percent)
-        entries = where.join(mixed, "token").withColumn("size", F.floor(F.log("n") / step)).withColumn("part", F.floor(10 * (F.col("n") - F.col("pos")) / F.col("n")))
-        entries = checkpoint(entries.select("token", "size", "part", "sid", "root", "n", "pos"))
+        return where.join(mixed, "token")
+
+    def crossing(self, index: DataFrame, found: DataFrame) -> DataFrame:
+        """Entries (token, sid, root, n, own, pos) for links between components: of each set the part of its prefix that other components have too.
+
+        A set's shingles that no other component has come first, so pos counts them.
+        """
+        asked = self.rooted(index.select("token", "sid"), found).groupBy("sid").agg(F.first("root").alias("root"))
+        sets = checkpoint(self.texts(asked).select("sid", "root", "n", all_shingles(F.col("_text"), self.k).alias("_all")))
+        entries = sets.select("sid", "root", F.explode("_all").alias("token"))
+        counts = entries.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_count")).where("_lo < _hi").select("token", "_count")
+        shared = entries.join(counts, "token").groupBy("sid").agg(F.first("root").alias("root"), F.collect_list(F.struct("_count", "token")).alias("_shared"))
+        prefix = f"n - (n * {self.percent} + 99) div 100 + 1"
+        ranked = shared.join(self.sets.select("sid", "n"), "sid").withColumn("own", F.col("n") - F.size("_shared")).withColumn("_left", F.expr(f"cast({prefix} - own as int)")).where("_left > 0")
+        out = ranked.select("sid", "root", "n", "own", F.posexplode(F.slice(F.sort_array("_shared"), F.lit(1), F.col("_left"))).alias("_i", "_e"))
+        return out.select("_e.token", "sid", "root", "n", "own", (F.col("own") + F.col("_i")).alias("pos"))
+
+    def across(self, entries: DataFrame, tested: DataFrame) -> DataFrame:
+        """Candidates (a, n_a, b, n_b) between different components that have not been compared yet, by way of blocks."""
+        # sets that may link are so many size classes apart at most
+        reach = math.ceil(math.log(100 / self.percent) / STEP)
+        entries = entries.withColumn("size", F.floor(F.log("n") / STEP)).withColumn("part", F.floor((F.col("n") - F.col("pos")) / F.col("n") / STEP))
+        entries = checkpoint(entries)
         blocks = entries.groupBy("token", "size", "part").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         other = blocks.select("token", F.col("size").alias("size_b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-        near = blocks.withColumn("size_b", F.explode(F.array(F.col("size"), F.col("size") + 1)))
+        near = blocks.withColumn("size_b", F.explode(F.sequence(F.col("size"), F.col("size") + reach)))
         pairs = (
             near.join(other, ["token", "size_b"])
             .where("size < size_b or part <= part_b")
