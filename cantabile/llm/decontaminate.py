@@ -9,7 +9,8 @@
    part of A'(A X), the parts are summed in two shuffled steps, and only words x rank numbers reach the
    driver. Once with a random X, once with the orthonormal basis of what that gave.
 4. Windows and passages are projected on the singular vectors; pairs with a cosine of at least COSINE
-   are candidates.
+   are candidates, if the words they share outright give a cosine of SHARED: a low rank brings
+   unrelated windows together too.
 5. For a candidate the longest common subsequence of the item's words and those around the window
    is taken. The document holds the item if that covers LCS of the item, or LCS_ANSWER of it and the
    item's answer (its last words) is there in order too.
@@ -38,13 +39,15 @@ from cantabile.llm.matrices import summed
 from cantabile.llm.shingles import PLAIN, word_hashes
 
 STRIDE = 16
-RANK, EXTRA = 128, 16
+RANK, EXTRA = 64, 16
 #: Words in a larger share of the blocks are left out, unless they are among an item's RARE rarest.
 MAX_DF, RARE = 0.002, 8
-COSINE, LCS, LCS_ANSWER = 0.35, 0.6, 0.55
+#: Different words that count in a window that is looked at, unless a passage has fewer itself.
+LEAST = 3
+COSINE, SHARED, LCS, LCS_ANSWER = 0.25, 0.3, 0.6, 0.55
 #: The answer of an item: its last words, this share of it and so many at least.
 ANSWER, ANSWER_WORDS = 0.15, 3
-ITEMS = 2000
+ITEMS = 500
 
 
 @dataclass
@@ -55,6 +58,8 @@ class Benchmark:
     items: list[np.ndarray]
     words: np.ndarray
     idf: np.ndarray | None = None
+    #: Different words that count which a window must have to be looked at.
+    least: int = 1
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the words that count, and their numbers."""
@@ -78,19 +83,33 @@ class Windows:
     key: np.ndarray
 
     def times(self, x: np.ndarray) -> np.ndarray:
-        if not len(self.key):
-            return np.zeros((0, x.shape[1]), np.float32)
-        starts = np.flatnonzero(np.concatenate(([True], self.row[1:] != self.row[:-1])))
-        return np.add.reduceat(x[self.word] * self.weight[:, None], starts, axis=0)
+        out = np.zeros((len(self.key), x.shape[1]), np.float32)
+        place = np.arange(len(self.row)) - self.starts()[self.row] if len(self.row) else self.row
+        for nth in range(int(place.max(initial=-1)) + 1):  # the first word of each window, the second, ...
+            at = np.flatnonzero(place == nth)
+            out[self.row[at]] += x[self.word[at]] * self.weight[at, None]
+        return out
+
+    def starts(self) -> np.ndarray:
+        return np.searchsorted(self.row, np.arange(len(self.key)))
 
     def transposed(self, y: np.ndarray, out: np.ndarray) -> None:
         """Adds A'y to out."""
-        if not len(self.key):
-            return
-        order = np.argsort(self.word, kind="stable")
-        word = self.word[order]
-        starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        out[word[starts]] += np.add.reduceat(y[self.row[order]] * self.weight[order][:, None], starts, axis=0)
+        each = np.ascontiguousarray(y.T)
+        for j in range(y.shape[1]):
+            out[:, j] += np.bincount(self.word, each[j][self.row] * self.weight, len(out))
+
+    def cosines(self, i: np.ndarray, dense: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of windows i with the rows j of unit vectors."""
+        starts = self.starts()
+        n = np.append(starts[1:], len(self.row))[i] - starts[i]
+        pair = np.repeat(np.arange(len(i)), n)
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[i], n)
+        return np.bincount(pair, self.weight[entry] * dense[j[pair], self.word[entry]], len(i))
+
+    def some(self, begin: int, end: int) -> Windows:
+        a, b = np.searchsorted(self.row, (begin, end))
+        return Windows(self.row[a:b] - begin, self.word[a:b], self.weight[a:b], self.key[begin:end])
 
 
 def blocks_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +120,9 @@ def blocks_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first[:-1], n) + inside // STRIDE, first
 
 
-def windows(docs: list[np.ndarray], bench: Benchmark, least: int = 2) -> tuple[Windows, np.ndarray]:
+def windows(docs: list[np.ndarray], bench: Benchmark, least: int | None = None) -> tuple[Windows, np.ndarray]:
     """The windows of a batch with at least `least` different words that count, and each document's first block."""
+    least = bench.least if least is None else least
     block, first = blocks_of(docs)
     pos, word = bench.find(np.concatenate(docs) if docs else np.zeros(0, np.uint64))
     here = block[pos]
@@ -196,7 +216,9 @@ def weigh(docs: DataFrame, bench: Benchmark) -> Benchmark:
     for item in bench.items:
         at = np.unique(np.searchsorted(bench.words, item))
         keep[at[np.argsort(df[at], kind="stable")[:RARE]]] = True
-    return Benchmark(bench.ids, bench.items, bench.words[keep], np.log1p(total / np.maximum(1, df[keep])))
+    words = bench.words[keep]
+    shortest = min(len(np.intersect1d(p, words)) for item in bench.items for p in cut(item))
+    return Benchmark(bench.ids, bench.items, words, np.log1p(total / np.maximum(1, df[keep])), max(1, min(LEAST, shortest)))
 
 
 def gram_times(docs: DataFrame, bench: Benchmark, x: np.ndarray) -> np.ndarray:
@@ -232,33 +254,32 @@ def matches(docs: DataFrame, bench: Benchmark, vectors: np.ndarray, schema: str)
     flat = [p for c in cuts for p in c]
     own, first = windows(flat, bench, 1)
     # a passage's first block names the window that is the whole passage
-    projected = own.times(vectors)
-    at = {int(k): i for i, k in enumerate(own.key)}
-    query = np.zeros((len(flat), vectors.shape[1]), np.float32)
-    for i, f in enumerate(first[:-1].tolist()):
-        if f in at:
-            query[i] = projected[at[f]]
-    query = unit(query)
+    at = np.minimum(np.searchsorted(own.key, first[:-1]), max(0, len(own.key) - 1))
+    ok = own.key[at] == first[:-1] if len(own.key) else np.zeros(len(flat), bool)
+    dense = np.zeros((len(own.key), len(bench.words)), np.float32)
+    dense[own.row, own.word] = own.weight
+    dense, owner = dense[at[ok]], owner[ok]
+    query = unit(dense @ vectors)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in word_batches(batches):
-            w, first = windows(words, bench)
+            every, first = windows(words, bench)
             best: dict[tuple[int, int], tuple] = {}
-            for begin in range(0, len(w.key), 4096):  # the cosines of so many windows at a time
-                some = slice(begin, begin + 4096)
-                rows = (w.row >= begin) & (w.row < begin + 4096)
-                part = Windows(w.row[rows] - begin, w.word[rows], w.weight[rows], w.key[some])
-                cosine = unit(part.times(vectors)) @ query.T
-                for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                    key = int(part.key[i])
-                    doc = int(np.searchsorted(first, key, "right")) - 1
-                    item = bench.items[owner[j]]
-                    start = (key - int(first[doc])) * STRIDE
-                    around = words[doc][max(0, start - len(item)) : start + 2 * STRIDE + len(item)]
+            for begin in range(0, len(every.key), 4096):  # the cosines of so many windows at a time
+                w = every.some(begin, begin + 4096)
+                latent = unit(w.times(vectors)) @ query.T
+                i, j = np.nonzero(latent >= COSINE)
+                near = w.cosines(i, dense, j) >= SHARED
+                i, j = i[near], j[near]
+                doc = np.searchsorted(first, w.key[i], "right") - 1
+                for x, y, d in zip(i.tolist(), j.tolist(), doc.tolist(), strict=True):
+                    item = bench.items[owner[y]]
+                    start = (int(w.key[x]) - int(first[d])) * STRIDE
+                    around = words[d][max(0, start - len(item)) : start + 2 * STRIDE + len(item)]
                     share, answer = holds(item, around)
                     if share >= LCS or share >= LCS_ANSWER and answer:
-                        found = (share, answer, float(cosine[i, j]))
-                        best[doc, int(owner[j])] = max(found, best.get((doc, int(owner[j])), found))
+                        found = (share, answer, float(latent[x, y]))
+                        best[d, int(owner[y])] = max(found, best.get((d, int(owner[y])), found))
             if best:
                 at_doc = pa.array([d for d, _ in best], pa.int64())
                 yield pa.RecordBatch.from_arrays(
