@@ -28,7 +28,6 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -46,7 +45,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 0
 BLOCK = 1 << 16
 #: Texts between spaces that a worker remembers.
-MEMORY = 600_000
+MEMORY = 1_200_000
 _ODD = re.compile(r"\s ")
 
 
@@ -62,33 +61,65 @@ def tokenizer(path: str):
     return t
 
 
-_known: dict[str, dict[str, tuple[int, ...]]] = {}
+class Memory(dict):
+    """What a worker has tokenised: a number for each text between spaces, and its ids in one long array."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.tokenizer = tokenizer(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, part: str) -> int:
+        self[part] = number = len(self)
+        self.new.append(part)
+        return number
+
+    def learn(self) -> None:
+        for i in range(0, len(self.new), 20_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.new[i : i + 20_000], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+            self.sizes = np.concatenate((self.sizes, sizes))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))))
+        self.new.clear()
+
+    def tokenize(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, the same as the tokenizer's for the whole text."""
+        if len(self) > MEMORY or len(self.ids) > 8 * MEMORY:
+            self.forget()
+        parts: list[str] = []
+        counts = []
+        for text in texts:
+            before = len(parts)
+            if _ODD.search(text):
+                # here a space may belong to the white space before it
+                parts.extend(spans(text))
+            else:
+                first, *rest = text.split(" ")
+                parts.append(first)
+                parts.extend([" " + x for x in rest])
+            counts.append(len(parts) - before)
+        number = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+        self.learn()
+        sizes = self.sizes[number]
+        stops = np.cumsum(sizes)
+        ids = self.ids[np.arange(stops[-1] if len(stops) else 0) + np.repeat(self.starts[number] - stops + sizes, sizes)]
+        ends = np.cumsum(counts)[:-1]
+        return np.split(ids, np.concatenate(([0], stops))[ends])
+
+
+_memories: dict[str, Memory] = {}
 
 
 def tokenize(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text, the same as the tokenizer's for the whole text."""
-    t = tokenizer(path)
-    known = _known.setdefault(path, {})
-    if len(known) > MEMORY:
-        known.clear()
-    cut: list[list[str]] = []
-    for text in texts:
-        if _ODD.search(text):
-            # here a space may belong to the white space before it
-            cut.append([text] if len(text) < 1 << 16 else list(spans(text)))
-        else:
-            first, *rest = text.split(" ")
-            cut.append([first, *[" " + x for x in rest]])
-    new = [x for x in dict.fromkeys(chain.from_iterable(cut)) if x not in known]
-    once = {}
-    for i in range(0, len(new), 5000):
-        some = new[i : i + 5000]
-        for x, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            (known if len(x) <= 64 else once)[x] = tuple(e.ids)
-    get = lambda x: known[x] if x in known else once[x]
-    if once:
-        return [np.fromiter(chain.from_iterable(map(get, c)), np.uint32) for c in cut]
-    return [np.fromiter(chain.from_iterable(map(known.__getitem__, c)), np.uint32) for c in cut]
+    if path not in _memories:
+        _memories[path] = Memory(path)
+    return _memories[path].tokenize(texts)
 
 
 def width(vocabulary: int) -> int:
