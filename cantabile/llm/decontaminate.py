@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantabile.llm.common import checkpoint, small_batches, table
+from cantabile.llm.common import checked_join, checkpoint, small_batches, table
 from cantabile.llm.matrices import summed
 from cantabile.llm.shingles import PLAIN, word_hashes
 
@@ -316,7 +316,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark item; a null doc_id stays."""
     found = checkpoint(contaminated(docs, benchmark).select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return checked_join(docs, found, "doc_id", "left_anti").select(docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,2 +1,71 @@
-"""placeholder"""
-def run(spark, sf_dir): raise NotImplementedError
+"""From raw documents to token ids, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; `run` writes it to the shared folder
+and reads it back as the next stage's docs, so no stage is computed twice and a lost executor
+costs no more than its tasks. All but the last keep the columns of documents.
+
+What each decides: documents without a recognisable language go; lines that other documents hold
+too are cut from all but one; of documents that are near copies of each other the one with the smallest id stays; documents that
+hold a benchmark item go; what remains is encoded. n_chars follows the text. Rows with equal ids are kept or
+dropped together, save that of rows equal in every column one is kept by the third stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cantabile.llm import bpe, decontaminate, jaccard_join, language, line_dedup
+from cantabile.llm.common import checked_join, checkpoint, shared_path, small_batches, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in which a language was recognised; lang stays as it came, and is filled in where it is null."""
+    model = language.train(docs)
+    small_batches(spark)
+    found = docs.withColumn("_found", language.predict(F.col("text"), model)["lang_pred"]).where("_found <> 'und'")
+    return found.withColumn("lang", F.coalesce("lang", "_found")).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    members = jaccard_join.similar_components(docs)
+    gone = checkpoint(members.where("component_id <> doc_id").select("doc_id").distinct())
+    # ids without a component of their own: usually few; joined by shuffle where a count says otherwise
+    kept = checked_join(docs, gone, "doc_id", "left_anti")
+    return kept.select(docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) and ids_sha256."""
+    out = bpe.with_tokens(docs.select("doc_id", "text"))
+    return out.select("doc_id", bpe.n_ids(F.col("ids")).alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("lines", drop_repeated_lines),
+    ("near_copies", keep_one_of_near_copies),
+    ("benchmark", drop_benchmark_leaks),
+    ("tokens", encode),
+]
+
+#: SQL can express neither language identification nor BPE; tests hold `run` against brute force instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    root = shared_path(spark, "pipeline")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
+    return docs
