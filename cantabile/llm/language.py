@@ -18,6 +18,7 @@ gives an empty result; extra columns pass through, save lang_pred and score, whi
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from cantabile.llm.common import checkpoint, small_batches, table
 from cantabile.llm.matrices import summed
+from cantabile.llm.shingles import mix, powers
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -41,7 +43,8 @@ LONGEST = 32
 #: Probability of a letter that isn't a piece, and what is added to every expected count.
 UNKNOWN, SMOOTH = 1e-7, 0.01
 #: Words that a worker remembers.
-MEMORY = 500_000
+MEMORY = 1_000_000
+POWERS = powers(np.uint64(0x9E3779B97F4A7C15), LONGEST)
 _WORD = regex.compile(r"\p{L}+")
 
 
@@ -64,87 +67,115 @@ def units(word: str) -> list[str]:
     return [marked[i : i + LONGEST] for i in range(0, len(marked), LONGEST)]
 
 
-@dataclass
+class Finder:
+    """The numbers of pieces by the hashes of their letters, looked up for whole arrays at a time."""
+
+    def __init__(self, known: dict[str, int]) -> None:
+        self.n = len(known)
+        self.longest = max(map(len, known), default=1)
+        self.hashes = np.zeros(self.n, np.uint64)
+        for length in range(1, self.longest + 1):
+            some = [k for k in known if len(k) == length]
+            if some:
+                self.hashes[[known[k] for k in some]] = list(substrings(letters(some)))[-1][1][:, 0]
+        self.order = np.argsort(self.hashes)
+        self.sorted = self.hashes[self.order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The piece of each hash, n + 1 where there is none."""
+        out = np.full(hashes.shape, self.n + 1, np.int32)
+        at = np.nonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
+        asked = hashes[at]
+        place = np.minimum(np.searchsorted(self.sorted, asked), self.n - 1)
+        out[at] = np.where(self.sorted[place] == asked, self.order[place], self.n + 1)
+        return out
+
+
+def letters(same_length: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(same_length).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(same_length), -1).astype(np.uint64)
+
+
+def substrings(codes: np.ndarray, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length the hashes of the substrings that begin at each place."""
+    h = np.zeros_like(codes)
+    for length in range(1, min(longest, codes.shape[1]) + 1):
+        n = codes.shape[1] - length + 1
+        h = h[:, :n] + (codes[:, length - 1 :] + np.uint64(1)) * POWERS[length - 1]
+        yield length, mix(h + np.uint64(length))
+
+
 class Lattice:
-    """All pieces in all of some units: piece[i] leads from place begin[i] to end[i] of unit[i]; sorted by end, then unit. The number of pieces stands for a letter that isn't one."""
-
-    n: int
-    lengths: np.ndarray
-    unit: np.ndarray
-    begin: np.ndarray
-    end: np.ndarray
-    piece: np.ndarray
-
-    @classmethod
-    def of(cls, unit_list: list[str], known: dict[str, int]) -> Lattice:
-        most = max(map(len, known), default=1)
-        rows: list[tuple[int, int, int, int]] = []
-        for u, s in enumerate(unit_list):
-            n = len(s)
-            for i in range(n):
-                single = True
-                for j in range(i + 1, min(n, i + most) + 1):
-                    p = known.get(s[i:j])
-                    if p is not None:
-                        rows.append((j, u, i, p))
-                        single = single and j > i + 1
-                if single:
-                    rows.append((i + 1, u, i, len(known)))
-        flat = np.asarray(sorted(rows), np.int64).reshape(-1, 4)
-        return cls(len(unit_list), np.asarray([len(s) for s in unit_list], np.int64), flat[:, 1], flat[:, 2], flat[:, 0], flat[:, 3])
+    """All pieces in units of one length: at[l][u, b] is the piece of l letters that begins at place b of unit u.
+
+    Numbers beyond the pieces: n for a letter that isn't one, n + 1 for nothing; p has a row for each.
+    """
+
+    def __init__(self, same_length: list[str], finder: Finder) -> None:
+        codes = letters(same_length)
+        self.length = codes.shape[1]
+        self.at = {length: finder.find(h) for length, h in substrings(codes, finder.longest)}
+        self.at[1][self.at[1] == finder.n + 1] = finder.n
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """alpha[unit, place, language]: summed probability of all ways to the place."""
-        alpha = np.zeros((self.n, LONGEST + 1, p.shape[1]))
+        alpha = np.zeros((len(self.at[1]), self.length + 1, p.shape[1]))
         alpha[:, 0] = 1
-        stops = np.searchsorted(self.end, np.arange(LONGEST + 2))
-        for e in range(1, LONGEST + 1):
-            s = slice(stops[e], stops[e + 1])
-            if s.start == s.stop:
-                continue
-            unit = self.unit[s]
-            starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-            alpha[unit[starts], e] = np.add.reduceat(alpha[unit, self.begin[s]] * p[self.piece[s]], starts, axis=0)
+        for e in range(1, self.length + 1):
+            for length in range(1, min(e, max(self.at)) + 1):
+                alpha[:, e] += alpha[:, e - length] * p[self.at[length][:, e - length]]
         return alpha
 
     def totals(self, p: np.ndarray) -> np.ndarray:
-        return self.forward(p)[np.arange(self.n), self.lengths]
+        return self.forward(p)[:, -1]
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, for counts[unit, language]."""
-        alpha = self.forward(p)
+        alpha, n = self.forward(p), self.length
         beta = np.zeros_like(alpha)
-        beta[np.arange(self.n), self.lengths] = 1
-        order = np.lexsort((self.unit, self.begin))
-        unit, begin, end, piece = self.unit[order], self.begin[order], self.end[order], self.piece[order]
-        stops = np.searchsorted(begin, np.arange(LONGEST + 2))
-        for b in range(LONGEST - 1, -1, -1):
-            s = slice(stops[b], stops[b + 1])
-            if s.start == s.stop:
-                continue
-            starts = np.flatnonzero(np.concatenate(([True], unit[s][1:] != unit[s][:-1])))
-            sums = np.add.reduceat(beta[unit[s], end[s]] * p[piece[s]], starts, axis=0)
-            at = unit[s][starts]
-            beta[at, b] += sums
-        weight = alpha[self.unit, self.begin] * p[self.piece] * beta[self.unit, self.end] * (counts / self.forward_total(alpha))[self.unit]
-        return np.stack([np.bincount(self.piece, weight[:, j], p.shape[0]) for j in range(p.shape[1])], axis=1)
+        beta[:, n] = 1
+        for b in range(n - 1, -1, -1):
+            for length in range(1, min(n - b, max(self.at)) + 1):
+                beta[:, b] += beta[:, b + length] * p[self.at[length][:, b]]
+        share = counts / np.maximum(alpha[:, n], 1e-300)
+        out = np.zeros_like(p)
+        for length, at in self.at.items():
+            weight = alpha[:, : n - length + 1] * p[at] * beta[:, length:] * share[:, None]
+            for j in range(p.shape[1]):
+                out[:, j] += np.bincount(at.reshape(-1), weight[:, :, j].reshape(-1), len(p))
+        return out
+
+
+def by_length(unit_list: list[str], at_once: int = 20_000) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Positions and units of one length, at most so many at once."""
+    sizes = np.fromiter(map(len, unit_list), np.int64, len(unit_list))
+    for n in np.unique(sizes):
+        where = np.flatnonzero(sizes == n)
+        for i in range(0, len(where), at_once):
+            some = where[i : i + at_once]
+            yield some, [unit_list[k] for k in some.tolist()]
 
-    def forward_total(self, alpha: np.ndarray) -> np.ndarray:
-        return np.maximum(alpha[np.arange(self.n), self.lengths], 1e-300)
+
+@lru_cache(maxsize=2)
+def finder(path: str) -> Finder:
+    return Finder(pieces(path))
 
 
 @dataclass
 class Model:
-    """languages, and p[piece, language] with a last row for letters that aren't pieces."""
+    """languages, and p[piece, language] with two more rows: for letters that aren't pieces, and zeros."""
 
     path: str
     languages: list[str]
     p: np.ndarray
+    name: str = ""
 
     def logs(self, unit_list: list[str]) -> np.ndarray:
-        known = pieces(self.path)
-        out = [np.log(np.maximum(Lattice.of(unit_list[i : i + 5000], known).totals(self.p), 1e-300)) for i in range(0, len(unit_list), 5000)]
-        return np.concatenate(out) if out else np.zeros((0, len(self.languages)))
+        out = np.zeros((len(unit_list), len(self.languages)))
+        for at, some in by_length(unit_list):
+            out[at] = np.log(np.maximum(Lattice(some, finder(self.path)).totals(self.p), 1e-300))
+        return out
 
 
 class Scorer:
@@ -178,12 +209,19 @@ class Scorer:
         return names, scores
 
 
+#: The scorer of the model in use, kept while the worker lives.
+_scorers: dict[str, Scorer] = {}
+
+
 def predict(text: Column, model: Model) -> Column:
     """A struct (lang_pred, score) for a text column."""
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def _predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(model)
+        if model.name not in _scorers:
+            _scorers.clear()
+            _scorers[model.name] = Scorer(model)
+        scorer = _scorers[model.name]
         for batch in batches:
             names, scores = scorer.of(batch.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
@@ -200,7 +238,7 @@ def train(labelled: DataFrame, path: str | None = None, id_col: str = "doc_id",
     languages = sorted(sizes)
     n = len(pieces(path))
     if not languages:
-        return Model(path, [], np.zeros((n + 1, 0)))
+        return Model(path, [], np.zeros((n + 2, 0)))
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, rows / sizes[k]))])
     sample = source.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
@@ -214,20 +252,19 @@ def train(labelled: DataFrame, path: str | None = None, id_col: str = "doc_id",
     per_lang = [F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i, k in enumerate(languages)]
     counts = checkpoint(sample.select("lang", "text").mapInArrow(count, "lang string, unit string, n long").groupBy("unit").agg(*per_lang))
 
-    p = np.full((n + 1, len(languages)), 1.0 / n)
-    p[n] = UNKNOWN
+    p = np.full((n + 2, len(languages)), 1.0 / n)
+    p[n], p[n + 1] = UNKNOWN, 0
     for _ in range(rounds):
 
         def part(batches: Iterator[pa.RecordBatch], out: np.ndarray, p: np.ndarray = p) -> None:
-            known = pieces(path)
             for batch in batches:
-                if batch.num_rows:
-                    c = np.stack([batch.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1)
-                    out += Lattice.of(batch.column("unit").to_pylist(), known).expected(p, c).astype(np.float32)
+                c = np.stack([batch.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1)
+                for at, some in by_length(batch.column("unit").to_pylist()):
+                    out += Lattice(some, finder(path)).expected(p, c[at])
 
-        uses = summed(counts, n + 1, len(languages), part)[:n] + SMOOTH
-        p = np.concatenate((uses / uses.sum(axis=0), np.full((1, len(languages)), UNKNOWN)))
-    return Model(path, languages, p)
+        uses = summed(counts, n + 2, len(languages), part)[:n] + SMOOTH
+        p[:n] = uses / uses.sum(axis=0)
+    return Model(path, languages, p, uuid.uuid4().hex)
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
