@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"[\s  ]+"
 
@@ -59,12 +60,12 @@ def artist_title(name: Column) -> tuple[Column, Column]:
     return left, right
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: s if s is None else unicodedata.normalize("NFKC", s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clean_romanized(x: pd.Series) -> pd.Series:
     """Quotes folded, accents dropped, a-z and apostrophes kept."""
 
@@ -102,7 +103,7 @@ def title_variants(x: Column, normal: bool = True) -> Column:
     return F.aggregate(told, F.array().cast("array<string>"), add)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters; 0 if either is empty."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])

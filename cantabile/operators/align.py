@@ -12,10 +12,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cantabile.operators.ordered import next_with
 
-SPANS = "array<struct<token_index:int,token_id:int,start_frame:int,end_frame:int,confidence:double>>"
+SPAN = T.StructType([T.StructField(n, T.IntegerType()) for n in ("token_index", "token_id", "start_frame", "end_frame")] + [T.StructField("confidence", T.DoubleType())])
+SPANS = T.ArrayType(SPAN)
 
 
 def windows(lines: DataFrame, profiles: DataFrame, duration_ms: Column) -> DataFrame:
@@ -75,6 +77,10 @@ def ctc_spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         yield pd.Series([None if e is None or t is None else _rows(viterbi(np.stack(e) if len(e) else np.zeros((0, 1)), list(t)) if len(e) else None) for e, t in zip(emissions, targets, strict=True)])
 
 
+# kept whole by the optimizer, which would otherwise repeat it in filters
+ctc_spans = ctc_spans.asNondeterministic()
+
+
 def _rows(spans: list[tuple] | None) -> list[dict] | None:
     names = ("token_index", "token_id", "start_frame", "end_frame", "confidence")
     return None if spans is None else [dict(zip(names, s, strict=True)) for s in spans]

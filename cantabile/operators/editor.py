@@ -25,7 +25,7 @@ def split_line(words: DataFrame, line: Column, word: Column) -> DataFrame:
     """Makes a line of its own of the words from `word` on of line `line`; lines after it move on by one."""
     tail = (F.col("line_idx") == line) & (F.col("word_idx") >= word)
     after = F.col("line_idx") > line
-    return words.withColumn("word_idx", F.when(tail, F.col("word_idx") - word).otherwise(F.col("word_idx"))).withColumn("line_idx", F.when(tail | after, F.col("line_idx") + 1).otherwise(F.col("line_idx")))
+    return words.withColumns({"word_idx": F.when(tail, F.col("word_idx") - word).otherwise(F.col("word_idx")), "line_idx": F.when(tail | after, F.col("line_idx") + 1).otherwise(F.col("line_idx"))})
 
 
 def delete_line(words: DataFrame, line: Column) -> DataFrame:

@@ -41,7 +41,8 @@ def offsets(meta: DataFrame) -> DataFrame:
 def inline_words(body: Column) -> Column:
     """array<struct<word, start_ms, end_ms>> of a line's text after its stamps; a word's end is the next stamp, null after the last."""
     stamps = F.regexp_extract_all(body, F.lit(INLINE), F.lit(1))
-    parts = F.slice(F.split(body, INLINE), 2, 2147483647)
+    parts = F.split(body, INLINE)
+    parts = F.slice(parts, F.lit(2), F.size(parts))
     pairs = F.zip_with(stamps, parts, lambda t, w: F.struct(parse_time(t).alias("t"), strip(w).alias("w")))
     return F.filter(
         F.transform(pairs, lambda p, i: F.struct(p["w"].alias("word"), p["t"].alias("start_ms"), F.try_element_at(F.transform(pairs, lambda q: q["t"]), i + 2).alias("end_ms"))),

@@ -44,4 +44,4 @@ def bundle(lines: DataFrame) -> DataFrame:
     forms = {"lrc": line_text(shown, F.col("text")), "elrc": line_text(shown, body(3, True)), "elrc_compatible": line_text(shown, body(2, False), 2)}
     rows = lines.select("track_id", F.struct("line_idx", *(c.alias(k) for k, c in forms.items())).alias("_l"))
     gathered = rows.groupBy("track_id").agg(F.sort_array(F.collect_list("_l")).alias("_ls"))
-    return gathered.select("track_id", *(F.array_join(F.transform("_ls", lambda x, k=k: x[k]), "\n").alias(k) for k in forms))
+    return gathered.select("track_id", *(F.array_join(F.col("_ls")[k], "\n").alias(k) for k in forms))
