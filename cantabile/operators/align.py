@@ -12,12 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cantabile.operators.ordered import next_with
 
-SPAN = T.StructType([T.StructField(n, T.IntegerType()) for n in ("token_index", "token_id", "start_frame", "end_frame")] + [T.StructField("confidence", T.DoubleType())])
-SPANS = T.ArrayType(SPAN)
+SPAN = ("token_index", "token_id", "start_frame", "end_frame", "confidence")
 
 
 def windows(lines: DataFrame, profiles: DataFrame, duration_ms: Column) -> DataFrame:
@@ -70,20 +68,20 @@ def viterbi(logp: np.ndarray, target: list[int], blank: int = 0) -> list[tuple[i
     return out
 
 
-@F.pandas_udf(SPANS)
-def ctc_spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Token spans of an emission and a target; null if the target can't be reached."""
-    for emissions, targets in batches:
-        yield pd.Series([None if e is None or t is None else _rows(viterbi(np.stack(e) if len(e) else np.zeros((0, 1)), list(t)) if len(e) else None) for e, t in zip(emissions, targets, strict=True)])
+def token_spans(df: DataFrame, keys: list[str], emission: str = "emission", target: str = "target") -> DataFrame:
+    """(keys, token_index, token_id, start_frame, end_frame, confidence): the spans of each row's target in its emission; none if it can't be reached or either is null."""
 
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for *key, e, t in pdf.itertuples(index=False, name=None):
+                if e is not None and t is not None and len(e):
+                    rows += [(*key, *span) for span in viterbi(np.stack(e), list(t)) or []]
+            yield pd.DataFrame(rows, columns=[*keys, *SPAN])
 
-# kept whole by the optimizer, which would otherwise repeat it in filters
-ctc_spans = ctc_spans.asNondeterministic()
-
-
-def _rows(spans: list[tuple] | None) -> list[dict] | None:
-    names = ("token_index", "token_id", "start_frame", "end_frame", "confidence")
-    return None if spans is None else [dict(zip(names, s, strict=True)) for s in spans]
+    source = df.select(*keys, emission, target)
+    kinds = [f"{k} {source.schema[k].dataType.simpleString()}" for k in keys] + [f"{c} {'double' if c == 'confidence' else 'int'}" for c in SPAN]
+    return source.mapInPandas(spans, ", ".join(kinds))
 
 
 def longest_feasible(df: DataFrame, keys: list[str], k: str, feasible: Column) -> DataFrame:
@@ -93,9 +91,8 @@ def longest_feasible(df: DataFrame, keys: list[str], k: str, feasible: Column) -
 
 def word_spans(spans: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
     """Words (token_start, token_end) with the frames and mean confidence of their tokens; origin says whether it is low."""
-    token = spans.select(*keys, F.explode("spans").alias("_s"))
     inside = words.withColumn("_i", F.explode(F.sequence("token_start", F.col("token_end") - 1)))
-    joined = inside.join(token.select(*keys, F.col("_s.token_index").alias("_i"), "_s.start_frame", "_s.end_frame", "_s.confidence"), [*keys, "_i"])
+    joined = inside.join(spans.select(*keys, F.col("token_index").alias("_i"), "start_frame", "end_frame", "confidence"), [*keys, "_i"])
     out = joined.groupBy(*keys, "word_idx").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), F.round(F.avg("confidence"), 9).alias("confidence"))
     return out.withColumn("origin", F.when(F.col("confidence") < 0.25, "aligned_low_confidence").otherwise("aligned"))
 

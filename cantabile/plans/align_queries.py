@@ -307,16 +307,15 @@ def emissions(spark, d):
 
 @query("H3_ctc")
 def h3(spark, d):
-    x = emissions(spark, d).withColumn("spans", align.ctc_spans("emission", "target"))
-    return x.select("vec_id", F.explode("spans").alias("s")).select("vec_id", "s.token_index", "s.token_id", "s.start_frame", "s.end_frame", F.round("s.confidence", 9).alias("confidence"))
+    return align.token_spans(emissions(spark, d), ["vec_id"]).withColumn("confidence", F.round("confidence", 9))
 
 
 @query("H5_word_spans")
 def h5(spark, d):
     """Word spans of one two-letter word a vector, from its token spans; frames as ms of a 16 s window (H4)."""
-    x = emissions(spark, d).withColumn("spans", align.ctc_spans("emission", "target")).where("spans is not null")
-    words = x.select("vec_id", F.lit(0).alias("word_idx"), F.lit(0).alias("token_start"), F.lit(2).alias("token_end"))
-    out = align.word_spans(x, words, ["vec_id"])
+    e = emissions(spark, d)
+    words = e.select("vec_id", F.lit(0).alias("word_idx"), F.lit(0).alias("token_start"), F.lit(2).alias("token_end"))
+    out = align.word_spans(align.token_spans(e, ["vec_id"]), words, ["vec_id"])
     at = lambda c: align.frame_time(F.col(c), F.lit(16), F.lit(0), F.lit(16000))
     return out.select("vec_id", at("start_frame").alias("start_ms"), at("end_frame").alias("end_ms"), "confidence", "origin")
 
