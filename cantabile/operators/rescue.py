@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,39 +105,43 @@ def reconstruct(words: DataFrame, snap: Callable[[float], float] | None = None)
     Every start lies 12 ms after the one before and leaves 12 ms for each word to come. snap may move a
     start to a nearby onset, so each depends on the last and a line is one group. Needs line_start_ms, line_end_ms.
     """
-    schema = "track_id long, line_idx long, word_idx long, start_ms double, end_ms double, conf double, origin string"
-
-    def line(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("word_idx").reset_index(drop=True)
-        start, end = pdf["start_ms"].astype(float).tolist(), pdf["end_ms"].astype(float).tolist()
-        conf, origin, unstable, units = pdf["conf"].tolist(), pdf["origin"].tolist(), pdf["unstable"].tolist(), pdf["units"].tolist()
-        i = 0
-        while i < len(pdf):
-            if not unstable[i]:
-                i += 1
-                continue
-            j = i
-            while j < len(pdf) and unstable[j]:
-                j += 1
-            left = end[i - 1] if i else float(pdf["line_start_ms"][0])
-            right = start[j] if j < len(pdf) else float(pdf["line_end_ms"][0])
-            right = max(right, left + 40.0 * (j - i))
-            scale = (right - left) / sum(units[i:j])
-            last, done = left - 1.0, 0.0
-            for k in range(i, j):
-                wanted = left + done * scale
-                done += units[k]
-                wanted = snap(wanted) if snap else wanted
-                start[k] = min(max(wanted, last + 12.0), right - 12.0 * (j - k))
-                last = start[k]
-                conf[k] = min(0.44, max(0.24, 0.72 * conf[k] + 0.16))
-                origin[k] = "tempo_energy_rescue"
-            for k in range(i, j):
-                end[k] = start[k + 1] if k + 1 < j else right
-            i = j
-        return pd.DataFrame({"track_id": pdf["track_id"], "line_idx": pdf["line_idx"], "word_idx": pdf["word_idx"], "start_ms": start, "end_ms": end, "conf": conf, "origin": origin})
-
-    return words.groupBy(*LINE).applyInPandas(line, schema)
+    fields = ["word_idx", "start_ms", "end_ms", "conf", "origin", "unstable", "units", "line_start_ms", "line_end_ms"]
+    made = pa.list_(pa.struct([("word_idx", pa.int64()), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("conf", pa.float64()), ("origin", pa.string())]))
+
+    @F.arrow_udf("array<struct<word_idx:long,start_ms:double,end_ms:double,conf:double,origin:string>>")
+    def lines(batch: pa.Array) -> pa.Array:
+        return pa.array([_reset(words, snap) for words in batch.to_pylist()], made)
+
+    # one row a line, so that a batch holds many lines and Python is not called for each
+    gathered = words.groupBy(*LINE).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_words"))
+    return gathered.select(*LINE, F.inline(lines("_words")))
+
+
+def _reset(words: list[dict], snap: Callable[[float], float] | None) -> list[dict]:
+    """One line's words in order, its unstable blocks set anew."""
+    i = 0
+    while i < len(words):
+        if not words[i]["unstable"]:
+            i += 1
+            continue
+        j = i
+        while j < len(words) and words[j]["unstable"]:
+            j += 1
+        left = words[i - 1]["end_ms"] if i else words[0]["line_start_ms"]
+        right = words[j]["start_ms"] if j < len(words) else words[0]["line_end_ms"]
+        right = max(right, left + 40.0 * (j - i))
+        scale = (right - left) / sum(w["units"] for w in words[i:j])
+        last, done = left - 1.0, 0.0
+        for k, w in enumerate(words[i:j], i):
+            wanted = left + done * scale
+            done += w["units"]
+            last = w["start_ms"] = min(max(snap(wanted) if snap else wanted, last + 12.0), right - 12.0 * (j - k))
+            w["conf"] = min(0.44, max(0.24, 0.72 * w["conf"] + 0.16))
+            w["origin"] = "tempo_energy_rescue"
+        for k in range(i, j):
+            words[k]["end_ms"] = words[k + 1]["start_ms"] if k + 1 < j else right
+        i = j
+    return words
 
 
 def novelty_peak(frames: DataFrame, keys: list[str]) -> DataFrame:
