@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle and checkpoint files that nothing refers to any more.
+
+    Its cleaner acts when the driver collects garbage, which between many small rounds may be long in coming.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most `rows` rows; counting stops at one more than that."""
     return df.limit(rows + 1).count() <= rows

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantabile.llm.common import checked_join, checkpoint, row_key, small_batches, table
+from cantabile.llm.common import checked_join, checkpoint, release, row_key, small_batches, table
 from cantabile.llm.components import components
 from cantabile.llm.shingles import K, mix, overlap, shingle_sets
 
@@ -161,7 +161,10 @@ class SetJoin:
         texts = self.texts(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
         side = lambda s: texts.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("_text").alias(f"_text_{s}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return checkpoint(both.select("a", "b", "n_a", "n_b", _overlap(self.k)("_text_a", "_text_b").alias("inter")))
+        out = checkpoint(both.select("a", "b", "n_a", "n_b", _overlap(self.k)("_text_a", "_text_b").alias("inter")))
+        del pairs, texts, both
+        release(out.sparkSession)
+        return out
 
     def reaches(self, inter: str = "inter", n_a: str = "n_a", n_b: str = "n_b") -> str:
         return f"100 * {inter} >= {self.percent} * ({n_a} + {n_b} - {inter})"
