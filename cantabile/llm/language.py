@@ -43,7 +43,7 @@ LONGEST = 32
 #: Probability of a letter that isn't a piece, and what is added to every expected count.
 UNKNOWN, SMOOTH = 1e-7, 0.01
 #: Words that a worker remembers.
-MEMORY = 1_000_000
+MEMORY = 300_000
 POWERS = powers(np.uint64(0x9E3779B97F4A7C15), LONGEST)
 _WORD = regex.compile(r"\p{L}+")
 
