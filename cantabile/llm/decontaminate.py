@@ -1,4 +1,4 @@
-"""Benchmark passages in documents, exact or paraphrased, by latent semantic retrieval.
+"""Benchmark passages in documents, exact or paraphrased, with their latent semantic similarity.
 
 1. Texts are lower-cased words (letters and digits). Documents are read in windows of two
    blocks, each block STRIDE words; benchmark items are cut into passages of the same length.
@@ -8,12 +8,14 @@
 3. A randomised SVD of the matrix of all windows (rows) by these words: every task adds up its
    part of A'(A X), the parts are summed in two shuffled steps, and only words x rank numbers reach the
    driver. Once with a random X, once with the orthonormal basis of what that gave.
-4. Windows and passages are projected on the singular vectors; pairs with a cosine of at least COSINE
-   are candidates, if the words they share outright give a cosine of SHARED: a low rank brings
-   unrelated windows together too.
-5. For a candidate the longest common subsequence of the item's words and those around the window
-   is taken. The document holds the item if that covers LCS of the item, or LCS_ANSWER of it and the
-   item's answer (its last words) is there in order too.
+4. The document holds the item if the longest common subsequence of the item's words and those around a
+   window covers LCS of the item, or LCS_ANSWER of it and the item's answer (its last words) is there in order too.
+5. What follows from that rule finds the places to look at, and no other filter does: of n words at least
+   need = LCS_ANSWER n are in the subsequence, so of any n - need + t words of the item at least t are
+   around the window. These are the item's rarest, t a share HITS of its length. The result is
+   that of the rule on all windows and items.
+6. Windows and passages are projected on the singular vectors. The cosine given for a match is the
+   highest of its best windows with the item's passages, 0 if these have no words that count.
 
 The benchmark is the stated query set, worked through in blocks of ITEMS rows, so what is sent to the tasks is
 bounded. Documents are never shuffled.
@@ -39,15 +41,74 @@ from cantabile.llm.matrices import summed
 from cantabile.llm.shingles import PLAIN, word_hashes
 
 STRIDE = 16
-RANK, EXTRA = 64, 16
+RANK, EXTRA = 128, 16
 #: Words in a larger share of the blocks are left out, unless they are among an item's RARE rarest.
 MAX_DF, RARE = 0.002, 8
-#: Different words that count in a window that is looked at, unless a passage has fewer itself.
-LEAST = 3
-COSINE, SHARED, LCS, LCS_ANSWER = 0.25, 0.3, 0.6, 0.55
+LCS, LCS_ANSWER = 0.6, 0.55
+#: Share of an item's words that must be found among its rarest; any gives the same result.
+HITS = 0.15
 #: The answer of an item: its last words, this share of it and so many at least.
 ANSWER, ANSWER_WORDS = 0.15, 3
 ITEMS = 500
+#: Windows multiplied at a time.
+CHUNK = 16384
+
+
+def find(known: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the words that are among the sorted `known`, and their numbers there."""
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    seen = np.zeros(1 << 16, bool)
+    seen[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
+    maybe = np.flatnonzero(seen[(words & np.uint64(0xFFFF)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(known, words[maybe]), len(known) - 1)
+    ok = known[at] == words[maybe]
+    return maybe[ok], at[ok]
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i the numbers start[i], start[i] + 1, ..., n[i] of them: (i, number)."""
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[i]
+
+
+@dataclass
+class Probes:
+    """The words that an item is looked for by. Entry e is a word of item[e], there times[e] times; those of words[w] begin at first[w]."""
+
+    words: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+    times: np.ndarray
+    #: For each item, how many of its words must be near and how many blocks before a window belong to it.
+    least: np.ndarray
+    reach: np.ndarray
+
+    def places(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(document, item, windows): all that can meet the rule. A window is named by its first block, counted in the document."""
+        block, first = blocks_of(docs)
+        pos, word = find(self.words, np.concatenate(docs) if docs else np.zeros(0, np.uint64))
+        w = max(1, len(self.words))
+        here, word = np.divmod(np.unique(block[pos] * w + word), w)
+        doc = np.searchsorted(first, here, "right") - 1
+        cell, entry = spread(self.first[word], self.first[word + 1] - self.first[word])
+        gap = 4 * int(self.reach.max(initial=0)) + 4  # blocks left free between documents
+        total = int(first[-1]) + gap * (len(docs) + 1)
+        key = self.item[entry] * total + here[cell] + gap * (doc[cell] + 1)
+        order = np.argsort(key)
+        key, entry, cell = key[order], entry[order], cell[order]
+        sums = np.concatenate(([0], np.cumsum(self.times[entry])))
+        reach = self.reach[self.item[entry]]
+        end = np.searchsorted(key, key + 2 * reach + 2)  # around a window are so many blocks; this cell is the first with a word
+        ok = np.flatnonzero(sums[end] - sums[:-1] >= self.least[self.item[entry]])
+        d, item = doc[cell[ok]], self.item[entry[ok]]
+        i, near = spread(here[cell[ok]] - first[d] - reach[ok] - 1, 2 * reach[ok] + 2)
+        d, item = d[i], item[i]
+        inside = (near >= 0) & (near < first[d + 1] - first[d])
+        found = np.unique(np.stack((d[inside], item[inside], near[inside])), axis=1)
+        breaks = np.flatnonzero((np.diff(found[:2]) != 0).any(0) | (np.diff(found[2]) != 1)) + 1
+        for run in np.split(found, breaks, axis=1) if found.size else ():
+            yield int(run[0, 0]), int(run[1, 0]), run[2]
 
 
 @dataclass
@@ -58,19 +119,28 @@ class Benchmark:
     items: list[np.ndarray]
     words: np.ndarray
     idf: np.ndarray | None = None
-    #: Different words that count which a window must have to be looked at.
-    least: int = 1
+    probes: Probes | None = None
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the words that count, and their numbers."""
-        if not len(self.words):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        seen = np.zeros(1 << 16, bool)
-        seen[(self.words & np.uint64(0xFFFF)).astype(np.int64)] = True
-        maybe = np.flatnonzero(seen[(words & np.uint64(0xFFFF)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.words, words[maybe]), len(self.words) - 1)
-        ok = self.words[at] == words[maybe]
-        return maybe[ok], at[ok]
+        return find(self.words, words)
+
+
+def probes(items: list[np.ndarray], words: np.ndarray, df: np.ndarray) -> Probes:
+    """df: in how many blocks each of `words`, sorted, is."""
+    chosen, least, reach = [], [], []
+    for nth, item in enumerate(items):
+        at = np.searchsorted(words, item)
+        miss = len(item) - max(1, math.ceil(LCS_ANSWER * len(item) - 1e-9))
+        rarest = at[np.argsort(df[at], kind="stable")][: miss + max(1, math.ceil(HITS * len(item)))]
+        least.append(len(rarest) - miss)
+        reach.append(-(-len(item) // STRIDE))
+        word, times = np.unique(rarest, return_counts=True)
+        chosen.append((word, np.full(len(word), nth), times))
+    word, item, times = (np.concatenate(c) for c in zip(*chosen, strict=True))
+    order = np.argsort(word, kind="stable")
+    used, first = np.unique(word[order], return_index=True)
+    return Probes(words[used], np.append(first, len(word)), item[order], times[order], np.asarray(least), np.asarray(reach))
 
 
 @dataclass
@@ -99,14 +169,6 @@ class Windows:
         for j in range(y.shape[1]):
             out[:, j] += np.bincount(self.word, each[j][self.row] * self.weight, len(out))
 
-    def cosines(self, i: np.ndarray, dense: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Of windows i with the rows j of unit vectors."""
-        starts = self.starts()
-        n = np.append(starts[1:], len(self.row))[i] - starts[i]
-        pair = np.repeat(np.arange(len(i)), n)
-        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[i], n)
-        return np.bincount(pair, self.weight[entry] * dense[j[pair], self.word[entry]], len(i))
-
     def some(self, begin: int, end: int) -> Windows:
         a, b = np.searchsorted(self.row, (begin, end))
         return Windows(self.row[a:b] - begin, self.word[a:b], self.weight[a:b], self.key[begin:end])
@@ -120,9 +182,8 @@ def blocks_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first[:-1], n) + inside // STRIDE, first
 
 
-def windows(docs: list[np.ndarray], bench: Benchmark, least: int | None = None) -> tuple[Windows, np.ndarray]:
-    """The windows of a batch with at least `least` different words that count, and each document's first block."""
-    least = bench.least if least is None else least
+def windows(docs: list[np.ndarray], bench: Benchmark) -> tuple[Windows, np.ndarray]:
+    """The windows of a batch that have words that count, and each document's first block."""
     block, first = blocks_of(docs)
     pos, word = bench.find(np.concatenate(docs) if docs else np.zeros(0, np.uint64))
     here = block[pos]
@@ -133,10 +194,7 @@ def windows(docs: list[np.ndarray], bench: Benchmark, least: int | None = None)
     cell, tf = np.unique(np.concatenate((here, here[back] - 1)) * n + np.concatenate((word, word[back])), return_counts=True)
     key, word = np.divmod(cell, n)
     weight = ((1 + np.log(tf)) * bench.idf[word]).astype(np.float32) if len(word) else np.zeros(0, np.float32)
-    names, row, count = np.unique(key, return_inverse=True, return_counts=True)
-    keep = (count >= least)[row]
-    names, row = names[count >= least], (np.cumsum(count >= least) - 1)[row][keep]
-    word, weight = word[keep], weight[keep]
+    names, row = np.unique(key, return_inverse=True)
     norm = np.sqrt(np.bincount(row, weight.astype(np.float64) ** 2, len(names)))
     return Windows(row, word, (weight / norm[row]).astype(np.float32), names), first
 
@@ -216,9 +274,7 @@ def weigh(docs: DataFrame, bench: Benchmark) -> Benchmark:
     for item in bench.items:
         at = np.unique(np.searchsorted(bench.words, item))
         keep[at[np.argsort(df[at], kind="stable")[:RARE]]] = True
-    words = bench.words[keep]
-    shortest = min(len(np.intersect1d(p, words)) for item in bench.items for p in cut(item))
-    return Benchmark(bench.ids, bench.items, words, np.log1p(total / np.maximum(1, df[keep])), max(1, min(LEAST, shortest)))
+    return Benchmark(bench.ids, bench.items, bench.words[keep], np.log1p(total / np.maximum(1, df[keep])), probes(bench.items, bench.words, df))
 
 
 def gram_times(docs: DataFrame, bench: Benchmark, x: np.ndarray) -> np.ndarray:
@@ -227,8 +283,10 @@ def gram_times(docs: DataFrame, bench: Benchmark, x: np.ndarray) -> np.ndarray:
 
     def part(batches: Iterator[pa.RecordBatch], out: np.ndarray) -> None:
         for _, words in word_batches(batches):
-            w, _ = windows(words, bench)
-            w.transposed(w.times(x), out)
+            every, _ = windows(words, bench)
+            for begin in range(0, len(every.key), CHUNK):
+                w = every.some(begin, begin + CHUNK)
+                w.transposed(w.times(x), out)
 
     return summed(docs.select("text"), n, width, part)
 
@@ -250,36 +308,35 @@ def unit(x: np.ndarray) -> np.ndarray:
 def matches(docs: DataFrame, bench: Benchmark, vectors: np.ndarray, schema: str) -> DataFrame:
     """A row (doc_id, item, cosine, lcs, answer) for each document and item that it holds."""
     cuts = [cut(item) for item in bench.items]
-    owner = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
-    flat = [p for c in cuts for p in c]
-    own, first = windows(flat, bench, 1)
+    edges = np.cumsum([0, *map(len, cuts)])
+    own, first = windows([p for c in cuts for p in c], bench)
     # a passage's first block names the window that is the whole passage
-    at = np.minimum(np.searchsorted(own.key, first[:-1]), max(0, len(own.key) - 1))
-    ok = own.key[at] == first[:-1] if len(own.key) else np.zeros(len(flat), bool)
-    dense = np.zeros((len(own.key), len(bench.words)), np.float32)
-    dense[own.row, own.word] = own.weight
-    dense, owner = dense[at[ok]], owner[ok]
-    query = unit(dense @ vectors)
+    query = np.zeros((edges[-1], vectors.shape[1]), np.float32)
+    at = np.searchsorted(first[:-1], own.key)
+    ok = first[np.minimum(at, edges[-1])] == own.key
+    query[at[ok]] = unit(own.times(vectors))[ok]
+
+    def cosine(item: int, stretches: list[np.ndarray]) -> float:
+        w, first = windows(stretches, bench)
+        w = w.times(vectors)[np.isin(w.key, first[:-1])]
+        return float((unit(w) @ query[edges[item] : edges[item + 1]].T).max(initial=0))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in word_batches(batches):
-            every, first = windows(words, bench)
             best: dict[tuple[int, int], tuple] = {}
-            for begin in range(0, len(every.key), 4096):  # the cosines of so many windows at a time
-                w = every.some(begin, begin + 4096)
-                latent = unit(w.times(vectors)) @ query.T
-                i, j = np.nonzero(latent >= COSINE)
-                near = w.cosines(i, dense, j) >= SHARED
-                i, j = i[near], j[near]
-                doc = np.searchsorted(first, w.key[i], "right") - 1
-                for x, y, d in zip(i.tolist(), j.tolist(), doc.tolist(), strict=True):
-                    item = bench.items[owner[y]]
-                    start = (int(w.key[x]) - int(first[d])) * STRIDE
-                    around = words[d][max(0, start - len(item)) : start + 2 * STRIDE + len(item)]
-                    share, answer = holds(item, around)
+            for d, i, near in bench.probes.places(words):
+                item, text = bench.items[i], words[d]
+                need = LCS_ANSWER * len(item) - 1e-9
+                if lcs_length(item, text[max(0, int(near[0]) * STRIDE - len(item)) : (int(near[-1]) + 2) * STRIDE + len(item)]) < need:
+                    continue
+                met: dict[tuple[float, bool], list[np.ndarray]] = {}
+                for start in (near * STRIDE).tolist():
+                    share, answer = holds(item, text[max(0, start - len(item)) : start + 2 * STRIDE + len(item)])
                     if share >= LCS or share >= LCS_ANSWER and answer:
-                        found = (share, answer, float(latent[x, y]))
-                        best[d, int(owner[y])] = max(found, best.get((d, int(owner[y])), found))
+                        met.setdefault((share, answer), []).append(text[start : start + 2 * STRIDE])
+                if met:
+                    found = (*max(met), cosine(i, met[max(met)]))
+                    best[d, i] = max(found, best.get((d, i), found))
             if best:
                 at_doc = pa.array([d for d, _ in best], pa.int64())
                 yield pa.RecordBatch.from_arrays(

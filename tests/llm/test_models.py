@@ -156,6 +156,49 @@ def test_nothing_to_find(spark, leaks, nothing):
     assert repeated.count() == repeated.select("doc_id", "item_id").distinct().count()
 
 
+def by_the_rule(docs, items):
+    """{(doc_id, item_id): (lcs, answer)}: every item against the words around every window."""
+    out = {}
+    split = lambda t: [w for w in "".join(ch if ch.isalnum() else " " for ch in (t or "").lower()).split()]
+    for d, text in docs:
+        words = np.asarray(split(text))
+        for i, item in items:
+            item = np.asarray(split(item))
+            for start in range(0, len(words) if len(item) else 0, decontaminate.STRIDE):
+                share, answer = decontaminate.holds(item, words[max(0, start - len(item)) : start + 2 * decontaminate.STRIDE + len(item)])
+                if share >= decontaminate.LCS or share >= decontaminate.LCS_ANSWER and answer:
+                    out[d, i] = max((share, answer), out.get((d, i), (0, False)))
+    return out
+
+
+def test_reworded_passages_are_found_as_by_the_rule(spark):
+    """The rarest 20 to 40 % of an item's words are replaced, in documents of frequent words."""
+    rng = random.Random(23)
+    often = [f"w{i}" for i in range(60)]
+    speak = lambda n: [rng.choice(often) if rng.random() < 0.6 else f"r{int(rng.paretovariate(0.4)) % 5000}" for _ in range(n)]
+    items = [(i, " ".join(speak(n))) for i, n in enumerate([1, 3, 8, 15, 20, 26, 31, 32, 33, 38, 47, 48, 59, 80, 130])]
+    background = [(1000 + i, " ".join(speak(rng.randrange(20, 300)))) for i in range(60)]
+    count = {}
+    for _, t in background:
+        for w in t.split():
+            count[w] = count.get(w, 0) + 1
+    docs = list(background)
+    for share in (0, 20, 30, 35, 40):
+        for i, item in items[3:]:
+            words = item.split()
+            for k in sorted(range(len(words)), key=lambda k: count.get(words[k], 0))[: len(words) * share // 100]:
+                words[k] = f"other{rng.randrange(10**6)}"
+            text = speak(rng.randrange(10, 200))
+            at = rng.randrange(len(text))
+            text[at:at] = words
+            docs.append((share * 10 + i, " ".join(text)))
+    want = by_the_rule(docs, items)
+    assert all((share * 10 + i, i) in want for share in (0, 20, 30, 35) for i, _ in items[3:])
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.lcs, r.answer) for r in got} == want
+    assert all(-1.001 <= r.cosine <= 1.001 for r in got)
+
+
 def test_longest_common_subsequence():
     rng = random.Random(5)
     for _ in range(200):
