@@ -273,10 +273,27 @@ class SetJoin:
         open_ = bound.where(f"{self.reaches('most')} and not {self.reaches('least')}")
         return sure.select("a", "b").union(self.verified(open_.select("a", "b")).where(self.reaches()).select("a", "b"))
 
+    def roots(self) -> DataFrame:
+        """(sid, least_id, root) for every set."""
+        _, found = self.links()
+        return self.sets.select("sid", "least_id").join(found, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid"))
+
+    def surplus(self) -> DataFrame:
+        """Keys (_row1, _row2) of rows of which another row of their component is kept: that with the least id, null ids last, and of these the least key."""
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_row1", "_row2")).alias("_first")
+        held = self.rows.where("n > 0")
+        least = held.groupBy("sid").agg(first).join(self.roots().select("sid", "root"), "sid")
+        kept = least.groupBy("root").agg(F.min("_first").alias("_first")).select("_first._row1", "_first._row2")
+        return held.select("_row1", "_row2").distinct().join(kept, ["_row1", "_row2"], "left_anti")
+
+    def repeated(self) -> DataFrame:
+        """Keys (_row1, _row2) that several rows have, and whether their text has no words (_empty)."""
+        many = self.rows.groupBy("_row1", "_row2").agg(F.count("*").alias("_rows"), F.max("n").alias("_n")).where("_rows > 1")
+        return many.select("_row1", "_row2", (F.col("_n") == 0).alias("_empty"))
+
     def members(self) -> DataFrame:
         """One row for each row of docs: doc_id, n_shingles, component_id."""
-        _, found = self.links()
-        rooted = self.sets.select("sid", "least_id").join(found, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid"))
+        rooted = self.roots()
         least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
         named = rooted.join(least, "root").select("sid", "component_id")
         out = self.rows.select("doc_id", "n", "sid").join(named, "sid", "left")
@@ -287,5 +304,19 @@ def similar_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_c
     return SetJoin(docs, k, percent, id_col, text_col).members()
 
 
+def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component; of rows without words, one of those equal in every column."""
+    join = SetJoin(docs, k, percent, id_col, text_col)
+    gone, repeated = checkpoint(join.surplus()), checkpoint(join.repeated())
+    keys = ["_row1", "_row2"]
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_in"), *row_key(F.col(text_col), F.col(id_col)))
+    left = checked_join(checked_join(whole, gone, keys, "left_anti"), repeated, keys, "left")
+    # rows with a key of their own aren't shuffled
+    all_of_it = F.xxhash64(*(F.col("_in")[c] for c in docs.columns))
+    many = left.where("_empty is not null").withColumn("_all", all_of_it).withColumn("_apart", F.when(F.col("_empty"), F.col("_all")))
+    one = many.groupBy(*keys, "_apart").agg(F.min_by("_in", "_all").alias("_in"))
+    return left.where("_empty is null").select("_in.*").union(one.select("_in.*"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"))

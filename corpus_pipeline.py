@@ -5,9 +5,10 @@ and reads it back as the next stage's docs, so no stage is computed twice and a
 costs no more than its tasks. All but the last keep the columns of documents.
 
 What each decides: documents without a recognisable language go; lines that other documents hold
-too are cut from all but one; of documents that are near copies of each other the one with the smallest id stays; documents that
-hold a benchmark item go; what remains is encoded. n_chars follows the text. Rows with equal ids are kept or
-dropped together, save that of rows equal in every column one is kept by the third stage.
+too are cut from all but one; of rows that are near copies of each other the one with the smallest id stays (null ids
+last, then by content), and of rows without words one of those equal in every column; documents that
+hold a benchmark item go; what remains is encoded. n_chars follows the text. The third stage decides by row; rows
+with equal ids are dropped together by the fourth.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantabile.llm import bpe, decontaminate, jaccard_join, language, line_dedup
-from cantabile.llm.common import checked_join, checkpoint, shared_path, small_batches, table
+from cantabile.llm.common import shared_path, small_batches, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +34,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    members = jaccard_join.similar_components(docs)
-    gone = checkpoint(members.where("component_id <> doc_id").select("doc_id").distinct())
-    # ids without a component of their own: usually few; joined by shuffle where a count says otherwise
-    kept = checked_join(docs, gone, "doc_id", "left_anti")
-    return kept.select(docs.columns)
+    return jaccard_join.one_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

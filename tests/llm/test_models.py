@@ -229,3 +229,28 @@ def test_pipeline_against_brute_force(spark, leaks, cases, tmp_path):
     for i, t in left:
         assert bytes(got[i].ids) == np.asarray(enc.encode_ordinary(t), "<u4").tobytes()
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_near_copies_leave_one_row_of_each_group(spark):
+    """Repeated rows, repeated ids and null ids."""
+    rng = random.Random(31)
+    a, b, c, d, e, f = (passage(rng, 60) for _ in range(6))
+    near = a + " more"
+    rows = [
+        (1, a, "en"), (1, a, "en"), (1, a, "en"),  # equal in every column: one stays
+        (2, near, "en"), (2, b, "en"),  # a near copy goes, the other row with its id stays
+        (None, c, "en"), (None, c, "en"), (None, c + " more", "en"),  # without any id
+        (None, d, "en"), (9, d + " more", "en"),  # an id comes before none
+        (5, e, "en"), (5, e, "de"),  # near copies that differ elsewhere only
+        (6, "", "en"), (6, "", "en"), (6, "", "de"), (7, None, "en"), (7, None, "en"), (None, " ", "en"), (8, " ", "en"),  # without words
+        (10, f, "en"),
+    ]
+    docs = spark.createDataFrame([(*r, "s", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = corpus_pipeline.keep_one_of_near_copies(spark, docs, SMALL)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text, r.lang) for r in out.collect()]
+    words = [g for g in got if (g[1] or "").strip()]
+    groups = {t: i for i, text in enumerate((a, b, c, d, e, f)) for t in (text, text + " more")}
+    assert sorted(groups[t] for _, t, _ in words) == [0, 1, 2, 3, 4, 5]
+    assert {(i, groups[t]) for i, t, _ in words} == {(1, 0), (2, 1), (None, 2), (9, 3), (5, 4), (10, 5)}
+    assert sorted((g for g in got if g not in words), key=repr) == sorted([(6, "", "en"), (6, "", "de"), (7, None, "en"), (None, " ", "en"), (8, " ", "en")], key=repr)
