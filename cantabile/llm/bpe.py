@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantabile.llm.common import small_batches, table
+from cantabile.llm.common import bounded_batches, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Longer texts are encoded piece by piece, so the library never holds the merges of a whole book.
@@ -101,7 +101,7 @@ def n_ids(ids: Column) -> Column:
 def with_tokens(docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None, ids_col: str = "ids", bytes_col: str | None = None) -> DataFrame:
     """docs with a column of ids and, if named, a column of the bytes they decode to."""
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     out = docs.withColumn(ids_col, encode(F.col(text_col), path, pattern))
     return out.withColumn(bytes_col, decode(F.col(ids_col), path, pattern)) if bytes_col else out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,17 +25,28 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _UPPER.lower())
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds how many whole texts one Arrow batch holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: What one Arrow batch holds at most; the same for all operators, so that none depends on which ran before it.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds how many rows and bytes of whole texts a Python worker gets at once, where the session still has Spark's defaults."""
+    for key, (default, bound) in BATCH.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, bound)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or what is already set."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return spark.conf.get("spark.checkpoint.dir", None) or jsc.getCheckpointDir().get()
+    """The folder that driver and executors share: spark.checkpoint.dir, or what is already set. Only a local session gets one of its own."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        held = context._jsc.sc().getCheckpointDir()
+    return named or held.get()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -48,6 +60,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store that nothing will read again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle and checkpoint files that nothing refers to any more.
 

@@ -1,24 +1,28 @@
-"""Benchmark passages in documents, exact or paraphrased, with their latent semantic similarity.
+"""Benchmark passages in documents, exact or paraphrased, by latent semantic retrieval.
 
 1. Texts are lower-cased words (letters and digits). Documents are read in windows of two
    blocks, each block STRIDE words; benchmark items are cut into passages of the same length.
 2. Document frequencies, over the blocks of all documents, are counted for the words of the
    benchmark; they give TF-IDF weights and tell which words are too common to say anything. Each item keeps
-   its rarest words whatever their frequency. A window's other words have no part in its vector.
-3. A randomised SVD of the matrix of all windows (rows) by these words: every task adds up its
-   part of A'(A X), the parts are summed in two shuffled steps, and only words x rank numbers reach the
-   driver. Once with a random X, once with the orthonormal basis of what that gave.
-4. The document holds the item if the longest common subsequence of the item's words and those around a
-   window covers LCS of the item, or LCS_ANSWER of it and the item's answer (its last words) is there in order too.
-5. What follows from that rule finds the places to look at, and no other filter does: of n words at least
-   need = LCS_ANSWER n are in the subsequence, so of any n - need + t words of the item at least t are
-   around the window. These are the item's rarest, t a share HITS of its length. The result is
-   that of the rule on all windows and items.
-6. Windows and passages are projected on the singular vectors. The cosine given for a match is the
-   highest of its best windows with the item's passages, 0 if these have no words that count.
-
-The benchmark is the stated query set, worked through in blocks of ITEMS rows, so what is sent to the tasks is
-bounded. Documents are never shuffled.
+   the RARE rarest of its words that documents have, whatever their frequency.
+3. A randomised SVD of the matrix of all windows (rows) by these words, in one pass: every task adds up its
+   part of Y = A'(A X) for a random X, the parts are summed in two shuffled steps, and only words x width numbers reach the
+   driver, which takes the singular vectors from Y and X'Y.
+4. Windows and passages are projected on the singular vectors; a window and an item are a candidate where the cosine with
+   one of its passages is COSINE or more.
+5. Of candidates those go that can't meet the rule: fewer words around the window belong to the item than the rule asks
+   for. For the others the longest common subsequence of the item's words and those around the
+   window is taken. The document holds the item if that covers LCS of the item, or LCS_ANSWER of it and the item's answer (its
+   last words) is there in order too.
+
+An item of fewer than SHORT words has too few for a direction of its own; for these, and with exact=True for all, the places come from
+a bound that follows from the rule: of n words at least
+need = LCS_ANSWER n are in the subsequence, so of any n - need + t words of the item at least t are
+around the window. These are the item's rarest, t a share HITS of its length. That result is the rule's on all windows and items;
+the latent search (steps 2 to 4 leave windows out) reaches a measured share of it, given in the README.
+
+The benchmark is the stated query set, worked through in blocks of rows with WORDS different words, so what is sent to the tasks is
+bounded; a block costs three scans of the documents. Documents are never shuffled.
 
 Defined results: null or empty texts, and items without words, match nothing; rows with equal ids
 give one row per item together; null ids are kept as null; empty tables give an empty result; extra columns are
@@ -30,28 +34,35 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantabile.llm.common import checked_join, checkpoint, small_batches, table
+from cantabile.llm.common import bounded_batches, checked_join, checkpoint, row_key, table
 from cantabile.llm.matrices import summed
 from cantabile.llm.shingles import PLAIN, word_hashes
 
 STRIDE = 16
-RANK, EXTRA = 128, 16
+RANK, EXTRA = 128, 32
+COSINE = 0.35
 #: Words in a larger share of the blocks are left out, unless they are among an item's RARE rarest.
-MAX_DF, RARE = 0.002, 8
+MAX_DF, RARE = 0.01, 12
 LCS, LCS_ANSWER = 0.6, 0.55
+#: Items of fewer words are looked for by their probes.
+SHORT = STRIDE
 #: Share of an item's words that must be found among its rarest; any gives the same result.
 HITS = 0.15
 #: The answer of an item: its last words, this share of it and so many at least.
 ANSWER, ANSWER_WORDS = 0.15, 3
-ITEMS = 500
-#: Windows multiplied at a time.
-CHUNK = 16384
+#: Different words of the items that are looked for together: so many rows have the matrices that tasks hold.
+WORDS = 40_000
+#: Items times words that are looked for together, a bit each.
+CELLS = 1 << 29
+#: Windows multiplied at a time, and cosines.
+CHUNK, COSINES = 16384, 1 << 22
 
 
 def find(known: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,11 +124,12 @@ class Probes:
 
 @dataclass
 class Benchmark:
-    """A block of items; words: sorted hashes of the words that count, with their weights."""
+    """A block of items; words: sorted hashes of the words that count, with their weights; every: of all their words."""
 
     ids: list
     items: list[np.ndarray]
     words: np.ndarray
+    every: np.ndarray
     idf: np.ndarray | None = None
     probes: Probes | None = None
 
@@ -126,10 +138,14 @@ class Benchmark:
         return find(self.words, words)
 
 
-def probes(items: list[np.ndarray], words: np.ndarray, df: np.ndarray) -> Probes:
-    """df: in how many blocks each of `words`, sorted, is."""
+def probes(items: list[np.ndarray], words: np.ndarray, df: np.ndarray, exact: bool) -> Probes | None:
+    """df: in how many blocks each of `words`, sorted, is. Of the items all, or only those that are shorter than SHORT."""
     chosen, least, reach = [], [], []
     for nth, item in enumerate(items):
+        if not exact and len(item) >= SHORT:
+            least.append(0)
+            reach.append(0)
+            continue
         at = np.searchsorted(words, item)
         miss = len(item) - max(1, math.ceil(LCS_ANSWER * len(item) - 1e-9))
         rarest = at[np.argsort(df[at], kind="stable")][: miss + max(1, math.ceil(HITS * len(item)))]
@@ -137,6 +153,8 @@ def probes(items: list[np.ndarray], words: np.ndarray, df: np.ndarray) -> Probes
         reach.append(-(-len(item) // STRIDE))
         word, times = np.unique(rarest, return_counts=True)
         chosen.append((word, np.full(len(word), nth), times))
+    if not chosen:
+        return None
     word, item, times = (np.concatenate(c) for c in zip(*chosen, strict=True))
     order = np.argsort(word, kind="stable")
     used, first = np.unique(word[order], return_index=True)
@@ -224,22 +242,25 @@ def cut(item: np.ndarray) -> list[np.ndarray]:
     return [item[i : i + 2 * STRIDE] for i in range(0, max(1, len(item) - STRIDE), STRIDE)]
 
 
-def read_items(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", block: int = ITEMS) -> Iterator[Benchmark]:
+def read_items(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = WORDS) -> Iterator[Benchmark]:
     """The benchmark in blocks of rows; one block at a time is on the driver."""
     rows = bench.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    held: list = []
+    ids, items, seen = [], [], set()
 
     def made() -> Benchmark:
-        items = word_hashes((r.text and r.text.lower() for r in held), PLAIN)
-        pairs = [(r.id, i) for r, i in zip(held, items, strict=True) if len(i)]
-        return Benchmark([p[0] for p in pairs], [p[1] for p in pairs], np.unique(np.concatenate([p[1] for p in pairs])) if pairs else np.zeros(0, np.uint64))
+        words = np.unique(np.concatenate(items))
+        return Benchmark(ids, items, words, words)
 
     for r in rows.toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            yield made()
-            held.clear()
-    if held:
+        (item,) = word_hashes([r.text and r.text.lower()], PLAIN)
+        if len(item):
+            ids.append(r.id)
+            items.append(item)
+            seen.update(item.tolist())
+            if len(seen) >= most or len(seen) * len(items) >= CELLS:
+                yield made()
+                ids, items, seen = [], [], set()
+    if items:
         yield made()
 
 
@@ -249,7 +270,7 @@ def word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
             yield batch, word_hashes((t and t.lower() for t in batch.column("text").to_pylist()), PLAIN)
 
 
-def weigh(docs: DataFrame, bench: Benchmark) -> Benchmark:
+def weigh(docs: DataFrame, bench: Benchmark, exact: bool = False) -> Benchmark:
     """Sets the weights from all documents, and leaves out the words that are too common."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,11 +291,12 @@ def weigh(docs: DataFrame, bench: Benchmark) -> Benchmark:
             total = max(1, r.df)
         else:
             df[r.word] = r.df
-    keep = df <= MAX_DF * total
+    keep = (df > 0) & (df <= MAX_DF * total)
     for item in bench.items:
         at = np.unique(np.searchsorted(bench.words, item))
+        at = at[df[at] > 0]
         keep[at[np.argsort(df[at], kind="stable")[:RARE]]] = True
-    return Benchmark(bench.ids, bench.items, bench.words[keep], np.log1p(total / np.maximum(1, df[keep])), probes(bench.items, bench.words, df))
+    return Benchmark(bench.ids, bench.items, bench.words[keep], bench.every, np.log1p(total / df[keep]), probes(bench.items, bench.words, df, exact))
 
 
 def gram_times(docs: DataFrame, bench: Benchmark, x: np.ndarray) -> np.ndarray:
@@ -292,50 +314,114 @@ def gram_times(docs: DataFrame, bench: Benchmark, x: np.ndarray) -> np.ndarray:
 
 
 def singular_vectors(docs: DataFrame, bench: Benchmark, rank: int = RANK, seed: int = 7) -> np.ndarray:
-    """Right singular vectors (words x rank) of the windows of all documents."""
+    """Right singular vectors (words x rank) of the windows of all documents, from one pass over these."""
     n = len(bench.words)
     width = min(n, rank + EXTRA)
-    start = np.random.default_rng(seed).standard_normal((n, width)).astype(np.float32)
-    basis, _ = np.linalg.qr(gram_times(docs, bench, start))
-    _, turn = np.linalg.eigh(basis.T @ gram_times(docs, bench, basis.astype(np.float32)))
-    return (basis @ turn[:, ::-1][:, : min(rank, width)]).astype(np.float32)
+    x, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))
+    y = gram_times(docs, bench, x.astype(np.float32))
+    # A'A is nearly Y (X'Y)^-1 Y'; a small shift keeps X'Y invertible
+    y += (shift := 1e-6 * max(np.linalg.norm(y), 1e-12)) * x
+    root = np.linalg.cholesky((x.T @ y + y.T @ x) / 2 + shift * np.eye(width))
+    left, _, _ = np.linalg.svd(np.linalg.solve(root, y.T).T, full_matrices=False)
+    return left[:, : min(rank, width)].astype(np.float32)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def matches(docs: DataFrame, bench: Benchmark, vectors: np.ndarray, schema: str) -> DataFrame:
+class Latent:
+    """Candidates of a batch of documents, by the cosine of windows and passages in the latent space."""
+
+    def __init__(self, bench: Benchmark, vectors: np.ndarray, least: float = COSINE) -> None:
+        self.bench, self.vectors, self.least = bench, vectors, least
+        cuts = [cut(item) for item in bench.items]
+        own, first = windows([p for c in cuts for p in c], bench)
+        # a passage's first block names the window that is the whole passage
+        whole = np.isin(own.key, first[:-1])
+        self.owner = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])[np.searchsorted(first, own.key[whole])]
+        self.query = unit(own.times(vectors)[whole])
+        need = [math.ceil(LCS_ANSWER * len(item) - 1e-9) for item in bench.items]
+        self.need, self.sizes = np.asarray(need, np.int64), np.asarray([len(item) for item in bench.items], np.int64)
+        # which words an item has, a bit each, and how often; the last column is no word of the benchmark
+        bits = np.zeros((len(bench.items), len(bench.every) // 8 + 1), np.uint8)
+        cells = []
+        for i, item in enumerate(bench.items):
+            word, n = np.unique(np.searchsorted(bench.every, item), return_counts=True)
+            np.bitwise_or.at(bits[i], word >> 3, (1 << (word & 7)).astype(np.uint8))
+            cells.append((i * (len(bench.every) + 1) + word, n))
+        self.has = bits
+        self.cell, self.times = (np.concatenate(c) for c in zip(*cells, strict=True))
+
+    def near(self, every: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, cosine) of all pairs that reach `least`, each once."""
+        found = []
+        step = max(16, min(CHUNK, COSINES // max(1, len(self.query))))
+        for begin in range(0, len(every.key), step):
+            w = every.some(begin, begin + step)
+            cosine = unit(w.times(self.vectors)) @ self.query.T
+            i, j = np.nonzero(cosine >= self.least)
+            key = w.key[i] * len(self.need) + self.owner[j]
+            order = np.lexsort((-cosine[i, j], key))
+            pair, at = np.unique(key[order], return_index=True)
+            found.append((pair, cosine[i, j][order][at]))
+        pair, cosine = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0))
+        return *np.divmod(pair, len(self.need)), cosine
+
+    def candidates(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
+        """(document, item, first word of the window, cosine) where enough words of the item are around the window."""
+        bench = self.bench
+        every, first = windows(docs, bench)
+        key, item, cosine = self.near(every)
+        if not len(key):
+            return
+        doc = np.searchsorted(first, key, "right") - 1
+        size = np.asarray([len(d) for d in docs], np.int64)
+        flat = np.full(int(size.sum()), len(bench.every))
+        at, word = find(bench.every, np.concatenate(docs))
+        flat[at] = word
+        begins = np.cumsum(size) - size
+        start = (key - first[doc]) * STRIDE
+        low, high = np.maximum(0, start - self.sizes[item]), np.minimum(size[doc], start + 2 * STRIDE + self.sizes[item])
+        for a in range(0, len(key), 4096):
+            some = slice(a, a + 4096)
+            pair, place = spread((begins[doc] + low)[some], (high - low)[some])
+            word, need, wide = flat[place], self.need[item[some]], len(bench.every) + 1
+            inside = self.has[item[some][pair], word >> 3] >> (word & 7).astype(np.uint8) & 1
+            enough = np.bincount(pair, inside, len(need)) >= need
+            # of those a word counts no oftener than the item has it
+            left = np.flatnonzero(enough[pair] & (inside > 0))
+            cell, n = np.unique(pair[left] * wide + word[left], return_counts=True)
+            pair, word = np.divmod(cell, wide)
+            most = np.bincount(pair, np.minimum(n, self.times[np.searchsorted(self.cell, item[some][pair] * wide + word)]), len(need))
+            for c in (np.flatnonzero(most >= need) + a).tolist():
+                yield int(doc[c]), int(item[c]), int(start[c]), float(cosine[c])
+
+
+def places(bench: Benchmark, latent: Latent, words: list[np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
+    """(document, item, first word of the window, cosine): all places that can meet the rule, of the items that have probes."""
+    for d, i, near in bench.probes.places(words) if bench.probes else ():
+        item, text = bench.items[i], words[d]
+        if lcs_length(item, text[max(0, int(near[0]) * STRIDE - len(item)) : (int(near[-1]) + 2) * STRIDE + len(item)]) < LCS_ANSWER * len(item) - 1e-9:
+            continue
+        for start in (near * STRIDE).tolist():
+            w, first = windows([text[start : start + 2 * STRIDE]], bench)
+            w = w.times(latent.vectors)[np.isin(w.key, first[:-1])]
+            yield d, i, start, float((unit(w) @ latent.query[latent.owner == i].T).max(initial=0))
+
+
+def matches(docs: DataFrame, bench: Benchmark, vectors: np.ndarray, schema: str, exact: bool = False, least: float = COSINE) -> DataFrame:
     """A row (doc_id, item, cosine, lcs, answer) for each document and item that it holds."""
-    cuts = [cut(item) for item in bench.items]
-    edges = np.cumsum([0, *map(len, cuts)])
-    own, first = windows([p for c in cuts for p in c], bench)
-    # a passage's first block names the window that is the whole passage
-    query = np.zeros((edges[-1], vectors.shape[1]), np.float32)
-    at = np.searchsorted(first[:-1], own.key)
-    ok = first[np.minimum(at, edges[-1])] == own.key
-    query[at[ok]] = unit(own.times(vectors))[ok]
-
-    def cosine(item: int, stretches: list[np.ndarray]) -> float:
-        w, first = windows(stretches, bench)
-        w = w.times(vectors)[np.isin(w.key, first[:-1])]
-        return float((unit(w) @ query[edges[item] : edges[item + 1]].T).max(initial=0))
+    latent = Latent(bench, vectors, least)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in word_batches(batches):
             best: dict[tuple[int, int], tuple] = {}
-            for d, i, near in bench.probes.places(words):
-                item, text = bench.items[i], words[d]
-                need = LCS_ANSWER * len(item) - 1e-9
-                if lcs_length(item, text[max(0, int(near[0]) * STRIDE - len(item)) : (int(near[-1]) + 2) * STRIDE + len(item)]) < need:
-                    continue
-                met: dict[tuple[float, bool], list[np.ndarray]] = {}
-                for start in (near * STRIDE).tolist():
-                    share, answer = holds(item, text[max(0, start - len(item)) : start + 2 * STRIDE + len(item)])
-                    if share >= LCS or share >= LCS_ANSWER and answer:
-                        met.setdefault((share, answer), []).append(text[start : start + 2 * STRIDE])
-                if met:
-                    found = (*max(met), cosine(i, met[max(met)]))
+            for d, i, start, cosine in chain(() if exact else latent.candidates(words), places(bench, latent, words)):
+                item = bench.items[i]
+                share, answer = holds(item, words[d][max(0, start - len(item)) : start + 2 * STRIDE + len(item)])
+                if share >= LCS or share >= LCS_ANSWER and answer:
+                    found = (share, answer, cosine)
                     best[d, i] = max(found, best.get((d, i), found))
             if best:
                 at_doc = pa.array([d for d, _ in best], pa.int64())
@@ -347,20 +433,20 @@ def matches(docs: DataFrame, bench: Benchmark, vectors: np.ndarray, schema: str)
     return docs.mapInArrow(search, f"doc_id {schema}, item long, cosine double, lcs double, answer boolean")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", exact: bool = False, least: float = COSINE) -> DataFrame:
     """A row (doc_id, item_id, cosine, lcs, answer) for each document and benchmark item that it holds."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kinds = {"doc_id": docs.schema["doc_id"].dataType.simpleString(), "item_id": benchmark.schema[item_id_col].dataType.simpleString()}
     parts = []
     for bench in read_items(benchmark, item_id_col, item_text_col):
-        if not bench.ids:
+        bench = weigh(docs, bench, exact)
+        if not len(bench.words):  # no document has a word of theirs
             continue
-        bench = weigh(docs, bench)
         names = spark.createDataFrame(list(enumerate(bench.ids)), f"item long, item_id {kinds['item_id']}")
-        found = matches(docs, bench, singular_vectors(docs, bench), kinds["doc_id"])
-        parts.append(found.join(F.broadcast(names), "item"))  # at most ITEMS rows
+        found = matches(docs, bench, singular_vectors(docs, bench), kinds["doc_id"], exact, least)
+        parts.append(found.join(F.broadcast(names), "item"))  # no more items than WORDS
     if not parts:
         return spark.createDataFrame([], f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, cosine double, lcs double, answer boolean")
     out = parts[0]
@@ -370,10 +456,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return best.select("doc_id", "item_id", "_b.cosine", "_b.lcs", "_b.answer")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item; a null doc_id stays."""
-    found = checkpoint(contaminated(docs, benchmark).select("doc_id").distinct())
-    return checked_join(docs, found, "doc_id", "left_anti").select(docs.columns)
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that hold a benchmark item; rows are told apart by content, so one that shares its id with such a row stays."""
+    key = F.struct(*row_key(F.col(text_col), F.col(id_col)))
+    found = checkpoint(contaminated(docs.select(key.alias("doc_id"), F.col(text_col).alias("text")), benchmark).select("doc_id._row1", "doc_id._row2").distinct())
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_in"), *row_key(F.col(text_col), F.col(id_col)))
+    return checked_join(whole, found, ["_row1", "_row2"], "left_anti").select("_in.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

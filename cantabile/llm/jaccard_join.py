@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantabile.llm.common import checked_join, checkpoint, release, row_key, small_batches, table
+from cantabile.llm.common import checked_join, checkpoint, release, row_key, bounded_batches, table
 from cantabile.llm.components import components
 from cantabile.llm.shingles import K, mix, overlap, shingle_sets
 
@@ -114,7 +114,7 @@ class SetJoin:
     """The steps of one join; `links` gives the links found and `members` the sets of the rows."""
 
     def __init__(self, docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> None:
-        small_batches(docs.sparkSession)
+        bounded_batches(docs.sparkSession)
         self.k, self.percent = k, percent
         text = F.col(text_col)
         self.source = docs.select(F.col(id_col).alias("doc_id"), *row_key(text, F.col(id_col)), text.alias("_text"))

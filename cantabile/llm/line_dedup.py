@@ -2,7 +2,9 @@
 
 Lines travel as two 64-bit hashes of the normalised key with the document's id and the line's
 position. Which lines fall is joined back on those hashes, gathered into a list of positions per
-document (never longer than the document) and applied to the text by position.
+document (never longer than the document) and applied to the text by position. Lines and documents that fall
+are written before they are joined back: few enough are broadcast, so that no text moves; beyond that the exchanges of these
+joins are plain, and Spark splits the partition of a hot line.
 
 A line's key is the line stripped of ASCII white space at both ends with A-Z lower-cased. Keys of at
 least `min_chars` code points in at least `min_docs` documents lose all their lines but those of the
@@ -11,7 +13,7 @@ document with the smallest id that holds them; repeats inside that document stay
 Defined results: a null or empty text is one empty line; rows with equal ids count as one document; a
 null id counts as a document and is the smallest; repeated rows each get their result; an empty
 table gives an empty result; other columns of docs pass through, save those named n_lines or
-n_dropped, which are replaced.
+n_dropped, which are replaced (with counts=False these pass through too and no count is given).
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantabile.llm.common import ascii_lower, checkpoint, row_key, table
+from cantabile.llm.common import ascii_lower, checked_join, checkpoint, is_small, row_key, table
 
 MIN_CHARS, MIN_DOCS = 10, 2
+#: Positions of lines that may be broadcast, 4 bytes each.
+BROADCAST_PLACES = 4_000_000
 
 
 def split_lines(text: Column) -> Column:
@@ -41,20 +45,22 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     # of each key once per document first: the hot key's documents then meet only as partial counts
     holders = keys.select("_h1", "_h2", F.struct("_doc").alias("_doc")).distinct()
     shared = holders.groupBy("_h1", "_h2").agg(F.count("*").alias("_docs"), F.min("_doc").alias("_first")).where(F.col("_docs") >= min_docs)
-    fallen = keys.join(shared.select("_h1", "_h2", "_first"), ["_h1", "_h2"]).where(~F.col("_doc").eqNullSafe(F.col("_first._doc")))
+    fallen = checked_join(keys, checkpoint(shared.select("_h1", "_h2", "_first")), ["_h1", "_h2"], "inner").where(~F.col("_doc").eqNullSafe(F.col("_first._doc")))
     return fallen.groupBy("_row1", "_row2").agg(F.collect_set("_pos").alias("_drop"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
     """docs with the text column cut, and the columns n_lines (before) and n_dropped."""
-    dropped = dropped_lines(docs, min_chars, min_docs, id_col, text_col)
+    dropped = checkpoint(dropped_lines(docs, min_chars, min_docs, id_col, text_col))
     text = F.coalesce(F.col("_in")[text_col], F.lit(""))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_in"), *row_key(F.col(text_col), F.col(id_col)))
-    cut = whole.join(dropped, ["_row1", "_row2"], "left").withColumn("_lines", F.split(text, "\n", -1))
+    small = is_small(dropped) and (dropped.agg(F.sum(F.size("_drop"))).first()[0] or 0) <= BROADCAST_PLACES
+    cut = whole.join(F.broadcast(dropped) if small else dropped, ["_row1", "_row2"], "left").withColumn("_lines", F.split(text, "\n", -1))
     places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     kept = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(F.transform(places, lambda i: F.element_at(F.col("_lines"), i + 1)), "\n"))
-    others = [(kept if c == text_col else F.col("_in")[c]).alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    return cut.select(*others, F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    others = [(kept if c == text_col else F.col("_in")[c]).alias(c) for c in docs.columns if not counts or c.lower() not in ("n_lines", "n_dropped")]
+    numbers = [F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped")]
+    return cut.select(*others, *(numbers if counts else ()))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

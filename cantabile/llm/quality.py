@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantabile.llm.common import checkpoint, small_batches, table
+from cantabile.llm.common import checkpoint, bounded_batches, table
 from cantabile.llm.language import held_out
 from cantabile.llm.matrices import summed
 from cantabile.llm.shingles import PIECE, mix, powers
@@ -254,7 +254,7 @@ def scored(rows: DataFrame, net: Network) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = checkpoint(pooled(docs, word_vectors(docs)))
     net = learn(rows.where(~held_out(1, 3) & F.col("doc_id").isNotNull()), table(spark, sf_dir, "labels"))

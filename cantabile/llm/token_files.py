@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cantabile.llm.bpe import spans
-from cantabile.llm.common import shared_path, small_batches, table
+from cantabile.llm.common import shared_path, bounded_batches, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
@@ -150,7 +150,7 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 def write_tokens(docs: DataFrame, target: str, path: str | None = None, end: int = END, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of docs into the folder `target`, in ascending id order."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     path = path or public_tokenizers.path(VOCABULARY)
     kind = docs.schema[id_col].dataType.simpleString()
     bits = width(tokenizer(path).get_vocab_size())
@@ -211,7 +211,7 @@ def read_tokens(spark: SparkSession, source: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # blocks
+    bounded_batches(spark)
     placed = files.join(F.broadcast(starts_of(files.select("part", "n_ids"))), "part").select("bits", "n_ids", "starts", "ids", "payload", (F.col("before") + F.col("first")).alias("offset"))
     return placed.mapInArrow(documents, f"doc_id {kind}, start long, n_tokens long, ids binary")
 

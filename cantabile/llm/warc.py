@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantabile.llm.common import checked_join, checkpoint, shared_path, table
+from cantabile.llm.common import bounded_batches, checked_join, checkpoint, shared_path, table
 
 MIN_REVISIT = 100
 CHUNK = 1 << 18
@@ -185,7 +185,7 @@ def read_warc(archives: DataFrame, root: str, id_type: str = "long") -> DataFram
 def round_trip(pages: DataFrame, target: str) -> DataFrame:
     """Writes pages as archives and reads these back."""
     spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    bounded_batches(spark)
     made = write_warc(plan(pages), target)
     n = made.count()  # a row for each archive
     return read_warc(made.repartition(max(1, n)), target, pages.schema["page_id"].dataType.simpleString())
