@@ -26,7 +26,7 @@ def ascii_lower(c: Column) -> Column:
 
 
 #: What one Arrow batch holds at most; the same for all operators, so that none depends on which ran before it.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "2m")}
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -2,8 +2,7 @@
 
 1. Texts are lower-cased words (letters and digits). Documents are read in windows of two
    blocks, each block STRIDE words; benchmark items are cut into passages of the same length.
-2. Document frequencies, over the blocks of all documents, are counted for the words of the
-   benchmark; they give TF-IDF weights and tell which words are too common to say anything. Each item keeps
+2. The frequencies, to a block, of the benchmark's words in all documents are counted; they give TF-IDF weights and tell which words are too common to say anything. Each item keeps
    the RARE rarest of its words that documents have, whatever their frequency.
 3. A randomised SVD of the matrix of all windows (rows) by these words, in one pass: every task adds up its
    part of Y = A'(A X) for a random X, the parts are summed in two shuffled steps, and only words x width numbers reach the
@@ -47,9 +46,9 @@ from cantabile.llm.shingles import PLAIN, word_hashes
 
 STRIDE = 16
 RANK, EXTRA = 128, 32
-COSINE = 0.35
+COSINE = 0.45
 #: Words in a larger share of the blocks are left out, unless they are among an item's RARE rarest.
-MAX_DF, RARE = 0.01, 12
+MAX_DF, RARE = 0.005, 10
 LCS, LCS_ANSWER = 0.6, 0.55
 #: Items of fewer words are looked for by their probes.
 SHORT = STRIDE
@@ -277,10 +276,9 @@ def weigh(docs: DataFrame, bench: Benchmark, exact: bool = False) -> Benchmark:
         n, total = len(bench.words), 0
         df = np.zeros(n, np.int64)
         for _, words in word_batches(batches):
-            block, first = blocks_of(words)
-            pos, word = bench.find(np.concatenate(words))
-            df += np.bincount(np.unique(block[pos] * n + word) % n, minlength=n)
-            total += int(first[-1])
+            _, word = bench.find(np.concatenate(words))
+            df += np.bincount(word, minlength=n)
+            total += sum(-(-len(w) // STRIDE) for w in words)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"word": pa.array(np.append(some, -1), pa.int64()), "df": pa.array(np.append(df[some], total), pa.int64())})
 
@@ -380,22 +378,38 @@ class Latent:
         flat = np.full(int(size.sum()), len(bench.every))
         at, word = find(bench.every, np.concatenate(docs))
         flat[at] = word
+        flat = np.append(flat, len(bench.every)).astype(np.int32)
         begins = np.cumsum(size) - size
         start = (key - first[doc]) * STRIDE
-        low, high = np.maximum(0, start - self.sizes[item]), np.minimum(size[doc], start + 2 * STRIDE + self.sizes[item])
-        for a in range(0, len(key), 4096):
+        # windows of an item next to each other are first tested as one stretch, which has all that is around them
+        order = np.lexsort((key, item))
+        key, item, cosine, doc, start = (x[order] for x in (key, item, cosine, doc, start))
+        run = np.flatnonzero(np.concatenate(([True], (np.diff(item) != 0) | (np.diff(doc) != 0) | (np.diff(key) > 2))))
+        of_run = np.append(run[1:], len(key)) - run
+        ok = self.enough(flat, begins[doc[run]], np.maximum(0, start[run] - self.sizes[item[run]]), np.minimum(size[doc[run]], start[run + of_run - 1] + 2 * STRIDE + self.sizes[item[run]]), item[run])
+        keep = np.repeat(ok, of_run)
+        key, item, cosine, doc, start = (x[keep] for x in (key, item, cosine, doc, start))
+        ok = self.enough(flat, begins[doc], np.maximum(0, start - self.sizes[item]), np.minimum(size[doc], start + 2 * STRIDE + self.sizes[item]), item)
+        for c in np.flatnonzero(ok).tolist():
+            yield int(doc[c]), int(item[c]), int(start[c]), float(cosine[c])
+
+    def enough(self, flat: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether the words low to high of the document that begins there can hold as many of the item as the rule asks for."""
+        bench, out = self.bench, np.zeros(len(item), bool)
+        for a in range(0, len(item), 4096):
             some = slice(a, a + 4096)
-            pair, place = spread((begins[doc] + low)[some], (high - low)[some])
+            pair, place = spread((begin + low)[some], (high - low)[some])
             word, need, wide = flat[place], self.need[item[some]], len(bench.every) + 1
             inside = self.has[item[some][pair], word >> 3] >> (word & 7).astype(np.uint8) & 1
-            enough = np.bincount(pair, inside, len(need)) >= need
-            # of those a word counts no oftener than the item has it
-            left = np.flatnonzero(enough[pair] & (inside > 0))
+            left = np.flatnonzero(inside)
+            pair, word = pair[left], word[left]
+            most = np.bincount(pair, minlength=len(need))
+            # of those that remain a word counts no oftener than the item has it
+            left = np.flatnonzero((most >= need)[pair])
             cell, n = np.unique(pair[left] * wide + word[left], return_counts=True)
             pair, word = np.divmod(cell, wide)
-            most = np.bincount(pair, np.minimum(n, self.times[np.searchsorted(self.cell, item[some][pair] * wide + word)]), len(need))
-            for c in (np.flatnonzero(most >= need) + a).tolist():
-                yield int(doc[c]), int(item[c]), int(start[c]), float(cosine[c])
+            out[some] = np.bincount(pair, np.minimum(n, self.times[np.searchsorted(self.cell, item[some][pair] * wide + word)]), len(need)) >= need
+        return out
 
 
 def places(bench: Benchmark, latent: Latent, words: list[np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
@@ -444,11 +458,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         bench = weigh(docs, bench, exact)
         if not len(bench.words):  # no document has a word of theirs
             continue
-        names = spark.createDataFrame(list(enumerate(bench.ids)), f"item long, item_id {kinds['item_id']}")
+        names = spark.createDataFrame(pa.table({"item": pa.array(range(len(bench.ids)), pa.int64()), "item_id": bench.ids}))
+        names = names.select("item", F.col("item_id").cast(kinds["item_id"]))
         found = matches(docs, bench, singular_vectors(docs, bench), kinds["doc_id"], exact, least)
         parts.append(found.join(F.broadcast(names), "item"))  # no more items than WORDS
     if not parts:
-        return spark.createDataFrame([], f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, cosine double, lcs double, answer boolean")
+        none = {"doc_id": kinds["doc_id"], "item_id": kinds["item_id"], "cosine": "double", "lcs": "double", "answer": "boolean"}
+        return spark.range(0).select(*(F.lit(None).cast(kind).alias(c) for c, kind in none.items()))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -50,11 +50,11 @@ TAUGHT = 100
 #: Letters of a word between two rescalings: 1e-7 for each, and for those before that a piece spans, is no underflow.
 STRETCH = 16
 #: Bytes of the arrays that words are scored in.
-BYTES = 1 << 25
+BYTES = 1 << 23
 #: Probability of a letter that isn't a piece, and what is added to every expected count.
 UNKNOWN, SMOOTH = 1e-7, 0.01
 #: What a worker remembers: bytes of words' scores, and letters of a word that is worth it. Words of texts that are scored at a time.
-MEMORY, REMEMBERED, AT_ONCE = 1 << 25, 40, 200_000
+MEMORY, REMEMBERED, AT_ONCE = 1 << 25, 40, 100_000
 _WORD = regex.compile(r"\p{L}+")
 
 

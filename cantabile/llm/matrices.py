@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -28,11 +27,11 @@ def summed(df: DataFrame, n: int, width: int, part: Callable[[Iterator[pa.Record
         salt = TaskContext.get().partitionId() % SALTS
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([i for i, _ in chunks], pa.int64()), "salt": pa.array([salt] * len(chunks), pa.int64()), "sums": pa.array([c for _, c in chunks], pa.binary())})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(s, np.float32).astype(np.float64) for s in pdf["sums"])
-        return pd.DataFrame({"chunk": pdf["chunk"][:1], "salt": pdf["salt"][:1], "sums": [total.astype(np.float32).tobytes()]})
+    def add(parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(s.as_py(), np.float32).astype(np.float64) for s in parts["sums"])
+        return parts.slice(0, 1).set_column(2, "sums", pa.array([total.astype(np.float32).tobytes()]))
 
-    sums = df.mapInArrow(of_task, _SCHEMA).groupBy("chunk", "salt").applyInPandas(add, _SCHEMA).groupBy("chunk").applyInPandas(add, _SCHEMA)
+    sums = df.mapInArrow(of_task, _SCHEMA).groupBy("chunk", "salt").applyInArrow(add, _SCHEMA).groupBy("chunk").applyInArrow(add, _SCHEMA)
     out = np.zeros((n, width))
     for r in sums.select("chunk", "sums").toLocalIterator():
         out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.sums, np.float32).reshape(-1, width)

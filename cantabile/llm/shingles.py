@@ -14,7 +14,7 @@ import numpy as np
 
 K = 5
 #: Bytes hashed at a time. Longer texts are cut between words.
-PIECE = 1 << 20
+PIECE = 1 << 17
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WHITE = np.zeros(256, bool)
