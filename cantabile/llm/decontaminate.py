@@ -45,8 +45,8 @@ from cantabile.llm.matrices import summed
 from cantabile.llm.shingles import PLAIN, word_hashes
 
 STRIDE = 16
-RANK, EXTRA = 128, 32
-COSINE = 0.45
+RANK, EXTRA = 128, 16
+COSINE = 0.5
 #: Words in a larger share of the blocks are left out, unless they are among an item's RARE rarest.
 MAX_DF, RARE = 0.005, 10
 LCS, LCS_ANSWER = 0.6, 0.55
@@ -181,10 +181,13 @@ class Windows:
         return np.searchsorted(self.row, np.arange(len(self.key)))
 
     def transposed(self, y: np.ndarray, out: np.ndarray) -> None:
-        """Adds A'y to out."""
-        each = np.ascontiguousarray(y.T)
-        for j in range(y.shape[1]):
-            out[:, j] += np.bincount(self.word, each[j][self.row] * self.weight, len(out))
+        """Adds A'y to out, a word at a time."""
+        order = np.argsort(self.word, kind="stable")
+        word = self.word[order]
+        edges = np.append(np.flatnonzero(np.diff(word, prepend=-1)), len(word))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            at = order[a:b]
+            out[word[a]] += self.weight[at] @ y[self.row[at]]
 
     def some(self, begin: int, end: int) -> Windows:
         a, b = np.searchsorted(self.row, (begin, end))

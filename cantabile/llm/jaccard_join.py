@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantabile.llm.common import checked_join, checkpoint, release, row_key, bounded_batches, table
+from cantabile.llm.common import bounded_batches, checked_join, checkpoint, release, row_key, table
 from cantabile.llm.components import components
 from cantabile.llm.shingles import K, mix, overlap, shingle_sets
 
@@ -54,6 +54,14 @@ STEP = 0.02
 TURNS = 3
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint of df; what it was made from is let go."""
+    out = checkpoint(df)
+    del df
+    release(out.sparkSession)
+    return out
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
@@ -119,9 +127,9 @@ class SetJoin:
         text = F.col(text_col)
         self.source = docs.select(F.col(id_col).alias("doc_id"), *row_key(text, F.col(id_col)), text.alias("_text"))
         sketched = self.source.withColumn("_s", sketch(F.col("_text"), k, percent))
-        self.rows = checkpoint(sketched.select("doc_id", "_row1", "_row2", "_s.*"))
+        self.rows = settled(sketched.select("doc_id", "_row1", "_row2", "_s.*"))
         one = F.min(F.struct("doc_id", "_row1", "_row2")).alias("_one")  # any row of the set will do for its text
-        self.sets = checkpoint(
+        self.sets = settled(
             self.rows.where("n > 0")
             .groupBy("sid", "n", "n_zone", F.size("tokens").alias("n_tokens"))
             .agg(one, F.min("doc_id").alias("least_id"))
@@ -147,7 +155,7 @@ class SetJoin:
             .withColumn("_before", F.col("n_zone") - F.size(F.filter("_shared", lambda x: x["beyond"] == 0)))
             .select("sid", "n", "own", "_before", F.posexplode(F.slice(F.sort_array("_shared"), F.lit(1), F.col("_left"))).alias("_i", "_e"))
         )
-        return checkpoint(out.select("_e.token", "sid", "n", "own", (F.greatest("_before", F.lit(0)) + F.col("_i")).alias("pos")))
+        return settled(out.select("_e.token", "sid", "n", "own", (F.greatest("_before", F.lit(0)) + F.col("_i")).alias("pos")))
 
     def texts(self, wanted: DataFrame) -> DataFrame:
         """Adds _text, a text of the set, to rows with distinct sid."""
@@ -188,8 +196,9 @@ class SetJoin:
         index = self.index()
         tested = self.verified(self.stars(index, 0, "x.sid <> h.sid"))
         good = tested.where(self.reaches())
-        found = checkpoint(components(good.select("a", "b")))
-        entries = checkpoint(self.crossing(index, found))
+        found = settled(components(good.select("a", "b")))
+        entries = settled(self.crossing(index, found))
+        del index
         for turn in range(TURNS):
             if entries.isEmpty():
                 return good.select("a", "b"), found
@@ -199,8 +208,8 @@ class SetJoin:
             if fresh.isEmpty():
                 break
             good = good.union(fresh)
-            found = checkpoint(components(good.select("a", "b")))
-            entries = checkpoint(self.rooted(entries.drop("root"), found))
+            found = settled(components(good.select("a", "b")))
+            entries = settled(self.rooted(entries.drop("root"), found))
         cross = self.across(entries, tested)
         if cross.isEmpty():
             return good.select("a", "b"), found

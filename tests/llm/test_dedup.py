@@ -98,3 +98,29 @@ def test_shards(clashing, cases, nothing, spark):
     same = spark.range(1000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("abc").alias("text"))
     counts = sharding.byte_shards(sharding.sized(same), 8).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last")).collect()
     assert sorted((r.shard, r.n, r.last) for r in counts) == [(s, 125, 124) for s in range(8)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_between_components_by_blocks_and_derived_answers(spark, seed, monkeypatch):
+    """Families around the threshold without hub rounds: all further links must come from block pairs and hubs' answers."""
+    monkeypatch.setattr(jaccard_join, "TURNS", 0)
+    candidates, asked = [], []
+    across, derived = jaccard_join.SetJoin.across, jaccard_join.SetJoin.derived
+    monkeypatch.setattr(jaccard_join.SetJoin, "across", lambda self, *x: candidates.append(across(self, *x)) or candidates[-1])
+    monkeypatch.setattr(jaccard_join.SetJoin, "derived", lambda self, *x: asked.append(1) or derived(self, *x))
+    rng = random.Random(seed)
+    docs = []
+    for family in range(3):
+        base = passage(rng, 200).split()
+        for branch in range(6):  # branches differ by a few places, their copies by one more
+            trunk = list(base)
+            for at in range(branch * 9, branch * 9 + 2 + branch % 3):
+                trunk[at * 3 % 200] = f"b{family}x{branch}y{at}"
+            for copy in range(4):
+                words = list(trunk)
+                if copy:
+                    words[rng.randrange(200)] = f"c{family}x{branch}y{copy}"
+                docs.append((len(docs), " ".join(words)))
+    got = jaccard_join.similar_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).select("doc_id", "n_shingles", "component_id")
+    assert sorted(tuples(got, "doc_id")) == brute.components(docs)
+    assert asked and candidates[0].count() > 0

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -253,7 +254,29 @@ def test_reworded_passages_are_found_as_by_the_rule(spark):
     assert {(r.doc_id, r.item_id): (r.lcs, r.answer) for r in got} == want
     assert all(-1.001 <= r.cosine <= 1.001 for r in got)
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench).collect()}
-    assert found <= set(want) and len(found) >= 0.9 * len(want), (sorted(set(want) - found), len(want))
+    assert found <= set(want)
+
+
+def test_recall_of_the_latent_search(spark):
+    """Items with 0 to 40 % of their rarest words replaced, in real documents: at least 0.9 of what the rule finds at all places."""
+    rng = random.Random(29)
+    texts = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{LARGER}/benchmark.parquet").collect()]
+    count = Counter(w for _, t in texts for w in t.lower().split())
+    long = [t.split() for _, t in texts if t.count(" ") > 150]
+    docs = list(texts)
+    for share in (0, 20, 30, 40):
+        for k, (_, item) in enumerate(items):
+            words, text = item.split(), list(rng.choice(long))
+            for at in sorted(range(len(words)), key=lambda i: count[words[i].lower()])[: len(words) * share // 100]:
+                words[at] = f"other{rng.randrange(10**6)}"
+            at = rng.randrange(len(text))
+            text[at:at] = words
+            docs.append((10**6 + 1000 * share + k, " ".join(text)))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(8), spark.createDataFrame(items, "item_id long, text string")
+    want = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench, exact=True).collect()}
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench).collect()}
+    assert found <= want and len(want) > 120 and len(found) >= 0.9 * len(want), (len(found), len(want))
 
 
 def test_longest_common_subsequence():
