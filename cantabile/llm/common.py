@@ -75,6 +75,37 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class Shelf:
+    """Tables written once into the shared folder, and deleted when nothing reads them any more.
+
+    A checkpoint runs its last stage twice and goes when the driver collects garbage; small tables here are also read in few tasks.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = shared_path(self.spark, "step")
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def mark(self) -> int:
+        return len(self.held)
+
+    def drop(self, *frames: DataFrame) -> None:
+        for frame, path in self.held:
+            if any(frame is f for f in frames):
+                remove(self.spark, path)
+        self.held = [x for x in self.held if not any(x[0] is f for f in frames)]
+
+    def drop_since(self, mark: int, *kept: DataFrame) -> None:
+        """Drops what was put since a mark, save what is kept."""
+        self.drop(*(f for f, _ in self.held[mark:] if not any(f is k for k in kept)))
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most `rows` rows; counting stops at one more than that."""
     return df.limit(rows + 1).count() <= rows

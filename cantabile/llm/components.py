@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cantabile.llm.common import checkpoint, release
+from cantabile.llm.common import Shelf, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,16 +23,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     """From edges (a, b) to a row (node, root) for every node that has an edge to another; root is the least node reached.
 
-    Each round is checkpointed and the files of the one before are let go, the driver sees two numbers a round, and a round's work is joins and
+    Each round is written and the one before deleted, the driver sees two numbers a round, and a round's work is joins and
     partial aggregates on the edge table. Self-links and repeated edges make no difference.
     """
-    edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    shelf = shelf or Shelf(edges.sparkSession)
+    mark = shelf.mark()
+    edges = shelf.put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = None
     while True:
-        edges = checkpoint(_star(_star(edges, True), False))
+        edges = shelf.put(_star(_star(edges, True), False))
+        shelf.drop_since(mark, edges)
         release(edges.sparkSession)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen or state[0] == 0:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantabile.llm.common import bounded_batches, checked_join, checkpoint, release, row_key, table
+from cantabile.llm.common import Shelf, bounded_batches, checked_join, checkpoint, release, row_key, table
 from cantabile.llm.components import components
 from cantabile.llm.shingles import K, mix, overlap, shingle_sets
 
@@ -54,14 +54,6 @@ STEP = 0.02
 TURNS = 3
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint of df; what it was made from is let go."""
-    out = checkpoint(df)
-    del df
-    release(out.sparkSession)
-    return out
-
-
 def prefix_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
@@ -123,13 +115,13 @@ class SetJoin:
 
     def __init__(self, docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> None:
         bounded_batches(docs.sparkSession)
-        self.k, self.percent = k, percent
+        self.k, self.percent, self.shelf = k, percent, Shelf(docs.sparkSession)
         text = F.col(text_col)
         self.source = docs.select(F.col(id_col).alias("doc_id"), *row_key(text, F.col(id_col)), text.alias("_text"))
         sketched = self.source.withColumn("_s", sketch(F.col("_text"), k, percent))
-        self.rows = settled(sketched.select("doc_id", "_row1", "_row2", "_s.*"))
+        self.rows = self.shelf.put(sketched.select("doc_id", "_row1", "_row2", "_s.*"))
         one = F.min(F.struct("doc_id", "_row1", "_row2")).alias("_one")  # any row of the set will do for its text
-        self.sets = settled(
+        self.sets = self.shelf.put(
             self.rows.where("n > 0")
             .groupBy("sid", "n", "n_zone", F.size("tokens").alias("n_tokens"))
             .agg(one, F.min("doc_id").alias("least_id"))
@@ -155,21 +147,23 @@ class SetJoin:
             .withColumn("_before", F.col("n_zone") - F.size(F.filter("_shared", lambda x: x["beyond"] == 0)))
             .select("sid", "n", "own", "_before", F.posexplode(F.slice(F.sort_array("_shared"), F.lit(1), F.col("_left"))).alias("_i", "_e"))
         )
-        return settled(out.select("_e.token", "sid", "n", "own", (F.greatest("_before", F.lit(0)) + F.col("_i")).alias("pos")))
+        return self.shelf.put(out.select("_e.token", "sid", "n", "own", (F.greatest("_before", F.lit(0)) + F.col("_i")).alias("pos")))
 
     def texts(self, wanted: DataFrame) -> DataFrame:
         """Adds _text, a text of the set, to rows with distinct sid."""
-        known = checkpoint(wanted.join(self.sets.select("sid", "n", "_row1", "_row2"), "sid"))
+        known = self.shelf.put(wanted.join(self.sets.select("sid", "n", "_row1", "_row2"), "sid"))
         # rows that agree in id and text are one row here
         return checked_join(self.source.select("_row1", "_row2", "_text"), known, ["_row1", "_row2"], "inner").drop("_row1", "_row2").dropDuplicates(["sid"])
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Adds n_a, n_b and inter to distinct pairs (a, b) of sets, from their whole texts."""
-        pairs = checkpoint(pairs)
+        mark = self.shelf.mark()
+        pairs = self.shelf.put(pairs)
         texts = self.texts(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
         side = lambda s: texts.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("_text").alias(f"_text_{s}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        out = checkpoint(both.select("a", "b", "n_a", "n_b", _overlap(self.k)("_text_a", "_text_b").alias("inter")))
+        out = self.shelf.put(both.select("a", "b", "n_a", "n_b", _overlap(self.k)("_text_a", "_text_b").alias("inter")))
+        self.shelf.drop_since(mark, out)
         del pairs, texts, both
         release(out.sparkSession)
         return out
@@ -196,9 +190,11 @@ class SetJoin:
         index = self.index()
         tested = self.verified(self.stars(index, 0, "x.sid <> h.sid"))
         good = tested.where(self.reaches())
-        found = settled(components(good.select("a", "b")))
-        entries = settled(self.crossing(index, found))
-        del index
+        mark = self.shelf.mark()
+        found = self.shelf.put(components(good.select("a", "b"), self.shelf))
+        entries = self.shelf.put(self.crossing(index, found))
+        self.shelf.drop(index)
+        self.shelf.drop_since(mark, found, entries)
         for turn in range(TURNS):
             if entries.isEmpty():
                 return good.select("a", "b"), found
@@ -208,13 +204,16 @@ class SetJoin:
             if fresh.isEmpty():
                 break
             good = good.union(fresh)
-            found = settled(components(good.select("a", "b")))
-            entries = settled(self.rooted(entries.drop("root"), found))
+            mark, before = self.shelf.mark(), (found, entries)
+            found = self.shelf.put(components(good.select("a", "b"), self.shelf))
+            entries = self.shelf.put(self.rooted(entries.drop("root"), found))
+            self.shelf.drop(*before)
+            self.shelf.drop_since(mark - len(before), found, entries)
         cross = self.across(entries, tested)
         if cross.isEmpty():
             return good.select("a", "b"), found
         links = good.select("a", "b").union(self.derived(cross, good))
-        return links, checkpoint(components(links))
+        return links, self.shelf.put(components(links, self.shelf))
 
     def rooted(self, entries: DataFrame, found: DataFrame) -> DataFrame:
         """Entries with the root of their component, of the lists that mix components."""
@@ -228,7 +227,7 @@ class SetJoin:
         A set's shingles that no other component has come first, so pos counts them.
         """
         asked = self.rooted(index.select("token", "sid"), found).groupBy("sid").agg(F.first("root").alias("root"))
-        sets = checkpoint(self.texts(asked).select("sid", "root", "n", all_shingles(F.col("_text"), self.k).alias("_all")))
+        sets = self.shelf.put(self.texts(asked).select("sid", "root", "n", all_shingles(F.col("_text"), self.k).alias("_all")))
         entries = sets.select("sid", "root", F.explode("_all").alias("token"))
         counts = entries.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_count")).where("_lo < _hi").select("token", "_count")
         shared = entries.join(counts, "token").groupBy("sid").agg(F.first("root").alias("root"), F.collect_list(F.struct("_count", "token")).alias("_shared"))
@@ -242,7 +241,7 @@ class SetJoin:
         # sets that may link are so many size classes apart at most
         reach = math.ceil(math.log(100 / self.percent) / STEP)
         entries = entries.withColumn("size", F.floor(F.log("n") / STEP)).withColumn("part", F.floor((F.col("n") - F.col("pos")) / F.col("n") / STEP))
-        entries = checkpoint(entries)
+        entries = self.shelf.put(entries)
         blocks = entries.groupBy("token", "size", "part").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         other = blocks.select("token", F.col("size").alias("size_b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
         near = blocks.withColumn("size_b", F.explode(F.sequence(F.col("size"), F.col("size") + reach)))
@@ -259,7 +258,7 @@ class SetJoin:
         swap = F.col("sid") < F.col("sid_b")
         cols = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("sid", "sid_b", "a"), ("n", "n_b", "n_a"), ("sid_b", "sid", "b"), ("n_b", "n", "n_b"))]
         done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return checkpoint(met.select(*cols).distinct().join(done, ["a", "b"], "left_anti"))
+        return self.shelf.put(met.select(*cols).distinct().join(done, ["a", "b"], "left_anti"))
 
     def derived(self, cross: DataFrame, good: DataFrame) -> DataFrame:
         """The links among candidates: from what their hubs share if that settles it, from their own texts if not."""
@@ -271,13 +270,13 @@ class SetJoin:
         x = cross.join(side("a"), "a", "left").join(side("b"), "b", "left")
         for s in "ab":
             x = x.withColumns({f"hub_inter_{s}": F.coalesce(f"hub_inter_{s}", f"n_{s}"), f"hub_n_{s}": F.coalesce(f"hub_n_{s}", f"n_{s}"), f"hub_{s}": F.coalesce(f"hub_{s}", s)})
-        x = checkpoint(x)
+        x = self.shelf.put(x)
         asked = x.select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b")).distinct()
         answers = self.verified(asked).select(F.col("a").alias("_lo"), F.col("b").alias("_hi"), F.col("inter").alias("_base"))
         bound = x.withColumns({"_lo": F.least("hub_a", "hub_b"), "_hi": F.greatest("hub_a", "hub_b")}).join(answers, ["_lo", "_hi"])
         bound = bound.withColumn("most", F.expr("least(n_a, n_b, _base + (n_a - hub_inter_a) + (n_b - hub_inter_b))"))
         bound = bound.withColumn("least", F.expr("_base - (hub_n_a - hub_inter_a) - (hub_n_b - hub_inter_b)"))
-        bound = checkpoint(bound.select("a", "b", "n_a", "n_b", "most", "least"))
+        bound = self.shelf.put(bound.select("a", "b", "n_a", "n_b", "most", "least"))
         sure = bound.where(self.reaches("least"))
         open_ = bound.where(f"{self.reaches('most')} and not {self.reaches('least')}")
         return sure.select("a", "b").union(self.verified(open_.select("a", "b")).where(self.reaches()).select("a", "b"))
@@ -306,7 +305,10 @@ class SetJoin:
         least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
         named = rooted.join(least, "root").select("sid", "component_id")
         out = self.rows.select("doc_id", "n", "sid").join(named, "sid", "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        made = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        made = checkpoint(made)
+        self.shelf.drop_since(0)
+        return made
 
 
 def similar_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,6 +319,7 @@ def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str
     """docs with one row of each component; of rows without words, one of those equal in every column."""
     join = SetJoin(docs, k, percent, id_col, text_col)
     gone, repeated = checkpoint(join.surplus()), checkpoint(join.repeated())
+    join.shelf.drop_since(0)
     keys = ["_row1", "_row2"]
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_in"), *row_key(F.col(text_col), F.col(id_col)))
     left = checked_join(checked_join(whole, gone, keys, "left_anti"), repeated, keys, "left")
