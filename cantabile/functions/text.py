@@ -30,10 +30,11 @@ TITLE_REWRITES = [
 ]
 # Notes at the end of a video's title.
 VIDEO_NOTES = r"(?:official\s+)?(?:music\s+)?video(?:\s+clip)?|(?:official\s+)?audio|lyrics?(?:\s+video)?|visuali[sz]er|(?:4k|hd|hq|remaster(?:ed)?(?:\s+\d{4})?)"
-# Language codes by ISO 639-3 code.
+# ISO 639-3 codes by the codes that stand for them.
 ISO3 = {
-    "rus": ["ru"], "eng": ["en"], "ukr": ["uk"], "kaz": ["kk"], "deu": ["ger", "de"], "fra": ["fre", "fr"], "spa": ["es"], "ita": ["it"], "pol": ["pl"],
-    "tur": ["tr"], "ara": ["ar"], "por": ["pt"], "bel": ["be"], "ron": ["rum", "ro"], "jpn": ["ja"], "kor": ["ko"], "zho": ["chi", "zh"],
+    "ru": "rus", "rus": "rus", "en": "eng", "eng": "eng", "uk": "ukr", "ukr": "ukr", "kk": "kaz", "kaz": "kaz", "de": "deu", "ger": "deu", "deu": "deu", "fr": "fra", "fre": "fra", "fra": "fra",
+    "es": "spa", "spa": "spa", "it": "ita", "ita": "ita", "pl": "pol", "pol": "pol", "tr": "tur", "tur": "tur", "ar": "ara", "ara": "ara", "pt": "por", "por": "por",
+    "be": "bel", "bel": "bel", "ro": "ron", "rum": "ron", "ron": "ron", "ja": "jpn", "jpn": "jpn", "ko": "kor", "kor": "kor", "zh": "zho", "chi": "zho", "zho": "zho",
 }
 
 
@@ -122,7 +123,7 @@ def sentences(x: Column) -> Column:
 
 def deobfuscate_word(x: Column) -> Column:
     """Lower case; a censored word spelled out; signs that stand for letters replaced if there are letters too."""
-    low = F.lower(x)
+    low = F.lower(nfkc(x))
     signs = F.regexp_replace(F.translate(low, "@$!", "asi"), "[#*]", "")
     known = F.create_map(*[F.lit(v) for kv in CENSORED.items() for v in kv])
     return F.coalesce(known[low], F.when(low.rlike(r"\p{L}") & low.rlike(r"[!@$#*]"), signs).otherwise(low))
@@ -143,7 +144,7 @@ def word_units(normalized: Column, word: Column | None = None) -> Column:
 def iso3(x: Column) -> Column:
     """ISO 639-3 code of a language code; any three letters stand for themselves."""
     low = F.lower(strip(F.coalesce(x, F.lit(""))))
-    known = F.create_map(*[F.lit(v) for code, others in ISO3.items() for o in [code, *others] for v in (o, code)])
+    known = F.create_map(*[F.lit(v) for kv in ISO3.items() for v in kv])
     return F.coalesce(known[low], F.when(F.length(low) == 3, low))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cantabile.functions.text import strip
 from cantabile.functions.timing import parse_time
 
+# What the file format says a stamp, a metadata row and an inline stamp are.
 BODY = r"\d{1,4}:[0-5]?\d(?:[.:]\d{1,3})?"
 META = r"^\s*\[([A-Za-z][\w-]*):(.*)\]\s*$"
 LEADING = rf"^(?:\s*\[{BODY}\])+"
@@ -38,35 +39,62 @@ def offsets(meta: DataFrame) -> DataFrame:
     return meta.where("key = 'offset'").select("track_id", F.col("value").try_cast("double").cast("bigint").alias("offset_ms")).where("offset_ms is not null")
 
 
-def inline_words(body: Column) -> Column:
-    """array<struct<word, start_ms, end_ms>> of a line's text after its stamps; a word's end is the next stamp, null after the last."""
-    stamps = F.regexp_extract_all(body, F.lit(INLINE), F.lit(1))
-    parts = F.split(body, INLINE)
-    parts = F.slice(parts, F.lit(2), F.size(parts))
-    pairs = F.zip_with(stamps, parts, lambda t, w: F.struct(parse_time(t).alias("t"), strip(w).alias("w")))
-    return F.filter(
-        F.transform(pairs, lambda p, i: F.struct(p["w"].alias("word"), p["t"].alias("start_ms"), F.try_element_at(F.transform(pairs, lambda q: q["t"]), i + 2).alias("end_ms"))),
-        lambda w: w["word"] != "",
-    )
+def inline_words(body: Column, line_start: Column | None = None) -> Column:
+    """array<struct<word, start_ms, end_ms, conf, origin>> of a line's text after its leading stamps.
+
+    Text before the first inline stamp is a word at the line's stamp. A word ends at a stamp that only ends it, else where the next word
+    starts; the last word at the line's terminal stamp, or nowhere.
+    """
+    stamps = F.transform(F.regexp_extract_all(body, F.lit(INLINE), F.lit(1)), parse_time)
+    parts = F.transform(F.split(body, INLINE), strip)
+    starts = F.concat(F.array(line_start if line_start is not None else F.lit(None).cast("bigint")), stamps)
+    pairs = F.zip_with(starts, parts, lambda t, w: F.struct(t.alias("t"), w.alias("w")))
+    terminal = terminal_stamp(body)
+
+    def one(p: Column, i: Column) -> Column:
+        later = F.slice(pairs, i + 2, F.size(pairs))
+        closing = F.filter(F.slice(later, F.lit(1), F.lit(1)), lambda q: (q["w"] == "") & (q["t"] > p["t"]))
+        following = F.filter(later, lambda q: q["w"] != "")
+        last = F.when(terminal > p["t"], terminal)
+        end = F.coalesce(F.try_element_at(closing, F.lit(1))["t"], F.try_element_at(following, F.lit(1))["t"], last)
+        return F.struct(p["w"].alias("word"), p["t"].alias("start_ms"), end.alias("end_ms"), F.lit(1.0).alias("conf"), F.lit("imported_elrc").alias("origin"))
+
+    words = F.filter(F.transform(pairs, one), lambda w: (w["word"] != "") & w["start_ms"].isNotNull())
+    return F.when(F.size(stamps) > 0, words).otherwise(F.slice(words, 1, 0))
+
+
+def terminal_stamp(body: Column) -> Column:
+    """The last inline stamp with no text after it; null if there is none."""
+    stamps = F.transform(F.regexp_extract_all(body, F.lit(INLINE), F.lit(1)), parse_time)
+    parts = F.transform(F.split(body, INLINE), strip)
+    bare = F.filter(F.zip_with(stamps, F.slice(parts, F.lit(2), F.size(parts)), lambda t, w: F.struct(t.alias("t"), w.alias("w"))), lambda q: q["w"] == "")
+    return F.try_element_at(bare, F.lit(-1))["t"]
 
 
 def timed_lines(texts: DataFrame, text_col: str = "raw") -> DataFrame:
-    """(track_id, line_idx, start_ms, text, words): lines in order of their acoustic start, which is the earliest of stamp and words."""
+    """(track_id, line_idx, start_ms, display_ms, end_ms, text, words): lines in order of their acoustic start, which is the earliest of stamp and words.
+
+    display_ms is the stamp of a line with words, end_ms its terminal stamp.
+    """
     lines = raw_lines(texts, text_col)
     shift = F.coalesce(F.col("offset_ms"), F.lit(0))
     rows = lines.where("kind = 'timed'").join(offsets(metadata(lines)), "track_id", "left")
     head = F.regexp_extract("line", f"({LEADING})", 1)
     stamps = F.regexp_extract_all(head, F.lit(rf"\[({BODY})\]"), F.lit(1))
     split = rows.select("track_id", "pos", shift.alias("_shift"), F.posexplode(stamps).alias("_nth", "_stamp"), strip(F.regexp_replace("line", LEADING, "")).alias("_body"))
-    words = F.transform(inline_words(F.col("_body")), lambda w: F.struct(w["word"].alias("word"), (w["start_ms"] + F.col("_shift")).alias("start_ms"), (w["end_ms"] + F.col("_shift")).alias("end_ms")))
-    shaped = split.withColumn("words", words).withColumn("_at", parse_time(F.col("_stamp")) + F.col("_shift"))
+    read = split.withColumn("_on", parse_time(F.col("_stamp"))).withColumn("_words", inline_words(F.col("_body"), F.col("_on")))
+    moved = lambda w: F.struct(w["word"].alias("word"), (w["start_ms"] + F.col("_shift")).alias("start_ms"), (w["end_ms"] + F.col("_shift")).alias("end_ms"), w["conf"].alias("conf"), w["origin"].alias("origin"))
+    shaped = read.withColumn("words", F.transform("_words", moved)).withColumn("_at", F.col("_on") + F.col("_shift"))
     plain = F.regexp_replace(F.col("_body"), INLINE, "")
-    text = F.when(F.size("words") > 0, F.array_join(F.transform("words", lambda w: w["word"]), " ")).otherwise(strip(plain))
+    timed_words = F.size("words") > 0
+    text = F.when(timed_words, F.array_join(F.transform("words", lambda w: w["word"]), " ")).otherwise(strip(plain))
     start = F.greatest(F.lit(0), F.least(F.col("_at"), F.coalesce(F.array_min(F.transform("words", lambda w: w["start_ms"])), F.col("_at"))))
-    timed = shaped.select("track_id", "pos", "_nth", start.alias("start_ms"), text.alias("text"), "words")
+    timed = shaped.select(
+        "track_id", "pos", "_nth", start.alias("start_ms"), F.when(timed_words, F.col("_at")).alias("display_ms"), (terminal_stamp(F.col("_body")) + F.col("_shift")).alias("end_ms"), text.alias("text"), "words"
+    )
     # equal starts keep the order of the text
     place = F.row_number().over(Window.partitionBy("track_id").orderBy("start_ms", "pos", "_nth")) - 1
-    return timed.select("track_id", place.alias("line_idx"), "start_ms", "text", "words")
+    return timed.select("track_id", place.alias("line_idx"), "start_ms", "display_ms", "end_ms", "text", "words")
 
 
 def plain_lines(texts: DataFrame, text_col: str = "raw") -> DataFrame:

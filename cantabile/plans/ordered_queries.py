@@ -266,19 +266,22 @@ def f2(spark, d):
     return repair.display_starts(base).select("track_id", "line_idx", "display_ms")
 
 
-@query("F4_word_clamp", SL, """, js AS (SELECT track_id, line_idx, word_idx, greatest(seq * 400 - word_idx * 400 + 100, start_ms) AS s FROM sw),
+@query("F4_word_clamp", SL, """, js AS (SELECT track_id, line_idx, word_idx, k, conf, origin,
+  greatest(seq * 400 - word_idx * 400 + 100, coalesce(CASE WHEN k % 4 <> 1 THEN start_ms END, seq * 400 - word_idx * 400 + 100 + round(greatest(40 * count(*) OVER (PARTITION BY track_id, line_idx), 2400) * word_idx / count(*) OVER (PARTITION BY track_id, line_idx))::BIGINT)) AS s FROM sw),
 rc AS (SELECT track_id, line_idx, word_idx, s AS start_ms, false AS moved FROM js WHERE word_idx = 0 UNION ALL
   SELECT js.track_id, js.line_idx, js.word_idx, CASE WHEN js.s < rc.start_ms THEN rc.start_ms + 1 ELSE js.s END, js.s < rc.start_ms FROM rc JOIN js ON js.track_id = rc.track_id AND js.line_idx = rc.line_idx AND js.word_idx = rc.word_idx + 1)
-SELECT * FROM rc""")
+SELECT track_id, line_idx, word_idx, rc.start_ms, moved, least(conf, CASE WHEN moved THEN 0.25 ELSE 1 END, CASE WHEN k % 4 = 1 THEN 0.12 ELSE 1 END) AS conf,
+  CASE WHEN k % 3 <> 0 THEN origin WHEN moved THEN 'repaired' WHEN k % 4 = 1 THEN 'interpolated' END AS origin FROM rc JOIN js USING (track_id, line_idx, word_idx)""")
 def f4(spark, d):
-    return repair.word_starts(sung_words(spark, d).withColumn("line_start_ms", (F.col("seq") - F.col("word_idx")) * 400 + 100))
+    w = sung_words(spark, d).withColumn("line_start_ms", (F.col("seq") - F.col("word_idx")) * 400 + 100).withColumn("line_end_ms", F.col("line_start_ms") + 2400)
+    return repair.word_starts(w.withColumns({"start_ms": F.when(F.col("k") % 4 != 1, F.col("start_ms")), "origin": F.when(F.col("k") % 3 != 0, F.col("origin"))}))
 
 
-@query("F5_word_end", SW, """SELECT track_id, line_idx, word_idx, least(greatest(start_ms + 1, nxt), greatest(start_ms + 1, coalesce(e, nxt))) AS end_ms FROM
+@query("F5_word_end", SW, """SELECT track_id, line_idx, word_idx, least(greatest(start_ms + 1, nxt), greatest(start_ms + 1, coalesce(e, nxt))) AS end_ms, CASE WHEN e IS NULL THEN least(conf, 0.12) ELSE conf END AS conf FROM
   (SELECT *, CASE WHEN k % 5 <> 0 THEN end_ms END AS e, coalesce(lead(start_ms) OVER (PARTITION BY track_id, line_idx ORDER BY word_idx), greatest(seq * 400 + 900, start_ms + 40)) AS nxt FROM sw)""")
 def f5(spark, d):
     w = sung_words(spark, d).withColumn("line_end_ms", F.col("seq") * 400 + 900).withColumn("end_ms", F.when(F.col("k") % 5 != 0, F.col("end_ms")))
-    return repair.word_ends(w).select("track_id", "line_idx", "word_idx", "end_ms")
+    return repair.word_ends(w).select("track_id", "line_idx", "word_idx", "end_ms", "conf")
 
 
 @query("F6_import_ends", SW, """SELECT track_id, line_idx, word_idx, coalesce(lead(start_ms) OVER (PARTITION BY track_id, line_idx ORDER BY word_idx), CASE WHEN k % 2 = 0 THEN end_ms END) AS end_ms FROM sw""")

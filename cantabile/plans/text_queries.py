@@ -30,12 +30,12 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/conversations.parquet")
 
 
-def heads(spark: SparkSession, d: str) -> DataFrame:
-    """First 60 characters of each turn: the catalogue's titles."""
-    return turns(spark, d).select("conv_id", "turn", F.substring(F.coalesce("text", F.lit("")), 1, 60).alias("t"))
+def said(spark: SparkSession, d: str) -> DataFrame:
+    """The text of each turn: the catalogue's titles."""
+    return turns(spark, d).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"))
 
 
-HEADS = "h AS (SELECT conv_id, turn, substr(coalesce(text, ''), 1, 60) AS t FROM conversations)"
+SAID = "h AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)"
 TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
@@ -132,11 +132,18 @@ def j2(spark, d):
     return sung_words(spark, d).select("track_id", "seq", timing.format_time(ms).alias("exact"), timing.format_time(ms, 2).alias("short"))
 
 
-@query("J3_inline", SW, """SELECT track_id, line_idx, word_idx, word, start_ms, lead(start_ms) OVER (PARTITION BY track_id, line_idx ORDER BY word_idx) AS end_ms FROM sw WHERE seq < 15000""")
+@query("J3_inline", SL, """SELECT track_id, line_idx, word_idx, word, s AS start_ms, coalesce(lead(s) OVER (PARTITION BY track_id, line_idx ORDER BY word_idx), CASE WHEN line_idx % 3 = 0 THEN CASE WHEN end_ms > s THEN end_ms END END) AS end_ms
+FROM (SELECT sw.track_id, sw.line_idx, word_idx, word, sl.end_ms, CASE WHEN word_idx = 0 AND sw.line_idx % 2 = 0 THEN anchor_ms ELSE sw.start_ms END AS s FROM sw JOIN sl ON sl.track_id = sw.track_id AND sl.line_idx = sw.line_idx WHERE n_words > 1 OR sw.line_idx % 2 = 1 OR sw.line_idx % 3 = 0)""")
 def j3(spark, d):
-    body = serialize.joined(sung_words(spark, d).select((F.col("track_id") * 1_000_000 + F.col("line_idx")).alias("track_id"), F.col("word_idx").alias("line_idx"), "word", "start_ms"), F.concat(F.lit("<"), timing.format_time(F.col("start_ms")), F.lit(">"), "word"), "body")
-    got = body.select("track_id", F.posexplode(parse.inline_words(F.regexp_replace("body", "\n", " "))).alias("word_idx", "w"))
-    return got.select(F.expr("track_id div 1000000").alias("track_id"), (F.col("track_id") % 1_000_000).alias("line_idx"), F.col("word_idx").cast("long").alias("word_idx"), "w.word", "w.start_ms", "w.end_ms")
+    """In even lines the first word has no stamp of its own; every third line has a terminal stamp. A line without any is no word-timed line."""
+    mark = F.concat(F.lit("<"), timing.format_time(F.col("start_ms")), F.lit(">"), "word")
+    shown = F.when((F.col("word_idx") == 0) & (F.col("line_idx") % 2 == 0), F.col("word")).otherwise(mark)
+    each = sung_words(spark, d).groupBy("track_id", "line_idx").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", shown.alias("x")))), lambda x: x["x"]), " ").alias("body"), (F.min("seq") * 400).alias("anchor_ms"), F.max("end_ms").alias("end_ms")
+    )
+    body = F.concat("body", F.when(F.col("line_idx") % 3 == 0, F.concat(F.lit(" <"), timing.format_time(F.col("end_ms")), F.lit(">"))).otherwise(""))
+    got = each.select("track_id", "line_idx", F.posexplode(parse.inline_words(body, F.col("anchor_ms"))).alias("word_idx", "w"))
+    return got.select("track_id", "line_idx", F.col("word_idx").cast("long").alias("word_idx"), "w.word", "w.start_ms", "w.end_ms")
 
 
 @query("J4_offset", LT, "SELECT track_id, min(start_ms) AS first_ms, max(start_ms) AS last_ms FROM ln GROUP BY track_id")
@@ -160,32 +167,32 @@ def c15(spark, d):
     return sung_words(spark, d).select("track_id", "seq", timing.number(raw, F.lit(-1.0)).alias("n"))
 
 
-@query("J9_search_text", HEADS, r"SELECT conv_id, turn, regexp_replace(regexp_replace(translate(replace(t, 'e', '’'), '’–—', '''--'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS s FROM h")
+@query("J9_search_text", SAID, r"SELECT conv_id, turn, regexp_replace(regexp_replace(translate(replace(t, 'e', '’'), '’–—', '''--'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS s FROM h")
 def j9(spark, d):
-    return heads(spark, d).select("conv_id", "turn", tx.search_text(F.replace("t", F.lit("e"), F.lit("’"))).alias("s"))
+    return said(spark, d).select("conv_id", "turn", tx.search_text(F.replace("t", F.lit("e"), F.lit("’"))).alias("s"))
 
 
-@query("J10_deobfuscate", HEADS, r"SELECT conv_id, turn, regexp_replace(t, '\bd[@4]mn\b', 'damn', 'gi') || ' shit bitch ass' AS s FROM h")
+@query("J10_deobfuscate", SAID, r"SELECT conv_id, turn, regexp_replace(t, '\bd[@4]mn\b', 'damn', 'gi') || ' shit bitch a$$' AS s FROM h")
 def j10(spark, d):
-    return heads(spark, d).select("conv_id", "turn", tx.deobfuscate_title(F.concat("t", F.lit(" Sh!*t b#tch a$$"))).alias("_s")).select("conv_id", "turn", F.regexp_replace("_s", r"a\$\$$", "ass").alias("s"))
+    return said(spark, d).select("conv_id", "turn", tx.deobfuscate_title(F.concat("t", F.lit(" Sh!*t b#tch a$$"))).alias("s"))
 
 
-@query("J11_strip_notes", HEADS, r"SELECT conv_id, turn, regexp_replace('x' || regexp_replace(t, '[()\[\]]', '', 'g'), '^\s+|\s+$', '', 'g') AS s FROM h")
+@query("J11_strip_notes", SAID, r"SELECT conv_id, turn, regexp_replace('x' || regexp_replace(t, '[()\[\]]', '', 'g'), '^\s+|\s+$', '', 'g') AS s FROM h")
 def j11(spark, d):
     noted = F.concat(F.lit("x"), F.regexp_replace("t", r"[()\[\]]", ""), F.lit(" (Official Music Video) [HD] (lyrics video) [Remastered 2011]"))
-    return heads(spark, d).select("conv_id", "turn", tx.strip_notes(noted).alias("s"))
+    return said(spark, d).select("conv_id", "turn", tx.strip_notes(noted).alias("s"))
 
 
-@query("J12_title_variants", HEADS, "SELECT conv_id, count(*) AS n, sum(CASE WHEN turn % 2 = 0 THEN 3 ELSE 1 END) AS variants FROM h GROUP BY conv_id")
+@query("J12_title_variants", SAID, "SELECT conv_id, count(*) AS n, sum(CASE WHEN turn % 2 = 0 THEN 3 ELSE 1 END) AS variants FROM h GROUP BY conv_id")
 def j12(spark, d):
-    title = F.concat(F.lit("song "), F.col("turn").cast("string"), F.when(F.col("turn") % 2 == 0, " sh!t [Official Video]").otherwise(""))
-    return heads(spark, d).groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.size(tx.title_variants(title))).alias("variants"))
+    title = F.concat(F.lit("song "), F.col("turn").cast("string"), F.lit(" "), F.col("t"), F.when(F.col("turn") % 2 == 0, " sh!t [Official Video]").otherwise(""))
+    return said(spark, d).groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.size(tx.title_variants(title))).alias("variants"))
 
 
 @query("J13_similarity")
 def j13(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return heads(spark, d).withColumn("_p", F.lag("t").over(w)).where("_p is not null").select("conv_id", "turn", F.round(tx.similarity(F.col("t"), F.col("_p")), 9).alias("similarity"))
+    return said(spark, d).withColumn("_p", F.lag("t").over(w)).where("_p is not null").select("conv_id", "turn", F.round(tx.similarity(F.col("t"), F.col("_p")), 9).alias("similarity"))
 
 
 @query("J14_match_score", SW, "SELECT track_id, seq, round(0.58 * conf + 0.30 * coalesce(CASE WHEN k % 3 <> 0 THEN conf END, 0.75) + 0.12 * 0.75 + CASE WHEN k % 2 = 0 THEN 0.1 ELSE 0 END, 6) AS score FROM sw")
@@ -232,10 +239,10 @@ def j22(spark, d):
     return sung_words(spark, d).select("track_id", "seq", tx.separation_mode(F.when(k == 0, " Yes").when(k == 1, "0").when(k == 2, "adaptive").otherwise("what")).alias("mode"))
 
 
-@query("J23_footer", HEADS, f"SELECT conv_id, turn, {TRIM.format('t')} AS s FROM h")
+@query("J23_footer", SAID, f"SELECT conv_id, turn, {TRIM.format('t')} AS s FROM h")
 def j23(spark, d):
     foot = F.when(F.col("turn") % 2 == 0, "\n\n******* not for commercial use").otherwise("\n\n(Source: somewhere)")
-    return heads(spark, d).select("conv_id", "turn", tx.without_footer(F.concat("t", foot)).alias("s"))
+    return said(spark, d).select("conv_id", "turn", tx.without_footer(F.concat("t", foot)).alias("s"))
 
 
 @query("J24_safe_name", None, r"""SELECT page_id, regexp_replace(regexp_replace(url, '[<>:"/\\|?*$`]', '', 'g'), '^\s+|[. ]+$', '', 'g') AS s FROM pages""")
@@ -324,10 +331,10 @@ def g4(spark, d):
 
 @query("G2_topk_similarity")
 def g2(spark, d):
-    """Of each document the two turns of its conversation whose openings are most like its own."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.substring("text", 1, 60).alias("asked_title"), (F.col("doc_id") % 100).alias("conv_id"))
-    hits = docs.join(heads(spark, d).select("conv_id", F.col("turn").alias("position"), F.col("t").alias("title")), "conv_id")
-    return search.best_match(hits, ["doc_id"], 0.3, 2).select("doc_id", "position", F.round("score", 9).alias("score"), "place")
+    """Of the first turn of each conversation the two later turns that are most like it."""
+    first = said(spark, d).groupBy("conv_id").agg(F.min_by("t", "turn").alias("asked_title"), F.min("turn").alias("_first"))
+    hits = said(spark, d).select("conv_id", F.col("turn").alias("position"), F.col("t").alias("title")).join(first, "conv_id").where("position > _first")
+    return search.best_match(hits, ["conv_id"], 0.3, 2).select("conv_id", "position", F.round("score", 9).alias("score"), "place")
 
 
 @query("K5_progress", SW, "SELECT track_id, seq, CASE WHEN k < 10 THEN 'waiting' WHEN k < 30 THEN 'step1' WHEN k < 70 THEN 'step2' WHEN k < 95 THEN 'step3' ELSE 'done' END AS step FROM sw")
@@ -346,10 +353,10 @@ def k3(spark, d):
 
 def cached(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select(F.format_string("%08d", "doc_id").alias("cache_key"), F.substring("text", 1, 20).alias("payload"), F.col("n_chars").alias("byte_size"), F.col("doc_id").alias("created_at"), ((F.col("doc_id") * 7919) % 100003).alias("last_access"), (F.col("doc_id") % 5).alias("schema_version"))
+    return docs.select(F.format_string("%08d", "doc_id").alias("cache_key"), F.col("text").alias("payload"), F.col("n_chars").alias("byte_size"), F.col("doc_id").alias("created_at"), ((F.col("doc_id") * 7919) % 100003).alias("last_access"), (F.col("doc_id") % 5).alias("schema_version"))
 
 
-CACHE = "ca AS (SELECT printf('%08d', doc_id) AS cache_key, substr(text, 1, 20) AS payload, n_chars AS byte_size, doc_id AS created_at, doc_id * 7919 % 100003 AS last_access, doc_id % 5 AS schema_version FROM documents)"
+CACHE = "ca AS (SELECT printf('%08d', doc_id) AS cache_key, text AS payload, n_chars AS byte_size, doc_id AS created_at, doc_id * 7919 % 100003 AS last_access, doc_id % 5 AS schema_version FROM documents)"
 
 
 @query("L3_lookup", CACHE, "SELECT printf('%08d', doc_id * 2) AS cache_key, payload FROM documents LEFT JOIN (SELECT * FROM ca WHERE schema_version = 2) ca ON ca.cache_key = printf('%08d', doc_id * 2)")

@@ -3,14 +3,18 @@
 import itertools
 import math
 import random
+import re
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cantabile.functions import text as tx
 from cantabile.functions.timing import format_time, parse_time
-from cantabile.operators import align, ordered, parse, rescue
+from cantabile.operators import align, ordered, parse, repair, rescue
+from cantabile.plans.catalogue import QUERIES
 
 
 def one(spark, column):
@@ -121,3 +125,48 @@ def test_asof_backward(spark):
     right = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (1, 5, "A")], "k long, s long, v string")
     got = {(r.k, r.t): r.v for r in ordered.asof_backward(left, right, ["k"], "t", "s", "v").collect()}
     assert got == {(1, 5): "a", (1, 10): "b", (1, 0): None, (2, 3): None}
+
+
+def test_text_before_the_first_inline_stamp_is_a_word(spark):
+    raw = "[00:01.000]Hello <00:02.000>wide <00:02.500>world <00:03.456>\n[00:04.000]plain line\n[00:05.000]<00:05.100>a <00:05.200><00:05.300>b"
+    rows = parse.timed_lines(spark.createDataFrame([(1, raw)], "track_id long, raw string")).orderBy("line_idx").collect()
+    words = [[(w.word, w.start_ms, w.end_ms, w.conf, w.origin) for w in r.words] for r in rows]
+    own = (1.0, "imported_elrc")
+    assert words == [
+        [("Hello", 1000, 2000, *own), ("wide", 2000, 2500, *own), ("world", 2500, 3456, *own)], [],
+        [("a", 5100, 5200, *own), ("b", 5300, None, *own)],
+    ]
+    assert [(r.text, r.start_ms, r.display_ms, r.end_ms) for r in rows] == [("Hello wide world", 1000, 1000, 3456), ("plain line", 4000, None, None), ("a b", 5000, 5000, 5200)]
+
+
+def test_a_display_stamp_later_than_the_first_word(spark):
+    """A line that was shown late keeps its acoustic start."""
+    rows = parse.timed_lines(spark.createDataFrame([(1, "[00:01.820]<00:01.700>next <00:02.500>")], "track_id long, raw string")).collect()
+    assert [(r.start_ms, r.display_ms, r.words[0].end_ms) for r in rows] == [(1700, 1820, 2500)]
+
+
+def test_missing_word_starts_are_spread_over_the_line(spark):
+    rows = [(1, 0, 0, 1000, 0.9, "aligned"), (1, 0, 1, None, 0.9, None), (1, 0, 2, None, 0.05, "kept"), (1, 0, 3, 900, 0.9, None)]
+    words = spark.createDataFrame([(*r, 1000, 2000) for r in rows], "track_id long, line_idx long, word_idx long, start_ms long, conf double, origin string, line_start_ms long, line_end_ms long")
+    got = [(r.start_ms, r.moved, r.conf, r.origin) for r in repair.word_starts(words).orderBy("word_idx").collect()]
+    assert got == [(1000, False, 0.9, "aligned"), (1250, False, 0.12, "interpolated"), (1500, False, 0.05, "kept"), (1501, True, 0.25, "repaired")]
+
+
+def test_full_width_words_are_uncensored(spark):
+    row = spark.createDataFrame([("ｓｈ！ｔ", "a$$")], "a string, b string").select(tx.deobfuscate_word(F.col("a")).alias("a"), tx.deobfuscate_title(F.col("b")).alias("b")).first()
+    assert (row.a, row.b) == ("shit", "a$$")
+
+
+def test_most_similar_turns_against_brute_force(spark):
+    """Whole texts, every conversation, with the standard library's ratio."""
+    flat = lambda s: re.sub(r"[^\w]+", " ", re.sub(r"\s+", " ", s).strip().lower()).strip()
+    talks = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect():
+        talks.setdefault(r.conv_id, []).append((r.turn, flat(r.text or "")))
+    want = []
+    for conv, turns in talks.items():
+        (_, asked), *later = sorted(turns)
+        scores = sorted((-(0.58 * (SequenceMatcher(None, asked, t).ratio() if asked and t else 0.0) + 0.42 * 0.75), n) for n, t in later)
+        want += [(conv, n, round(-s, 6), place) for place, (s, n) in enumerate([x for x in scores if -x[0] >= 0.3][:2], 1)]
+    got = [(r.conv_id, r.position, round(r.score, 6), r.place) for r in QUERIES["G2_topk_similarity"](spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(want)
