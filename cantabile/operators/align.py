@@ -145,11 +145,12 @@ def retry_wanted(conf: Column, delta_ms: Column, weak: float, most_delta_ms: int
     return ((conf < weak) | (F.abs(delta_ms) > most_delta_ms)) & (retry_margin > margin)
 
 
-def keep_better(old: DataFrame, new: DataFrame, keys: list[str], score: str, least: float) -> DataFrame:
-    """Of two passes the new row where it is better by more than `least`, else the old; rows without a new one stay."""
+def keep_better(old: DataFrame, new: DataFrame, keys: list[str], score: str, least: float, equal: bool = False) -> DataFrame:
+    """Of two passes the new row where it is better by more than `least` (equal: by that much), else the old; rows without a new one stay."""
     names = [c for c in old.columns if c not in keys]
     both = old.join(new.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in names)), keys, "left")
-    wins = F.coalesce(F.col(f"_new_{score}") > F.col(score) + least, F.lit(False))
+    new, bar = F.col(f"_new_{score}"), F.col(score) + least
+    wins = F.coalesce(new >= bar if equal else new > bar, F.lit(False))
     return both.select(*keys, *(F.when(wins, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in names), wins.alias("replaced"))
 
 

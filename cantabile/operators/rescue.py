@@ -2,61 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cantabile.operators.ordered import weighted_median
+from cantabile.operators.ordered import maxplus_clamp
 
 LINE = ["track_id", "line_idx"]
 WORD = [*LINE, "word_idx"]
 
 
-def consensus(passes: DataFrame, most_spread_ms: int = 155) -> DataFrame:
-    """A row for each word from its observations in several passes (pass_idx, start_ms, end_ms, conf).
+def _lower_median(observed: Column, value: str) -> Column:
+    """The value, in order, at which half of the weight .15 + conf^2 of the observations is reached."""
+    ordered = F.sort_array(F.transform(observed, lambda o: F.struct(o[value].alias("v"), (0.15 + o["conf"] * o["conf"]).alias("w"))))
+    half = F.aggregate(ordered, F.lit(0.0), lambda run, x: run + x["w"]) / 2 - 1e-12
+    none = F.lit(None).cast("double")
+    reached = F.aggregate(
+        ordered, F.struct(F.lit(0.0).alias("run"), none.alias("v")),
+        lambda s, x: F.struct((s["run"] + x["w"]).alias("run"), F.coalesce(s["v"], F.when(s["run"] + x["w"] >= half, x["v"].cast("double"))).alias("v")),
+    )
+    return reached["v"].cast("bigint")
+
+
+def consensus(passes: DataFrame, most_spread_ms: int = 155, keys: list[str] = WORD) -> DataFrame:
+    """A row for each word from its observations in several passes (pass_idx, start_ms, end_ms, conf; origin if there is one).
 
     Weighted medians of starts and ends where at least two observations lie within the spread, the most
-    confident observation where not.
+    confident observation, of equal ones the first, where not. A word's observations are as many as passes, so they
+    are gathered once.
     """
-    weighted = passes.withColumn("_w", 0.15 + F.col("conf") * F.col("conf"))
-    base = passes.groupBy(*WORD).agg(
-        F.count("*").alias("n"), (F.max("start_ms") - F.min("start_ms")).alias("spread_ms"), F.avg("conf").alias("_mean"),
-        F.max_by(F.struct("start_ms", "end_ms", "conf"), F.struct("conf", -F.col("pass_idx"))).alias("_best"),
+    origin = F.col("origin") if "origin" in passes.columns else F.lit(None).cast("string")
+    g = passes.where("start_ms is not null").groupBy(*keys).agg(F.collect_list(F.struct("start_ms", "end_ms", "conf", "pass_idx", origin.alias("origin"))).alias("_o"))
+    of = lambda c: F.transform("_o", lambda o: o[c])
+    best = F.array_max(F.transform("_o", lambda o: F.struct(o["conf"].alias("conf"), (-o["pass_idx"]).alias("pass_idx"), o["start_ms"].alias("start_ms"), o["end_ms"].alias("end_ms"), o["origin"].alias("origin"))))
+    told = g.select(
+        *keys, F.size("_o").cast("long").alias("n"), (F.array_max(of("start_ms")) - F.array_min(of("start_ms"))).alias("spread_ms"), best.alias("_best"),
+        (F.aggregate(of("conf"), F.lit(0.0), lambda a, x: a + x) / F.size("_o")).alias("_mean"), _lower_median(F.col("_o"), "start_ms").alias("_start"), _lower_median(F.col("_o"), "end_ms").alias("_end"),
     )
-    starts = weighted_median(weighted, WORD, "start_ms", "_w", "_start")
-    ends = weighted_median(weighted, WORD, "end_ms", "_w", "_end")
     agree = (F.col("n") >= 2) & (F.col("spread_ms") <= most_spread_ms)
-    out = base.join(starts, WORD).join(ends, WORD)
-    return out.select(
-        *WORD, "n", "spread_ms",
+    return told.select(
+        *keys, "n", "spread_ms",
         F.when(agree, F.col("_start")).otherwise(F.col("_best.start_ms")).alias("start_ms"),
         F.when(agree, F.col("_end")).otherwise(F.col("_best.end_ms")).alias("end_ms"),
         F.round(F.when(agree, F.least(F.lit(0.97), F.col("_mean") + 0.025)).otherwise(F.col("_best.conf")), 9).alias("conf"),
-        F.when(agree, "adaptive_consensus").otherwise("adaptive_best_pass").alias("origin"),
+        F.when(agree, "adaptive_consensus").otherwise(F.coalesce("_best.origin", F.lit("adaptive_best_pass"))).alias("origin"),
     )
 
 
-def interpolate_missing(words: DataFrame) -> DataFrame:
-    """Words without a start share the room between their timed neighbours, or the line's ends, equally: 30 ms each at least, confidence .10."""
-    order = Window.partitionBy(*LINE).orderBy("word_idx")
+def interpolate_missing(words: DataFrame, keys: list[str] = LINE, origin: str = "interpolated", keep: list[str] | None = None) -> DataFrame:
+    """Words without a start share the room between their timed neighbours, or the line's ends, equally: 30 ms each at least, confidence .10. keep: further columns to carry."""
+    order = Window.partitionBy(*keys).orderBy("word_idx")
     timed = F.col("start_ms").isNotNull()
     left = F.last(F.when(timed, F.col("end_ms")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     right = F.first(F.col("start_ms"), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
     block = F.sum(timed.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     marked = words.withColumns({"_left": F.coalesce(left, F.col("line_start_ms")), "_right": F.coalesce(right, F.col("line_end_ms")), "_block": block, "_timed": timed})
-    inside = Window.partitionBy(*LINE, "_block", "_timed")
+    inside = Window.partitionBy(*keys, "_block", "_timed")
     placed = marked.withColumns({"_n": F.count("*").over(inside), "_i": F.row_number().over(inside.orderBy("word_idx")) - 1})
     placed = placed.withColumn("_span", F.greatest(30 * F.col("_n"), F.col("_right") - F.col("_left")))
     at = lambda i: F.col("_left") + F.expr(f"(_span * ({i})) div _n")
     return placed.select(
-        *WORD,
+        *keys, "word_idx", *(keep or []),
         F.coalesce("start_ms", at("_i")).alias("start_ms"),
         F.when(F.col("_timed"), F.col("end_ms")).otherwise(at("_i + 1")).alias("end_ms"),
         F.when(F.col("_timed"), F.col("conf")).otherwise(0.10).alias("conf"),
-        F.when(F.col("_timed"), F.col("origin")).otherwise("interpolated").alias("origin"),
-    )
+        F.when(F.col("_timed"), F.col("origin")).otherwise(origin).alias("origin"),
+    )
 
 
 def line_tempo(words: DataFrame) -> DataFrame:
@@ -99,49 +109,31 @@ def consecutive_weak(words: DataFrame, least: float) -> DataFrame:
     return words.select(*LINE, both.alias("_b")).groupBy(*LINE).agg(F.bool_or("_b").alias("consecutive"))
 
 
-def reconstruct(words: DataFrame, snap: Callable[[float], float] | None = None) -> DataFrame:
+def reconstruct(words: DataFrame) -> DataFrame:
     """Unstable words (unstable) of each block are set anew in proportion to their units between the neighbours.
 
-    Every start lies 12 ms after the one before and leaves 12 ms for each word to come. snap may move a
-    start to a nearby onset, so each depends on the last and a line is one group. Needs line_start_ms, line_end_ms.
+    Every start lies 12 ms after the one before and leaves 12 ms for each word to come. The upper bound rises by the same 12 ms
+    as the lower, so a running maximum, cut at the bound, gives the recurrence. Needs line_start_ms, line_end_ms.
     """
-    fields = ["word_idx", "start_ms", "end_ms", "conf", "origin", "unstable", "units", "line_start_ms", "line_end_ms"]
-    made = pa.list_(pa.struct([("word_idx", pa.int64()), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("conf", pa.float64()), ("origin", pa.string())]))
-
-    @F.arrow_udf("array<struct<word_idx:long,start_ms:double,end_ms:double,conf:double,origin:string>>")
-    def lines(batch: pa.Array) -> pa.Array:
-        return pa.array([_reset(words, snap) for words in batch.to_pylist()], made)
-
-    # one row a line, so that a batch holds many lines and Python is not called for each
-    gathered = words.groupBy(*LINE).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_words"))
-    return gathered.select(*LINE, F.inline(lines("_words")))
-
-
-def _reset(words: list[dict], snap: Callable[[float], float] | None) -> list[dict]:
-    """One line's words in order, its unstable blocks set anew."""
-    i = 0
-    while i < len(words):
-        if not words[i]["unstable"]:
-            i += 1
-            continue
-        j = i
-        while j < len(words) and words[j]["unstable"]:
-            j += 1
-        left = words[i - 1]["end_ms"] if i else words[0]["line_start_ms"]
-        right = words[j]["start_ms"] if j < len(words) else words[0]["line_end_ms"]
-        right = max(right, left + 40.0 * (j - i))
-        scale = (right - left) / sum(w["units"] for w in words[i:j])
-        last, done = left - 1.0, 0.0
-        for k, w in enumerate(words[i:j], i):
-            wanted = left + done * scale
-            done += w["units"]
-            last = w["start_ms"] = min(max(snap(wanted) if snap else wanted, last + 12.0), right - 12.0 * (j - k))
-            w["conf"] = min(0.44, max(0.24, 0.72 * w["conf"] + 0.16))
-            w["origin"] = "tempo_energy_rescue"
-        for k in range(i, j):
-            words[k]["end_ms"] = words[k + 1]["start_ms"] if k + 1 < j else right
-        i = j
-    return words
+    order = Window.partitionBy(*LINE).orderBy("word_idx")
+    stable = ~F.col("unstable")
+    block = F.sum(stable.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # neighbours in the whole line: a block lies between two stable words
+    edges = {"_block": block, "_left": F.coalesce(F.last(F.when(stable, F.col("end_ms")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.first("line_start_ms").over(order))}
+    edges["_right"] = F.coalesce(F.first(F.when(stable, F.col("start_ms")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)), F.first("line_end_ms").over(order))
+    inside = Window.partitionBy(*LINE, "_block", "unstable")
+    inner = inside.orderBy("word_idx")
+    run = inner.rowsBetween(Window.unboundedPreceding, -1)
+    sized = words.withColumns(edges).withColumns({"_n": F.count("*").over(inside), "_i": F.row_number().over(inner) - 1, "_all": F.sum("units").over(inside), "_done": F.coalesce(F.sum("units").over(run), F.lit(0.0))})
+    sized = sized.withColumn("_right", F.greatest("_right", F.col("_left") + 40 * F.col("_n")))
+    wanted = F.greatest(F.col("_left") + 11.0, F.col("_left") + F.col("_done") * (F.col("_right") - F.col("_left")) / F.col("_all"))
+    placed = sized.withColumn("_wanted", wanted).withColumn("_set", F.least(maxplus_clamp(F.col("_wanted"), inner, 12), F.col("_right") - 12.0 * (F.col("_n") - F.col("_i"))))
+    following = F.coalesce(F.lead("_set").over(inner), F.col("_right").cast("double"))
+    anew = lambda new, old: F.when(F.col("unstable"), new).otherwise(F.col(old).cast("double"))
+    return placed.select(
+        *WORD, anew(F.col("_set"), "start_ms").alias("start_ms"), anew(following, "end_ms").alias("end_ms"),
+        anew(F.least(F.lit(0.44), F.greatest(F.lit(0.24), 0.72 * F.col("conf") + 0.16)), "conf").alias("conf"), F.when(F.col("unstable"), "tempo_energy_rescue").otherwise(F.col("origin")).alias("origin"),
+    )
 
 
 def novelty_peak(frames: DataFrame, keys: list[str]) -> DataFrame:

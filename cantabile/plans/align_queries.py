@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cantabile.functions.text import tokens, word_units
-from cantabile.operators import align, compare, ordered, quality, rescue
+from cantabile.operators import align, compare, ordered, passes as steps, quality, rescue
 from cantabile.operators.ordered import by_line, by_track
 from cantabile.plans.ordered_queries import lines
 from cantabile.plans.sql import SL, SW, with_
-from cantabile.schema import REASONS
-from cantabile.sources.views import sung_words
+from cantabile.schema import REASONS, profile
+from cantabile.sources.views import sung_frames, sung_texts, sung_words
 
 QUERIES, ORACLES = {}, {}
 LINE = ["track_id", "line_idx"]
@@ -260,12 +260,23 @@ def f9(spark, d):
     return rescue.interpolate_missing(w.join(bounds, LINE))
 
 
-@query("F15_reconstruct")
+REBUILT = UNITS + """,
+ot AS (SELECT un.*, prior, (coalesce(lead(start_ms) OVER (PARTITION BY un.track_id, un.line_idx ORDER BY word_idx), end_ms) - start_ms) / 1000 / greatest(0.035, units * prior) AS r FROM un JOIN pq USING (track_id, line_idx)),
+us AS (SELECT *, k < 36 OR CASE WHEN prior IS NULL THEN false ELSE k < 45 AND (r < 0.22 OR r > 3.4) OR k < 62 AND (r < 0.12 OR r > 5) END AS u, min(start_ms) OVER (PARTITION BY track_id, line_idx) AS ls, max(end_ms) OVER (PARTITION BY track_id, line_idx) AS le FROM ot),
+bl AS (SELECT *, count(*) FILTER (NOT u) OVER w AS b, coalesce(last_value(CASE WHEN NOT u THEN end_ms END IGNORE NULLS) OVER w, ls) AS l,
+  coalesce(first_value(CASE WHEN NOT u THEN start_ms END IGNORE NULLS) OVER (PARTITION BY track_id, line_idx ORDER BY word_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), le) AS rr FROM us WINDOW w AS (PARTITION BY track_id, line_idx ORDER BY word_idx ROWS UNBOUNDED PRECEDING)),
+nb AS (SELECT *, count(*) OVER (PARTITION BY track_id, line_idx, b, u) AS n, row_number() OVER v AS i, sum(units) OVER (PARTITION BY track_id, line_idx, b, u) AS al, sum(units) OVER v - units AS dn FROM bl WINDOW v AS (PARTITION BY track_id, line_idx, b, u ORDER BY word_idx ROWS UNBOUNDED PRECEDING)),
+wd AS (SELECT *, greatest(rr, l + 40 * n) AS rt FROM nb),
+st AS (SELECT *, least(max(greatest(l + 11, l + dn * (rt - l) / al) - 12 * i) OVER (PARTITION BY track_id, line_idx, b, u ORDER BY word_idx ROWS UNBOUNDED PRECEDING) + 12 * i, rt - 12 * (n - i + 1)) AS s FROM wd)"""
+
+
+@query("F15_reconstruct", REBUILT, """SELECT track_id, line_idx, word_idx, round(CASE WHEN u THEN s ELSE start_ms END, 3)::DOUBLE AS start_ms, round(CASE WHEN u THEN coalesce(lead(s) OVER (PARTITION BY track_id, line_idx, b, u ORDER BY word_idx), rt) ELSE end_ms END, 3)::DOUBLE AS end_ms,
+  round(CASE WHEN u THEN least(0.44, greatest(0.24, 0.72 * conf + 0.16)) ELSE conf END, 6)::DOUBLE AS conf, CASE WHEN u THEN 'tempo_energy_rescue' ELSE origin END AS origin FROM st""")
 def f15(spark, d):
     """Words out of tempo are set anew in proportion to their units (H16)."""
     bounds = lines(spark, d).select(*LINE, F.col("start_ms").alias("line_start_ms"), F.col("end_ms").alias("line_end_ms"))
     w = outliers(spark, d).withColumn("unstable", F.col("outlier") | (F.col("conf") < 0.36)).join(bounds, LINE)
-    return rescue.reconstruct(w)
+    return rescue.reconstruct(w).withColumns({"start_ms": F.round("start_ms", 3), "end_ms": F.round("end_ms", 3), "conf": F.round("conf", 6)})
 
 
 @query("E11_tempo_median", UNITS, "SELECT track_id, round(median(tempo), 6) AS tempo FROM lt1 GROUP BY track_id")
@@ -357,6 +368,50 @@ def d2(spark, d):
     return both.select("conv_id", "turn", F.size(compare.greedy_match(both, "r", "c")).alias("matched"))
 
 
+def heard(spark, d):
+    """Lines of sung words with what follows them, and their frames."""
+    texts = sung_texts(spark, d)
+    known = steps.with_next(texts, F.col("duration_ms"))
+    return known, steps.Sound(sung_frames(spark, d), 40, 10)
+
+
+def told(lines: DataFrame) -> DataFrame:
+    """Aligned lines flat enough to print and compare."""
+    words = F.array_join(F.transform("words", lambda w: F.format_string("%s:%d-%d:%s", w["word"], w["start_ms"], w["end_ms"], w["origin"])), " ")
+    return lines.select(*LINE, "variant", "start_ms", "end_ms", F.round("conf", 4).alias("conf"), "lookahead_ms", "used", F.round("score", 6).alias("score"), words.alias("aligned"))
+
+
+@query("H9_line_alignment")
+def h9(spark, d):
+    """One pass over all lines in the windows of the balanced profile."""
+    known, sound = heard(spark, d)
+    p = profile("balanced")
+    return told(steps.align_lines(steps.request(known, "first", p["pre"], p["post"], p["last_window"], p["lookahead"]), sound))
+
+
+@query("H14_rescue_variants")
+def h14(spark, d):
+    """Every line in the three other windows of the best profile."""
+    known, sound = heard(spark, d)
+    now = known.select(*LINE, F.col("anchor_ms").alias("start_ms"))
+    return told(steps.align_lines(steps.variants(known, now, profile("max")), sound))
+
+
+@query("H18_pass_driver")
+def h18(spark, d):
+    known, sound = heard(spark, d)
+    out = steps.align_tracks(known, sound, profile("max"))
+    return told(out).join(out.select(*LINE, F.array_join("reasons", ",").alias("reasons")), LINE)
+
+
+@query("H19_sources")
+def h19(spark, d):
+    """The mix, and a second source with clearer frames for what came out weak."""
+    known, sound = heard(spark, d)
+    out = steps.best_of_sources(known, sound, steps.Sound(sung_frames(spark, d, 0.25), 40, 10), profile("balanced"))
+    return told(out).join(out.select(*LINE, "candidate", "display_ms"), LINE)
+
+
 @query("I1_union", SW, "SELECT track_id, source, count(*) AS n FROM (SELECT track_id, 'a' AS source FROM sw WHERE k < 50 UNION ALL SELECT track_id, 'b' FROM sw WHERE k >= 30) GROUP BY ALL")
 def i1(spark, d):
     w = sung_words(spark, d)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORDS_PER_LINE = 6
+#: Letters of sung words; a letter's id is its place, 0 is blank.
+LETTERS = "aeioumnlrs"
 ORIGIN_OF = {"click": "aligned", "view": "aligned_low_confidence", "signup": "adaptive_consensus", "purchase": "tempo_energy_rescue", "error": "interpolated"}
 
 
@@ -47,3 +49,31 @@ def lyric_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n")
     head = F.concat(F.lit("[ar:Conversation "), F.col("conv_id").cast("string"), F.lit("]\n[offset:"), (F.col("conv_id") % 3 * 250).cast("string"), F.lit("]\n[Verse: 1]\nplain opening\n\n"))
     return turns.groupBy("conv_id").agg(body.alias("_body")).select(F.col("conv_id").alias("track_id"), F.concat(head, "_body").alias("raw"))
+
+
+def sung_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of sung words with anchor and words to align: (track_id, line_idx, anchor_ms, duration_ms, words); letters are ids 1 to 10, every 13th k is a sign without letters."""
+    w = sung_words(spark, sf_dir)
+    sign = F.col("k") % 13 == 0
+    text = F.when(sign, "♪").otherwise(F.substring("word", 1, 4))
+    ids = F.when(sign, F.array().cast("array<int>")).otherwise(letter_ids(F.substring("word", 1, 4)))
+    row = F.struct("word_idx", text.alias("word"), F.when(sign, "").otherwise(text).alias("normalized"), ids.alias("ids"))
+    each = w.groupBy("track_id", "line_idx").agg((F.min("seq") * 400).alias("anchor_ms"), F.sort_array(F.collect_list(row)).alias("_w"))
+    last = F.max("anchor_ms").over(Window.partitionBy("track_id")) + WORDS_PER_LINE * 400
+    return each.select("track_id", "line_idx", "anchor_ms", last.alias("duration_ms"), F.transform("_w", lambda x: F.struct(x["word"].alias("word"), x["normalized"].alias("normalized"), x["ids"].alias("ids"))).alias("words"))
+
+
+def letter_ids(word: Column) -> Column:
+    return F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.position(c, F.lit(LETTERS)))
+
+
+def sung_frames(spark: SparkSession, sf_dir: str, lift: float = 0.0) -> DataFrame:
+    """Log-probabilities of sung words, a block of ten 40 ms frames to a word: (track_id, block, logp). A letter every other frame, trusted as the word's conf and `lift` say; every 11th k says nothing."""
+    w = sung_words(spark, sf_dir)
+    known = F.when(F.col("k") % 13 == 0, F.array().cast("array<int>")).otherwise(letter_ids(F.substring("word", 1, 4)))
+    p = F.when(F.col("k") % 11 == 5, 1 / (len(LETTERS) + 1)).otherwise(F.least(F.lit(0.97), 0.30 + 0.6 * F.col("conf") + lift))
+    said = w.select("track_id", F.col("seq").alias("block"), (F.col("k") % 3).cast("int").alias("_late"), known.alias("_ids"), F.log(p).alias("_hit"), F.log((1 - p) / len(LETTERS)).alias("_miss"))
+    place = lambda f: f - F.col("_late")
+    token = lambda f: F.when((place(f) >= 0) & (place(f) % 2 == 0), F.coalesce(F.get("_ids", F.floor(place(f) / 2).cast("int")), F.lit(0))).otherwise(0)
+    logp = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda f: F.transform(F.sequence(F.lit(0), F.lit(len(LETTERS))), lambda v: F.when(v == token(f), F.col("_hit")).otherwise(F.col("_miss"))))
+    return said.select("track_id", "block", logp.alias("logp"))
