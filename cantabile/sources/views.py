@@ -58,8 +58,8 @@ def sung_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(sign, "♪").otherwise(F.substring("word", 1, 4))
     ids = F.when(sign, F.array().cast("array<int>")).otherwise(letter_ids(F.substring("word", 1, 4)))
     row = F.struct("word_idx", text.alias("word"), F.when(sign, "").otherwise(text).alias("normalized"), ids.alias("ids"))
-    each = w.groupBy("track_id", "line_idx").agg((F.min("seq") * 400).alias("anchor_ms"), F.sort_array(F.collect_list(row)).alias("_w"))
-    last = F.max("anchor_ms").over(Window.partitionBy("track_id")) + WORDS_PER_LINE * 400
+    each = w.groupBy("track_id", "line_idx").agg((F.min("seq") * 400).alias("anchor_ms"), F.max("seq").alias("_last"), F.sort_array(F.collect_list(row)).alias("_w"))
+    last = (F.max("_last").over(Window.partitionBy("track_id")) + 1) * 400
     return each.select("track_id", "line_idx", "anchor_ms", last.alias("duration_ms"), F.transform("_w", lambda x: F.struct(x["word"].alias("word"), x["normalized"].alias("normalized"), x["ids"].alias("ids"))).alias("words"))
 
 
