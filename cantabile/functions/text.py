@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -70,13 +71,12 @@ def nfkc(x: pd.Series) -> pd.Series:
 def clean_romanized(x: pd.Series) -> pd.Series:
     """Quotes folded, accents dropped, a-z and apostrophes kept."""
 
-    def one(s: str | None) -> str | None:
-        if s is None:
-            return None
-        flat = unicodedata.normalize("NFKD", s.replace("’", "'").replace("`", "'").casefold())
-        return "".join(c for c in flat if "a" <= c <= "z" or c == "'")
+    return x.map(lambda s: None if s is None else _letters(s))
 
-    return x.map(one)
+
+def _letters(s: str) -> str:
+    flat = unicodedata.normalize("NFKD", s.replace("’", "'").replace("`", "'").casefold())
+    return "".join(c for c in flat if "a" <= c <= "z" or c == "'")
 
 
 def search_text(x: Column, normal: bool = True) -> Column:
@@ -123,12 +123,33 @@ def sentences(x: Column) -> Column:
 
 def deobfuscate_word(x: Column) -> Column:
     """Lower case; a censored word spelled out; signs that stand for letters replaced if there are letters too."""
-    low = F.lower(nfkc(x))
+    return _spelled_out(F.lower(nfkc(x)))
+
+
+def _spelled_out(low: Column) -> Column:
     signs = F.regexp_replace(F.translate(low, "@$!", "asi"), "[#*]", "")
     known = F.create_map(*[F.lit(v) for kv in CENSORED.items() for v in kv])
     return F.coalesce(known[low], F.when(low.rlike(r"\p{L}") & low.rlike(r"[!@$#*]"), signs).otherwise(low))
 
 
+def table_romanizer(table: dict[str, str]) -> Callable[[Column], Column]:
+    """A romanizer for normalized_words from a table of words; others stay."""
+    known = F.create_map(*[F.lit(v) for kv in table.items() for v in kv])
+    return lambda words: F.transform(words, lambda w: F.coalesce(known[w], w))
+
+
+def normalized_words(x: Column, romanizer: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<word, normalized>> of a text: words as they stand, and their letters a-z and apostrophes; "" where none is left.
+
+    romanizer takes the array of lower-case words, spelled out, and gives one of the same length: a column expression or a pandas UDF.
+    """
+    each = lambda f: F.pandas_udf(lambda s: s.map(lambda ws: None if ws is None else [f(w) for w in ws]), T.ArrayType(T.StringType()))
+    words = tokens(x)
+    low = F.transform(each(lambda w: unicodedata.normalize("NFKC", w).casefold())(words), _spelled_out)
+    latin = each(_letters)(romanizer(low) if romanizer else low)
+    return F.zip_with(words, latin, lambda w, n: F.struct(w.alias("word"), n.alias("normalized")))
+
+
 def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"(\S+)"), F.lit(1))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,25 @@ def stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum("byte_size"), F.lit(0)).alias("total_bytes"))
 
 
+def clear(cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """cache without rows, and how many it had (removed)."""
+    return cache.where("false"), cache.agg(F.count("*").alias("removed"))
+
+
+def through(cache: DataFrame, asked: DataFrame, version: int, compute: Callable[[DataFrame], DataFrame], now: Column) -> tuple[DataFrame, DataFrame]:
+    """Runs a job only for keys that the cache has not: (cache_key, payload, hit) of all asked rows, and the cache with what was made and touched.
+
+    asked: cache_key and whatever compute needs; compute gives (cache_key, payload) of the rows it gets. Write the returned cache before it
+    is read again, else its rows are computed twice.
+    """
+    keys = asked.select("cache_key").distinct()
+    todo = asked.join(misses(cache, keys, version), "cache_key", "left_semi")
+    made = compute(todo).select("cache_key", "payload")
+    held = lookup(cache, keys, version).where("payload is not null")
+    rows = made.select("cache_key", "payload", F.octet_length("payload").cast("bigint").alias("byte_size"), now.alias("created_at"), now.alias("last_access"), F.lit(version).cast(cache.schema["schema_version"].dataType).alias("schema_version"))
+    return held.withColumn("hit", F.lit(True)).unionByName(made.withColumn("hit", F.lit(False))), upsert(touch(cache, held, now), rows)
+
+
 def evict(cache: DataFrame, limit: int, target: float = 0.85, buckets: int = 64) -> DataFrame:
     """cache without its least recently used rows, once it is over the limit: so many go that `target` of the limit is kept.
 

@@ -1,14 +1,14 @@
-"""Ordered computations on partitions of rows: folds, max-plus clamps, islands, weighted medians, as-of lookups.
+"""Ordered computations on partitions of rows: strict and max-plus clamps, islands, weighted medians, as-of lookups.
 
 A recurrence that only shifts and takes maxima is a running window. One that branches on its own
-last value is a fold over the ordered rows of a group; groups are tracks or lines, so a fold's array is bounded by
-the longest of these.
+last value is one pass over sorted rows that keeps that value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -21,30 +21,32 @@ def by_line() -> WindowSpec:
     return Window.partitionBy("track_id", "line_idx").orderBy("word_idx")
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: str, fields: list[str], zero: Column, step: Callable[[Column, Column], Column], out: Callable[[Column], Column]) -> DataFrame:
-    """Folds each group's rows in order. zero: struct with an array `rows`; step(state, row) gives the next state; out(state) the array to return as rows."""
-    gathered = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, *fields))).alias("_rows"))
-    return gathered.select(*keys, F.inline(F.aggregate("_rows", zero, step, out)))
-
-
 def strict_clamp(df: DataFrame, keys: list[str], order: str, value: str, floor: Column | None = None, step: float | int = 1, kind: str = "bigint") -> DataFrame:
-    """Lifts a value below its predecessor to the predecessor plus `step`; others stay: (keys, order, value, moved).
+    """Lifts a value below its predecessor to the predecessor plus `step`; others stay: (keys, order, value, moved). Nothing is below `floor`, or 0.
 
-    Not a running maximum: after a lift the next row is compared with the lifted value.
+    Not a running maximum: after a lift the next row is compared with the lifted value. Rows pass in order and only the last
+    value is kept, so a long group needs time but no memory.
     """
-    fields = [value] if floor is None else [value, "_floor"]
-    source = df if floor is None else df.withColumn("_floor", floor)
-    row = f"array<struct<{order}:bigint,{value}:{kind},moved:boolean>>"
-    zero = F.struct(F.lit(None).cast(kind).alias("prev"), F.array().cast(row).alias("rows"))
-
-    def following(state: Column, x: Column) -> Column:
-        raw = F.greatest(F.lit(0).cast(kind), x[value]) if floor is None else F.greatest(x["_floor"], x[value])
-        low = state["prev"].isNotNull() & (raw < state["prev"])
-        now = F.when(low, state["prev"] + step).otherwise(raw).cast(kind)
-        made = F.struct(x[order].cast("bigint").alias(order), now.alias(value), F.coalesce(low, F.lit(False)).alias("moved"))
-        return F.struct(now.alias("prev"), F.concat(state["rows"], F.array(made)).cast(row).alias("rows"))
-
-    return ordered_fold(source, keys, order, fields, zero, following, lambda s: s["rows"])
+    least = F.lit(0) if floor is None else floor
+    rows = df.select(*keys, F.col(order).cast("bigint").alias(order), F.greatest(least, F.col(value)).cast(kind).alias(value))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            made, moved = [], []
+            groups = zip(*(batch.column(i).to_pylist() for i in range(len(keys))))
+            for here, now in zip(groups, batch.column(len(keys) + 1).to_pylist()):
+                if here != key:
+                    key, last = here, None
+                low = last is not None and now is not None and now < last
+                last = last + step if low else now
+                made.append(last)
+                moved.append(low)
+            columns = [*(batch.column(i) for i in range(len(keys) + 1)), pa.array(made, batch.schema.types[-1]), pa.array(moved, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "moved"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order, value).mapInArrow(run, f"{kinds}, moved boolean")
 
 
 def maxplus_clamp(value: Column, order: WindowSpec, step: Column | int = 1) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,12 @@ def best_provider(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.max_by(F.struct("provider", "richness", "raw"), rank).alias("_b")).select(*keys, "_b.*")
 
 
+def search_all(asked: DataFrame, providers: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """What every provider (name, function) finds for the asked rows, with its name and place in the list; functions give any columns, missing ones are null."""
+    found = [f(asked).withColumns({"provider": F.lit(name), "position": F.lit(i)}) for i, (name, f) in enumerate(providers)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+
+
 def first_hit(found: DataFrame, keys: list[str], value: str, position: str) -> DataFrame:
     """Of each query the value at the lowest position that has one."""
     return found.where(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(*keys).agg(F.min_by(value, position).alias(value), F.min(position).alias(position))

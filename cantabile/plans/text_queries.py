@@ -392,6 +392,37 @@ def l8(spark, d):
     return cache.without_stale(cached(spark, d), 3).select("cache_key")
 
 
+@query("L9_clear", CACHE, "SELECT count(*) AS removed FROM ca")
+def l9(spark, d):
+    return cache.clear(cached(spark, d))[1]
+
+
+@query("M3_through_cache", CACHE, "SELECT printf('%08d', doc_id * 2) AS cache_key, coalesce(payload, 'made') AS payload, payload IS NOT NULL AS hit FROM documents LEFT JOIN (SELECT * FROM ca WHERE schema_version = 2) ca ON ca.cache_key = printf('%08d', doc_id * 2)")
+def m3(spark, d):
+    """A job given its cache: what is there is not made again."""
+    asked = spark.read.parquet(f"{d}/documents.parquet").select(F.format_string("%08d", F.col("doc_id") * 2).alias("cache_key"))
+    return cache.through(cached(spark, d), asked, 2, lambda todo: todo.withColumn("payload", F.lit("made")), F.lit(0).cast("long"))[0]
+
+
+@query("M4_providers", None, "SELECT conv_id, CASE WHEN max(turn) >= 3 THEN 'NetEase' ELSE 'LRCLIB' END AS provider FROM conversations GROUP BY conv_id")
+def m4(spark, d):
+    """Two providers as functions: one finds line times for longer conversations, one plain text for all."""
+    asked = spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    timed = lambda q: q.where("last >= 3").select("conv_id", search.richness(F.lit(0), F.lit(1)).alias("richness"), F.lit("[00:01]a").alias("raw"))
+    plain = lambda q: q.select("conv_id", search.richness(F.lit(0), F.lit(0)).alias("richness"), F.lit("a").alias("raw"))
+    return search.best_provider(search.search_all(asked, [("LRCLIB", plain), ("NetEase", timed)]), ["conv_id"]).select("conv_id", "provider")
+
+
+@query("J18_romanize")
+def j18(spark, d):
+    """Words of every turn through a table of romanizations, with where each begins in the line's letters."""
+    table = tx.table_romanizer({"the": "de", "and": "end"})
+    t = turns(spark, d).select("conv_id", "turn", F.posexplode(tx.normalized_words(F.col("text"), table)).alias("word_idx", "_w"))
+    run = Window.partitionBy("conv_id", "turn").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = F.length("_w.normalized")
+    return t.select("conv_id", "turn", "word_idx", "_w.*", F.when(n > 0, F.sum(n).over(run) - n).alias("token_start"))
+
+
 @query("F19_lru_evict", CACHE, """SELECT cache_key, byte_size FROM (SELECT *, sum(byte_size) OVER () AS total, coalesce(sum(byte_size) OVER (ORDER BY last_access, cache_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ca)
   WHERE NOT (total > 500000 AND total - before > 425000)""")
 def f19(spark, d):

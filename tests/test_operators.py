@@ -170,3 +170,38 @@ def test_most_similar_turns_against_brute_force(spark):
         want += [(conv, n, round(-s, 6), place) for place, (s, n) in enumerate([x for x in scores if -x[0] >= 0.3][:2], 1)]
     got = [(r.conv_id, r.position, round(r.score, 6), r.place) for r in QUERIES["G2_topk_similarity"](spark, "/root/testdata/sf0.001").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_strict_clamp_keeps_its_state_over_batches(spark):
+    values = [(k, i, (i * 7919 + k * 31) % 997 - 40) for k in range(3) for i in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        df = spark.createDataFrame(values, "track_id long, line_idx long, v long")
+        got = {(r.track_id, r.line_idx): (r.v, r.moved) for r in ordered.strict_clamp(df, ["track_id"], "line_idx", "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last = {}
+    for k, i, v in values:
+        now, low = max(0, v), k in last and max(0, v) < last[k]
+        last[k] = last[k] + 1 if low else now
+        assert got[k, i] == (last[k], low)
+
+
+def test_words_go_through_a_romanizer(spark):
+    from cantabile.functions.text import normalized_words, table_romanizer
+
+    table = table_romanizer({"привет": "privet", "мир": "mir"})
+    df = spark.createDataFrame([("Привет мир",), ("sh!t ♪ Ça",), ("",), (None,)], "t string")
+    got = [[tuple(w) for w in r.w] for r in df.select(normalized_words(F.col("t"), table).alias("w")).collect()]
+    assert got == [[("Привет", "privet"), ("мир", "mir")], [("sh!t", "shit"), ("♪", ""), ("Ça", "ca")], [], []]
+
+
+def test_cache_makes_only_what_it_lacks(spark):
+    from cantabile.operators import cache
+
+    held = spark.createDataFrame([("a", "A", 1, 1, 1, 2), ("b", "old", 1, 1, 1, 1)], "cache_key string, payload string, byte_size long, created_at long, last_access long, schema_version long")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "cache_key string").distinct()
+    out, after = cache.through(held, asked, 2, lambda todo: todo.withColumn("payload", F.upper("cache_key")), F.lit(9).cast("long"))
+    assert sorted(map(tuple, out.collect())) == [("a", "A", True), ("b", "B", False), ("c", "C", False)]
+    assert sorted((r.cache_key, r.payload, r.last_access, r.schema_version) for r in after.collect()) == [("a", "A", 9, 2), ("b", "B", 9, 2), ("c", "C", 9, 2)]
+    assert cache.clear(held)[1].collect() == [(2,)]
