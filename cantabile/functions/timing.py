@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: what a time looks like in the file format.
 TIME = r"^\s*(\d{1,4}):([0-5]?\d)(?:[.:](\d{1,3}))?\s*$"
 
 
