@@ -14,14 +14,16 @@
    window is taken. The document holds the item if that covers LCS of the item, or LCS_ANSWER of it and the item's answer (its
    last words) is there in order too.
 
-An item of fewer than SHORT words has too few for a direction of its own; for these, and with exact=True for all, the places come from
-a bound that follows from the rule: of n words at least
+Steps 2 to 4 leave windows out: an item of few or of frequent words has no direction of its own. So beside these candidates come, for all items,
+the places that a bound leaves open which follows from the rule: of n words at least
 need = LCS_ANSWER n are in the subsequence, so of any n - need + t words of the item at least t are
-around the window. These are the item's rarest, t a share HITS of its length. That result is the rule's on all windows and items;
-the latent search (steps 2 to 4 leave windows out) reaches a measured share of it, given in the README.
+around the window. These are the item's rarest, t a share HITS of its length. The result is the rule's on all windows and items.
+With bound=False only items of fewer than SHORT words are looked for by it, and the latent search is on its own for the others: what it then reaches
+is a measured share, given in the README.
 
-The benchmark is the stated query set, worked through in blocks of rows with WORDS different words, so what is sent to the tasks is
-bounded; a block costs three scans of the documents. Documents are never shuffled.
+The benchmark is the stated query set, worked through in blocks of at most ITEMS rows and WORDS different words, so what is sent to the tasks is
+bounded. For each block the texts are read once and written as numbers of its words (0 for any other); the three passes read these. Documents
+are never shuffled.
 
 Defined results: null or empty texts, and items without words, match nothing; rows with equal ids
 give one row per item together; null ids are kept as null; empty tables give an empty result; extra columns are
@@ -40,17 +42,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantabile.llm.common import bounded_batches, checked_join, checkpoint, row_key, table
+from cantabile.llm.common import Shelf, bounded_batches, checked_join, checkpoint, row_key, table
 from cantabile.llm.matrices import summed
 from cantabile.llm.shingles import PLAIN, word_hashes
 
 STRIDE = 16
-RANK, EXTRA = 128, 16
-COSINE = 0.5
+RANK, EXTRA = 128, 32
+COSINE = 0.35
 #: Words in a larger share of the blocks are left out, unless they are among an item's RARE rarest.
-MAX_DF, RARE = 0.005, 10
+MAX_DF, RARE = 0.01, 12
 LCS, LCS_ANSWER = 0.6, 0.55
-#: Items of fewer words are looked for by their probes.
+#: Items of fewer words are looked for by their probes, even without the bound.
 SHORT = STRIDE
 #: Share of an item's words that must be found among its rarest; any gives the same result.
 HITS = 0.15
@@ -58,22 +60,35 @@ HITS = 0.15
 ANSWER, ANSWER_WORDS = 0.15, 3
 #: Different words of the items that are looked for together: so many rows have the matrices that tasks hold.
 WORDS = 40_000
+#: Rows of the benchmark that are looked for together.
+ITEMS = 100_000
 #: Items times words that are looked for together, a bit each.
 CELLS = 1 << 29
 #: Windows multiplied at a time, and cosines.
 CHUNK, COSINES = 16384, 1 << 22
 
 
+def number(known: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For each word its place in the sorted `known`, from 1, or 0."""
+    out = np.zeros(len(words), np.int32)
+    if len(known):
+        seen = np.zeros(1 << 16, bool)
+        seen[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
+        maybe = np.flatnonzero(seen[(words & np.uint64(0xFFFF)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(known, words[maybe]), len(known) - 1)
+        out[maybe] = np.where(known[at] == words[maybe], at + 1, 0)
+    return out
+
+
 def find(known: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the words that are among the sorted `known`, and their numbers there."""
+    """Positions of the numbered words that are among the sorted `known`, and their places there."""
     if not len(known):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    seen = np.zeros(1 << 16, bool)
-    seen[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
-    maybe = np.flatnonzero(seen[(words & np.uint64(0xFFFF)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(known, words[maybe]), len(known) - 1)
-    ok = known[at] == words[maybe]
-    return maybe[ok], at[ok]
+    place = np.full(int(known[-1]) + 2, -1, np.int32)
+    place[known] = np.arange(len(known))
+    at = place[np.minimum(words, known[-1] + 1)]
+    ok = np.flatnonzero(at >= 0)
+    return ok, at[ok].astype(np.int64)
 
 
 def spread(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +112,7 @@ class Probes:
     def places(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
         """(document, item, windows): all that can meet the rule. A window is named by its first block, counted in the document."""
         block, first = blocks_of(docs)
-        pos, word = find(self.words, np.concatenate(docs) if docs else np.zeros(0, np.uint64))
+        pos, word = find(self.words, np.concatenate(docs) if docs else np.zeros(0, np.int32))
         w = max(1, len(self.words))
         here, word = np.divmod(np.unique(block[pos] * w + word), w)
         doc = np.searchsorted(first, here, "right") - 1
@@ -123,12 +138,12 @@ class Probes:
 
 @dataclass
 class Benchmark:
-    """A block of items; words: sorted hashes of the words that count, with their weights; every: of all their words."""
+    """A block of items as numbers of words; words: those that count, with their weights; hashes: of all words, in the order of their numbers, from 1."""
 
     ids: list
     items: list[np.ndarray]
     words: np.ndarray
-    every: np.ndarray
+    hashes: np.ndarray
     idf: np.ndarray | None = None
     probes: Probes | None = None
 
@@ -137,17 +152,16 @@ class Benchmark:
         return find(self.words, words)
 
 
-def probes(items: list[np.ndarray], words: np.ndarray, df: np.ndarray, exact: bool) -> Probes | None:
-    """df: in how many blocks each of `words`, sorted, is. Of the items all, or only those that are shorter than SHORT."""
+def probes(items: list[np.ndarray], df: np.ndarray, bound: bool) -> Probes | None:
+    """df: in how many blocks each word is, by its number. Of the items all, or only those that are shorter than SHORT."""
     chosen, least, reach = [], [], []
     for nth, item in enumerate(items):
-        if not exact and len(item) >= SHORT:
+        if not bound and len(item) >= SHORT:
             least.append(0)
             reach.append(0)
             continue
-        at = np.searchsorted(words, item)
         miss = len(item) - max(1, math.ceil(LCS_ANSWER * len(item) - 1e-9))
-        rarest = at[np.argsort(df[at], kind="stable")][: miss + max(1, math.ceil(HITS * len(item)))]
+        rarest = item[np.argsort(df[item], kind="stable")][: miss + max(1, math.ceil(HITS * len(item)))]
         least.append(len(rarest) - miss)
         reach.append(-(-len(item) // STRIDE))
         word, times = np.unique(rarest, return_counts=True)
@@ -157,7 +171,7 @@ def probes(items: list[np.ndarray], words: np.ndarray, df: np.ndarray, exact: bo
     word, item, times = (np.concatenate(c) for c in zip(*chosen, strict=True))
     order = np.argsort(word, kind="stable")
     used, first = np.unique(word[order], return_index=True)
-    return Probes(words[used], np.append(first, len(word)), item[order], times[order], np.asarray(least), np.asarray(reach))
+    return Probes(used, np.append(first, len(word)), item[order], times[order], np.asarray(least), np.asarray(reach))
 
 
 @dataclass
@@ -205,7 +219,7 @@ def blocks_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def windows(docs: list[np.ndarray], bench: Benchmark) -> tuple[Windows, np.ndarray]:
     """The windows of a batch that have words that count, and each document's first block."""
     block, first = blocks_of(docs)
-    pos, word = bench.find(np.concatenate(docs) if docs else np.zeros(0, np.uint64))
+    pos, word = bench.find(np.concatenate(docs) if docs else np.zeros(0, np.int32))
     here = block[pos]
     begins = np.zeros(int(first[-1]) + 1, bool)
     begins[first[:-1]] = True
@@ -250,8 +264,8 @@ def read_items(bench: DataFrame, id_col: str = "item_id", text_col: str = "text"
     ids, items, seen = [], [], set()
 
     def made() -> Benchmark:
-        words = np.unique(np.concatenate(items))
-        return Benchmark(ids, items, words, words)
+        hashes = np.unique(np.concatenate(items))
+        return Benchmark(ids, [number(hashes, i) for i in items], np.arange(1, len(hashes) + 1), hashes)
 
     for r in rows.toLocalIterator():
         (item,) = word_hashes([r.text and r.text.lower()], PLAIN)
@@ -259,34 +273,44 @@ def read_items(bench: DataFrame, id_col: str = "item_id", text_col: str = "text"
             ids.append(r.id)
             items.append(item)
             seen.update(item.tolist())
-            if len(seen) >= most or len(seen) * len(items) >= CELLS:
+            if len(seen) >= most or len(items) >= ITEMS or len(seen) * len(items) >= CELLS:
                 yield made()
                 ids, items, seen = [], [], set()
     if items:
         yield made()
 
 
+def numbered(docs: DataFrame, bench: Benchmark, kind: str) -> DataFrame:
+    """(doc_id, words): texts as numbers of the block's words, 32 bits each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = word_hashes((t and t.lower() for t in batch.column("text").to_pylist()), PLAIN)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array((number(bench.hashes, w).tobytes() for w in each), pa.binary(), size=batch.num_rows)], ["doc_id", "words"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, words binary")
+
+
 def word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         if batch.num_rows:
-            yield batch, word_hashes((t and t.lower() for t in batch.column("text").to_pylist()), PLAIN)
+            yield batch, [np.frombuffer(w.as_buffer(), np.int32) for w in batch.column("words")]
 
 
-def weigh(docs: DataFrame, bench: Benchmark, exact: bool = False) -> Benchmark:
-    """Sets the weights from all documents, and leaves out the words that are too common."""
+def weigh(docs: DataFrame, bench: Benchmark, bound: bool = True) -> Benchmark:
+    """Sets the weights from all documents, numbered, and leaves out the words that are too common."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = len(bench.words), 0
-        df = np.zeros(n, np.int64)
+        total, df = 0, np.zeros(len(bench.hashes) + 1, np.int64)
         for _, words in word_batches(batches):
-            _, word = bench.find(np.concatenate(words))
-            df += np.bincount(word, minlength=n)
+            df += np.bincount(np.concatenate(words), minlength=len(df))
             total += sum(-(-len(w) // STRIDE) for w in words)
+        df[0] = 0
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"word": pa.array(np.append(some, -1), pa.int64()), "df": pa.array(np.append(df[some], total), pa.int64())})
 
-    counted = docs.select("text").mapInArrow(count, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()  # a row for each word of the block
-    df, total = np.zeros(len(bench.words), np.int64), 1
+    counted = docs.select("words").mapInArrow(count, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()  # a row for each word of the block
+    df, total = np.zeros(len(bench.hashes) + 1, np.int64), 1
     for r in counted:
         if r.word < 0:
             total = max(1, r.df)
@@ -294,10 +318,11 @@ def weigh(docs: DataFrame, bench: Benchmark, exact: bool = False) -> Benchmark:
             df[r.word] = r.df
     keep = (df > 0) & (df <= MAX_DF * total)
     for item in bench.items:
-        at = np.unique(np.searchsorted(bench.words, item))
+        at = np.unique(item)
         at = at[df[at] > 0]
         keep[at[np.argsort(df[at], kind="stable")[:RARE]]] = True
-    return Benchmark(bench.ids, bench.items, bench.words[keep], bench.every, np.log1p(total / df[keep]), probes(bench.items, bench.words, df, exact))
+    words = np.flatnonzero(keep)
+    return Benchmark(bench.ids, bench.items, words, bench.hashes, np.log1p(total / df[words]), probes(bench.items, df, bound))
 
 
 def gram_times(docs: DataFrame, bench: Benchmark, x: np.ndarray) -> np.ndarray:
@@ -311,7 +336,7 @@ def gram_times(docs: DataFrame, bench: Benchmark, x: np.ndarray) -> np.ndarray:
                 w = every.some(begin, begin + CHUNK)
                 w.transposed(w.times(x), out)
 
-    return summed(docs.select("text"), n, width, part)
+    return summed(docs.select("words"), n, width, part)
 
 
 def singular_vectors(docs: DataFrame, bench: Benchmark, rank: int = RANK, seed: int = 7) -> np.ndarray:
@@ -344,13 +369,14 @@ class Latent:
         self.query = unit(own.times(vectors)[whole])
         need = [math.ceil(LCS_ANSWER * len(item) - 1e-9) for item in bench.items]
         self.need, self.sizes = np.asarray(need, np.int64), np.asarray([len(item) for item in bench.items], np.int64)
-        # which words an item has, a bit each, and how often; the last column is no word of the benchmark
-        bits = np.zeros((len(bench.items), len(bench.every) // 8 + 1), np.uint8)
+        # which words an item has, a bit each, and how often; column 0 is no word of the benchmark
+        self.wide = len(bench.hashes) + 1
+        bits = np.zeros((len(bench.items), self.wide // 8 + 1), np.uint8)
         cells = []
         for i, item in enumerate(bench.items):
-            word, n = np.unique(np.searchsorted(bench.every, item), return_counts=True)
+            word, n = np.unique(item, return_counts=True)
             np.bitwise_or.at(bits[i], word >> 3, (1 << (word & 7)).astype(np.uint8))
-            cells.append((i * (len(bench.every) + 1) + word, n))
+            cells.append((i * self.wide + word, n))
         self.has = bits
         self.cell, self.times = (np.concatenate(c) for c in zip(*cells, strict=True))
 
@@ -378,10 +404,7 @@ class Latent:
             return
         doc = np.searchsorted(first, key, "right") - 1
         size = np.asarray([len(d) for d in docs], np.int64)
-        flat = np.full(int(size.sum()), len(bench.every))
-        at, word = find(bench.every, np.concatenate(docs))
-        flat[at] = word
-        flat = np.append(flat, len(bench.every)).astype(np.int32)
+        flat = np.append(np.concatenate(docs), np.int32(0))
         begins = np.cumsum(size) - size
         start = (key - first[doc]) * STRIDE
         # windows of an item next to each other are first tested as one stretch, which has all that is around them
@@ -398,11 +421,11 @@ class Latent:
 
     def enough(self, flat: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Whether the words low to high of the document that begins there can hold as many of the item as the rule asks for."""
-        bench, out = self.bench, np.zeros(len(item), bool)
+        out = np.zeros(len(item), bool)
         for a in range(0, len(item), 4096):
             some = slice(a, a + 4096)
             pair, place = spread((begin + low)[some], (high - low)[some])
-            word, need, wide = flat[place], self.need[item[some]], len(bench.every) + 1
+            word, need, wide = flat[place], self.need[item[some]], self.wide
             inside = self.has[item[some][pair], word >> 3] >> (word & 7).astype(np.uint8) & 1
             left = np.flatnonzero(inside)
             pair, word = pair[left], word[left]
@@ -427,14 +450,14 @@ def places(bench: Benchmark, latent: Latent, words: list[np.ndarray]) -> Iterato
             yield d, i, start, float((unit(w) @ latent.query[latent.owner == i].T).max(initial=0))
 
 
-def matches(docs: DataFrame, bench: Benchmark, vectors: np.ndarray, schema: str, exact: bool = False, least: float = COSINE) -> DataFrame:
+def matches(docs: DataFrame, bench: Benchmark, vectors: np.ndarray, kind: str, least: float = COSINE) -> DataFrame:
     """A row (doc_id, item, cosine, lcs, answer) for each document and item that it holds."""
     latent = Latent(bench, vectors, least)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in word_batches(batches):
             best: dict[tuple[int, int], tuple] = {}
-            for d, i, start, cosine in chain(() if exact else latent.candidates(words), places(bench, latent, words)):
+            for d, i, start, cosine in chain(latent.candidates(words), places(bench, latent, words)):
                 item = bench.items[i]
                 share, answer = holds(item, words[d][max(0, start - len(item)) : start + 2 * STRIDE + len(item)])
                 if share >= LCS or share >= LCS_ANSWER and answer:
@@ -447,24 +470,27 @@ def matches(docs: DataFrame, bench: Benchmark, vectors: np.ndarray, schema: str,
                     ["doc_id", "item", "cosine", "lcs", "answer"],
                 )
 
-    return docs.mapInArrow(search, f"doc_id {schema}, item long, cosine double, lcs double, answer boolean")
+    return docs.mapInArrow(search, f"doc_id {kind}, item long, cosine double, lcs double, answer boolean")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", exact: bool = False, least: float = COSINE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", bound: bool = True, least: float = COSINE) -> DataFrame:
     """A row (doc_id, item_id, cosine, lcs, answer) for each document and benchmark item that it holds."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kinds = {"doc_id": docs.schema["doc_id"].dataType.simpleString(), "item_id": benchmark.schema[item_id_col].dataType.simpleString()}
-    parts = []
+    parts, shelf = [], Shelf(spark)
     for bench in read_items(benchmark, item_id_col, item_text_col):
-        bench = weigh(docs, bench, exact)
+        shelf.drop(*(f for f, _ in shelf.held))
+        words = shelf.put(numbered(docs, bench, kinds["doc_id"]))
+        bench = weigh(words, bench, bound)
         if not len(bench.words):  # no document has a word of theirs
             continue
         names = spark.createDataFrame(pa.table({"item": pa.array(range(len(bench.ids)), pa.int64()), "item_id": bench.ids}))
         names = names.select("item", F.col("item_id").cast(kinds["item_id"]))
-        found = matches(docs, bench, singular_vectors(docs, bench), kinds["doc_id"], exact, least)
-        parts.append(found.join(F.broadcast(names), "item"))  # no more items than WORDS
+        found = matches(words, bench, singular_vectors(words, bench), kinds["doc_id"], least)
+        parts.append(checkpoint(found.join(F.broadcast(names), "item")))  # ITEMS rows at most
+    shelf.drop(*(f for f, _ in shelf.held))
     if not parts:
         none = {"doc_id": kinds["doc_id"], "item_id": kinds["item_id"], "cosine": "double", "lcs": "double", "answer": "boolean"}
         return spark.range(0).select(*(F.lit(None).cast(kind).alias(c) for c, kind in none.items()))

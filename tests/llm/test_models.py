@@ -250,11 +250,11 @@ def test_reworded_passages_are_found_as_by_the_rule(spark):
     want = by_the_rule(docs, items)
     assert all((share * 10 + i, i) in want for share in (0, 20, 30, 35) for i, _ in items[3:])
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contaminated(frame, bench, exact=True).collect()
+    got = decontaminate.contaminated(frame, bench).collect()
     assert {(r.doc_id, r.item_id): (r.lcs, r.answer) for r in got} == want
     assert all(-1.001 <= r.cosine <= 1.001 for r in got)
-    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench).collect()}
-    assert found <= set(want)
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench, bound=False).collect()}
+    assert found <= set(want) and len(found) >= 0.9 * len(want), (len(found), len(want))
 
 
 def test_recall_of_the_latent_search(spark):
@@ -274,9 +274,20 @@ def test_recall_of_the_latent_search(spark):
             text[at:at] = words
             docs.append((10**6 + 1000 * share + k, " ".join(text)))
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(8), spark.createDataFrame(items, "item_id long, text string")
-    want = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench, exact=True).collect()}
-    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench).collect()}
-    assert found <= want and len(want) > 120 and len(found) >= 0.9 * len(want), (len(found), len(want))
+    want = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench).collect()}
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench, bound=False).collect()}
+    assert found <= want and len(want) > 120 and len(found) >= 0.95 * len(want), (len(found), len(want))
+    assert all((10**6 + k, i) in want for k, (i, _) in enumerate(items))  # word for word
+
+
+def test_null_ids_ties_and_equal_rows_of_leaks(spark):
+    """Null ids are kept as one, an item that two documents hold is found in both, equal items under two ids are both named."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau"
+    docs = [(None, f"some words {item} more"), (None, "nothing of it"), (1, item.upper()), (1, item), (2, item), (3, None)]
+    frame = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, item long").repartition(3)
+    bench = spark.createDataFrame([(7, item), (8, item), (None, item), (9, "")], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.lcs) for r in decontaminate.contaminated(frame, bench).collect()]
+    assert sorted(got, key=repr) == sorted(((d, i, 1.0) for d in (None, 1, 2) for i in (7, 8, None)), key=repr)
 
 
 def test_longest_common_subsequence():
