@@ -23,12 +23,14 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cantabile.llm.common import bounded_batches, checked_join, checkpoint, shared_path, table
 
 MIN_REVISIT = 100
+#: Parts that equal rows are counted in.
+SALTS = 64
 CHUNK = 1 << 18
 #: Fixed, so that equal input gives equal archives.
 DATE = "2024-01-01T00:00:00Z"
@@ -110,16 +112,27 @@ def store(uri: str):
 
 
 def plan(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", uri_col: str | None = "url") -> DataFrame:
-    """Rows (page_id, uri, payload, digest, kind, refers_to), one for each page."""
+    """Rows (page_id, uri, payload, length, digest, kind, refers_to), one for each page; length is the full payload's, which a revisit needs not carry."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page_id"), (F.col(uri_col) if uri_col else F.lit("")).alias("uri"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     order = F.struct(F.col("page_id").isNull().alias("_none"), F.col("page_id"), F.xxhash64("uri").alias("_tie"))
     large = F.octet_length("payload") >= MIN_REVISIT
     # groups meet as partial counts and minima only
     groups = rows.where(large).groupBy("digest").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("digest", "_first")
-    joined = checked_join(rows.withColumn("_order", order), checkpoint(groups), "digest", "left")
-    again = F.col("_first").isNotNull() & (F.col("_order") != F.col("_first"))
-    return joined.select("page_id", "uri", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("_first.page_id")).alias("refers_to"))
+    joined = checked_join(rows.withColumn("_order", order), checkpoint(groups), "digest", "left").withColumn("length", F.octet_length("payload").cast("long"))
+    is_first = F.col("_order") == F.col("_first")
+    columns = ["page_id", "uri", "payload", "length", "digest", "kind", "refers_to"]
+    other = joined.where(F.coalesce(~is_first, F.lit(True)))
+    again = F.col("_first").isNotNull()
+    other = other.withColumns({"kind": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first.page_id"))})
+    # rows that are the first of their group; where several are equal in all that counts, they are counted by SALTS and one of them is the response
+    firsts = joined.where(is_first).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    firsts = firsts.groupBy("page_id", "uri", "digest", "length", "_salt").agg(F.first("payload").alias("payload"), F.count("*").alias("_n"))
+    place = F.row_number().over(Window.partitionBy("digest").orderBy("_salt"))
+    each = firsts.withColumn("_place", place).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    response = (F.col("_place") == 1) & (F.col("_nth") == 1)
+    first = each.withColumns({"kind": F.when(response, "response").otherwise("revisit"), "refers_to": F.when(~response, F.col("page_id")), "payload": F.when(response, F.col("payload"))})
+    return other.select(columns).unionByName(first.select(columns))
 
 
 def write_warc(records: DataFrame, target: str) -> DataFrame:
@@ -140,7 +153,7 @@ def write_warc(records: DataFrame, target: str) -> DataFrame:
                     out = files.open_output_stream(own, compression=None)
                 name = lambda x: "" if x is None else str(x)
                 carried = r["payload"] if r["kind"] == "response" else b""
-                member = record(r["kind"], name(r["page_id"]), (r["uri"] or "").replace("\r", " ").replace("\n", " "), carried, r["digest"], len(r["payload"]), None if r["kind"] == "response" else name(r["refers_to"]))
+                member = record(r["kind"], name(r["page_id"]), (r["uri"] or "").replace("\r", " ").replace("\n", " "), carried, r["digest"], r["length"], None if r["kind"] == "response" else name(r["refers_to"]))
                 out.write(member)
                 n, size = n + 1, size + len(member)
         if out is not None:

@@ -34,6 +34,13 @@ def test_ids_and_bytes_equal_the_library(clashing, cases, own):
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(raw).hexdigest(), brute.sha(text or ""))
 
 
+def test_ids_of_repeated_rows_and_null_ids(spark, nothing):
+    rows = [(None, "a text"), (None, "a text"), (1, "a text"), (1, None), (None, None)]
+    got = bpe.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 5 and len({(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got}) == 2 and sum(r.doc_id is None for r in got) == 3
+    assert bpe.digests(nothing).count() == 0
+
+
 @settings(max_examples=300, deadline=None)
 @given(LETTERS)
 def test_cutting_at_safe_boundaries_changes_nothing(text):
@@ -106,8 +113,12 @@ def test_warc_of_repeated_rows_null_ids_and_nothing(spark, tmp_path):
     got = warc.round_trip(df, f"{tmp_path}/w").collect()
     assert len(got) == 5
     same = [r for r in got if r.payload_bytes == 200]
-    assert {r.refers_to for r in same if r.record_type == "revisit"} == {1} and {r.page_id for r in same if r.record_type == "response"} == {1}
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in same) == [(0, "revisit", 1), (1, "response", None), (1, "revisit", 1), (1, "revisit", 1)]
+    assert [bytes(r.payload).decode() for r in same if r.record_type == "response"] == [text]
     assert warc.round_trip(df.limit(0), f"{tmp_path}/n").count() == 0
+    hot = spark.createDataFrame([(i // 2, "u", text) for i in range(4, 400)] + [(None, "u", text + "a")] * 7, "page_id long, url string, html string").repartition(5)
+    got = warc.round_trip(hot, f"{tmp_path}/h").groupBy("payload_bytes", "record_type", "refers_to").count().collect()
+    assert sorted(((r[0], r[1], r[2] or 0, r[3]) for r in got)) == [(200, "response", 0, 1), (200, "revisit", 2, 395), (201, "response", 0, 1), (201, "revisit", 0, 6)]
 
 
 def test_broken_archives_are_refused():
