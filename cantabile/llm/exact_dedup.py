@@ -3,7 +3,7 @@
 One scan of the texts notes each row's length and the hash of its first characters. Rows alone in
 their length, or in their length and prefix, are settled there. Only the rest are read whole and
 hashed with SHA-256; where the prefixes that are still open are too many to broadcast, all rows are hashed in the scan, since that
-costs less than a shuffle of whole texts. With hash_all one scan notes the full hash too, and length and prefix say which
+costs less than a shuffle of whole texts, and the hashes of settled rows are dropped, so the result is the same. With hash_all one scan notes the full hash too, and length and prefix say which
 rows are compared by it.
 
 Texts are never shuffled. Groups are made by partial aggregation; what is joined back is written first, so it is broadcast if a count
@@ -48,11 +48,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         heads = _shared_heads(checkpoint(source.select(length, head)))
         scan = source.select("doc_id", "_text", length, head)
+        opened = heads.withColumn("_open", F.lit(True))
         if is_small(heads):
-            marked = scan.join(F.broadcast(heads.withColumn("_open", F.lit(True))), ["_len", "_head"], "left")
+            marked = scan.join(F.broadcast(opened), ["_len", "_head"], "left")
+            rows = checkpoint(marked.select("doc_id", F.when(F.col("_open"), full).alias("text_sha256"), row))
         else:
-            marked = scan.withColumn("_open", F.lit(True))
-        rows = checkpoint(marked.select("doc_id", F.when(F.col("_open"), full).alias("text_sha256"), row))
+            hashed = scan.select("doc_id", "_len", "_head", full.alias("_full"), row)
+            rows = checkpoint(hashed.join(opened, ["_len", "_head"], "left").select("doc_id", F.when(F.col("_open"), F.col("_full")).alias("text_sha256"), "_row"))
         candidates = rows.where("text_sha256 is not null")
     groups = candidates.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "_row")).alias("_keep"), F.count("*").alias("group_size")).where("group_size > 1")
     alone = F.col("group_size").isNull()

@@ -26,6 +26,12 @@ def test_exact_groups_hash_only_survivors(docs, cases):
     assert copies <= hashed and 65 not in hashed
 
 
+def test_exact_groups_are_the_same_beyond_a_broadcast(clashing, monkeypatch):
+    few = sorted(map(tuple, exact_dedup.exact_groups(clashing).collect()), key=repr)
+    monkeypatch.setattr(exact_dedup, "is_small", lambda df: False)
+    assert sorted(map(tuple, exact_dedup.exact_groups(clashing).collect()), key=repr) == few and any(r[-1] is None for r in few)
+
+
 def test_exact_groups_of_repeated_rows_and_null_ids(spark, nothing):
     rows = spark.createDataFrame([(1, "same"), (1, "same"), (None, "same"), (None, None), (2, "")], "doc_id long, text string")
     got = exact_dedup.exact_groups(rows).collect()
@@ -95,6 +101,9 @@ def test_shards(clashing, cases, nothing, spark):
     got = sharding.byte_shards(sharding.sized(clashing)).select("doc_id", "size", "text_crc32", "shard", "slot")
     assert tuples(got, "doc_id") == brute.byte_shards(cases)
     assert sharding.byte_shards(sharding.sized(nothing)).count() == 0
+    nulls = spark.createDataFrame([(None, "abc")] * 6 + [(1, "abc"), (0, None)], "doc_id long, text string")
+    got = [(r.doc_id, r.size, r.shard) for r in sharding.byte_shards(sharding.sized(nulls), 2).orderBy("shard", "slot").collect()]
+    assert [i for i, _, _ in got] == [None] * 6 + [0, 1] and [s for _, s, _ in got] == [4] * 6 + [1, 4]
     same = spark.range(1000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("abc").alias("text"))
     counts = sharding.byte_shards(sharding.sized(same), 8).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last")).collect()
     assert sorted((r.shard, r.n, r.last) for r in counts) == [(s, 125, 124) for s in range(8)]
