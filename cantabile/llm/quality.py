@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Tokens are runs of letters and digits, and runs of other signs; letters A-Z count as a-z. Each of
-BUCKETS token classes (a token's hash) has a fixed sparse random index vector. A token's word vector is the sum of
-the index vectors around all its occurrences in all documents, added up by Spark. A document is the
+Tokens are runs of letters and digits, and runs of other signs; letters A-Z count as a-z. So that the vectors need the same memory whatever
+the corpus, words share BUCKETS classes by their hash; each class has a fixed sparse random index vector. A class's word vector is the sum of
+the index vectors around all its words' occurrences in all documents, added up by Spark. A document is the
 mean and the spread of its tokens' word vectors, with a few figures of
 its surface (length, share of signs and of capitals, variety).
 
@@ -57,8 +57,33 @@ class Tokens:
     n: np.ndarray
 
 
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A long text in pieces of at most PIECE bytes, or of one longer token; each ends where a token may."""
+    kind = _KIND[np.frombuffer(raw, np.uint8)]
+    edges = np.append(np.flatnonzero(kind[1:] != kind[:-1]) + 1, len(raw))
+    start = 0
+    while start < len(raw):
+        at = np.searchsorted(edges, start + PIECE, "right") - 1
+        stop = int(edges[at] if at >= 0 and edges[at] > start else edges[at + 1])
+        yield raw[start:stop]
+        start = stop
+
+
+def _long_token(buf: np.ndarray) -> np.uint64:
+    """A hash of a token that is longer than a piece."""
+    total = np.uint64(len(buf))
+    for i in range(0, len(buf), PIECE):
+        part = _LOWER[buf[i : i + PIECE]]
+        total = mix(np.asarray([total ^ (part * _POW[: len(part)]).sum(dtype=np.uint64)]))[0]
+    return total
+
+
 def _tokens(raw: bytes) -> tuple[np.ndarray, ...]:
     buf = np.frombuffer(raw, np.uint8)
+    if len(buf) > PIECE:  # one token, or white space
+        n = int(_KIND[buf[0]] > 0)
+        caps = np.full(n, bool(_CAPITAL[buf].all()))
+        return np.zeros(n, np.int64), np.full(n, int(_long_token(buf) % np.uint64(BUCKETS))), np.full(n, _KIND[buf[0]] == 2), np.full(n, len(buf)), caps
     kind = np.concatenate((np.zeros(1, np.uint8), _KIND[buf], np.zeros(1, np.uint8)))
     edges = np.flatnonzero(kind[1:] != kind[:-1])
     starts, ends = edges[:-1], edges[1:]
@@ -72,7 +97,7 @@ def _tokens(raw: bytes) -> tuple[np.ndarray, ...]:
 
 
 def tokens(texts: list[str | None]) -> Iterator[Tokens]:
-    """Tokens of all texts, a bounded number of bytes at a time; a text longer than that is cut, and its parts are joined."""
+    """Tokens of all texts, a bounded number of bytes at a time; a text longer than that is cut between tokens, and its parts are joined."""
     held: list[bytes] = []
     size = 0
 
@@ -87,8 +112,7 @@ def tokens(texts: list[str | None]) -> Iterator[Tokens]:
             yield made()
             held, size = [], 0
         if len(raw) >= PIECE:
-            # a token on a cut counts as two
-            parts = [_tokens(raw[i : i + PIECE])[1:] for i in range(0, len(raw), PIECE)]
+            parts = [_tokens(piece)[1:] for piece in _pieces(raw)]
             cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
             yield Tokens(*cols, np.asarray([len(cols[0])]))
         else:

@@ -140,6 +140,63 @@ def test_quality_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
 
 
+def plain_tokens(text):
+    """(bytes, kind) of the tokens, byte by byte."""
+    from itertools import groupby
+
+    return [(bytes(g), k) for k, g in ((k, list(g)) for k, g in groupby((text or "").encode(), key=lambda b: int(quality._KIND[b]))) if k]
+
+
+def test_quality_features_against_plain_sums(monkeypatch):
+    """Pooled features of texts around the size of a piece, with tokens on every cut and one longer than a piece."""
+    rng = random.Random(4)
+    monkeypatch.setattr(quality, "PIECE", 64)
+    texts = [None, "", "A", "!!", " \n"] + ["".join(rng.choice(["Ab", "XY", "é", "!?", " ", "\n", "word", "z" * 40]) for _ in range(n)) for n in (3, 10, 30, 60, 200)] + ["ab " + "Q" * 300 + "!" + "q" * 64]
+    vectors = np.random.default_rng(2).standard_normal((quality.BUCKETS, quality.DIM)).astype(np.float32)
+    got = np.concatenate([quality.pool(t, vectors) for t in quality.tokens(texts)])
+    bucket = lambda raw: int(next(quality.tokens([raw.decode()])).bucket[0])
+    for text, row in zip(texts, got, strict=True):
+        toks = plain_tokens(text)
+        if not toks:
+            assert not row.any()
+            continue
+        ids = [bucket(raw) for raw, _ in toks]
+        v, n = vectors[ids], len(toks)
+        caps = [len(raw) > 1 and all(65 <= b <= 90 for b in raw) for raw, _ in toks]
+        again = [i > 0 and ids[i] == ids[i - 1] for i in range(n)]
+        rest = [math.log1p(n) / 5, sum(k == 2 for _, k in toks) / n, sum(caps) / n, len(set(ids)) / n**0.9, sum(len(raw) for raw, _ in toks) / n / 5, sum(again) / n]
+        assert np.allclose(row, np.concatenate((v.mean(axis=0), v.std(axis=0), rest)), atol=2e-3)
+
+
+def test_quality_temperature_and_gradient():
+    """On rows that one direction splits with noise the network ranks them, and its probabilities are near the shares."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 6)).astype(np.float32)
+    true = 1 / (1 + np.exp(-2 * x[:, 0]))
+    y = (rng.random(3000) < true).astype(np.int64)
+    net = quality.fit(x, y)
+    score = net.score(x)
+    assert np.abs(score - true).mean() < 0.1
+    hidden = np.maximum((x[0] - net.mean) / net.scale @ net.weights[0] + net.weights[1], 0)
+    assert math.isclose(score[0], 1 / (1 + math.exp(-float((hidden @ net.weights[2] + net.weights[3]).item()) / net.temperature)), rel_tol=1e-4)
+
+
+def test_quality_of_repeated_rows_and_null_ids(spark):
+    rows = [(i, f"good words number {i} here" if i % 2 else f"!! {i} ?? ##") for i in range(60)] + [(None, "good words"), (None, "good words"), (3, "other text"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    pooled = quality.pooled(docs, quality.word_vectors(docs))
+    got = quality.scored(pooled, quality.learn(pooled, labels)).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id is None}) == 1
+
+
+def test_language_of_repeated_rows(spark, nothing):
+    rows = [(1, "the words of a text", "en")] * 5 + [(2, "die Wörter eines Textes", "de")] * 5 + [(None, "the words", None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.with_language(docs, language.train(docs)).collect()
+    assert len(got) == 12 and {(r.text, r.lang_pred) for r in got} == {("the words of a text", "en"), ("die Wörter eines Textes", "de"), ("the words", "en")}
+
+
 def test_quality_edge_cases(spark, clashing, cases, nothing):
     vectors = quality.word_vectors(clashing)
     rows = quality.pooled(clashing, vectors)
