@@ -9,7 +9,7 @@ language when each language has the mean likelihood of a word there: near 1 wher
 where two languages are mixed.
 
 The probabilities are fitted by expectation maximisation, on the word counts of a
-sample of labelled rows of at most about TRAIN_ROWS rows a language, taken by a hash of the id; words of up to TAUGHT letters
+sample of labelled rows of at most about TRAIN_ROWS rows a language, taken by a hash of the id; their words
 are counted and expectations added up by Spark, and the driver gets pieces x languages numbers.
 
 Words of one length are worked through together, as many as BYTES allow for the number of languages, and STRETCH letters
@@ -45,8 +45,6 @@ from cantabile.llm.shingles import mix, powers
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 TRAIN_ROWS, ROUNDS = 2000, 3
-#: Longer words teach nothing; they are scored like any other.
-TAUGHT = 100
 #: Letters of a word between two rescalings: 1e-7 for each, and for those before that a piece spans, is no underflow.
 STRETCH = 16
 #: Bytes of the arrays that words are scored in.
@@ -315,7 +313,7 @@ def train(labelled: DataFrame, path: str | None = None, id_col: str = "doc_id",
         for batch in batches:
             seen: Counter = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen.update((lang, w) for w in words_of(text) if len(w) <= TAUGHT)
+                seen.update((lang, w) for w in words_of(text))
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in seen], pa.string()), "word": pa.array([k[1] for k in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
     per_lang = [F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i, k in enumerate(languages)]
