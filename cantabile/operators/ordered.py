@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -21,32 +22,49 @@ def by_line() -> WindowSpec:
     return Window.partitionBy("track_id", "line_idx").orderBy("word_idx")
 
 
-def strict_clamp(df: DataFrame, keys: list[str], order: str, value: str, floor: Column | None = None, step: float | int = 1, kind: str = "bigint") -> DataFrame:
-    """Lifts a value below its predecessor to the predecessor plus `step`; others stay: (keys, order, value, moved). Nothing is below `floor`, or 0.
+def strict_clamp(
+    df: DataFrame, keys: list[str], order: str, value: str, floor: Column | None = None, step: float | int = 1, kind: str = "bigint", keep: list[str] | None = None, missing: bool = False
+) -> DataFrame:
+    """Lifts a value below its predecessor to the predecessor plus `step`; others stay: (keys, order, value, moved, keep). Nothing is below `floor`, or 0.
 
-    Not a running maximum: after a lift the next row is compared with the lifted value. Rows pass in order and only the last
-    value is kept, so a long group needs time but no memory.
+    Not a running maximum: after a lift the next row is compared with the lifted value. Rows pass in order in batches; only where one falls
+    below the one before is anything done, row by row until a row's own value holds again, so a track in order costs a comparison
+    of arrays, and a long one needs time but no memory. A null counts as the floor; with missing=True it takes its predecessor plus `step` (the first
+    0), and isn't called moved.
     """
     least = F.lit(0) if floor is None else floor
-    rows = df.select(*keys, F.col(order).cast("bigint").alias(order), F.greatest(least, F.col(value)).cast(kind).alias(value))
+    given = F.greatest(least, F.col(value)).cast(kind)
+    given = F.when(F.col(value).isNotNull(), given) if missing else given
+    rows = df.select(*keys, F.col(order).cast("bigint").alias(order), given.alias(value), *(keep or []))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, None
+        n_keys, before = len(keys), None
         for batch in batches:
-            made, moved = [], []
-            groups = zip(*(batch.column(i).to_pylist() for i in range(len(keys))))
-            for here, now in zip(groups, batch.column(len(keys) + 1).to_pylist()):
-                if here != key:
-                    key, last = here, None
-                low = last is not None and now is not None and now < last
-                last = last + step if low else now
-                made.append(last)
-                moved.append(low)
-            columns = [*(batch.column(i) for i in range(len(keys) + 1)), pa.array(made, batch.schema.types[-1]), pa.array(moved, pa.bool_())]
+            if not batch.num_rows:
+                continue
+            column = batch.column(n_keys + 1)
+            blank = column.is_null().to_numpy(zero_copy_only=False)
+            x = column.fill_null(0).to_numpy(zero_copy_only=False).copy()
+            codes = [batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for i in range(n_keys)]
+            here = tuple(batch.column(i)[0].as_py() for i in range(n_keys))
+            same = np.concatenate(([before is not None and before[0] == here], np.all([c[1:] == c[:-1] for c in codes], axis=0)))
+            shifted = np.concatenate(([before[1] if before is not None else 0], x[:-1])).astype(x.dtype)
+            moved, done = np.zeros(len(x), bool), 0
+            for at in np.flatnonzero(same & (blank | (x < shifted))).tolist():
+                if at < done:
+                    continue
+                last = x[at - 1] if at else x.dtype.type(before[1])
+                while at < len(x) and same[at] and (blank[at] or x[at] < last):
+                    last = last + step
+                    x[at], moved[at] = last, not blank[at]
+                    at += 1
+                done = at
+            before = (tuple(batch.column(i)[-1].as_py() for i in range(n_keys)), x[-1].item())
+            columns = [*batch.columns[: n_keys + 1], pa.array(x, column.type), *batch.columns[n_keys + 2 :], pa.array(moved, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "moved"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, order, value).mapInArrow(run, f"{kinds}, moved boolean")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order, F.col(value).asc_nulls_last()).mapInArrow(run, f"{kinds}, moved boolean")
 
 
 def maxplus_clamp(value: Column, order: WindowSpec, step: Column | int = 1) -> Column:
