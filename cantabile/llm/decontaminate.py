@@ -35,7 +35,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -380,28 +379,24 @@ class Latent:
         self.has = bits
         self.cell, self.times = (np.concatenate(c) for c in zip(*cells, strict=True))
 
-    def near(self, every: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, cosine) of all pairs that reach `least`, each once."""
-        found = []
+    def near(self, every: Windows) -> np.ndarray:
+        """All pairs of window and item whose cosine is `least` or more, as window * items + item, ascending."""
+        found = [np.zeros(0, np.int64)]
         step = max(16, min(CHUNK, COSINES // max(1, len(self.query))))
-        for begin in range(0, len(every.key), step):
+        items, begins = np.unique(self.owner, return_index=True)
+        for begin in range(0, len(every.key) if len(items) else 0, step):
             w = every.some(begin, begin + step)
-            cosine = unit(w.times(self.vectors)) @ self.query.T
+            cosine = np.maximum.reduceat(unit(w.times(self.vectors)) @ self.query.T, begins, axis=1)
             i, j = np.nonzero(cosine >= self.least)
-            key = w.key[i] * len(self.need) + self.owner[j]
-            order = np.lexsort((-cosine[i, j], key))
-            pair, at = np.unique(key[order], return_index=True)
-            found.append((pair, cosine[i, j][order][at]))
-        pair, cosine = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0))
-        return *np.divmod(pair, len(self.need)), cosine
-
-    def candidates(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
-        """(document, item, first word of the window, cosine) where enough words of the item are around the window."""
-        bench = self.bench
-        every, first = windows(docs, bench)
-        key, item, cosine = self.near(every)
+            found.append(w.key[i] * len(self.need) + items[j])
+        return np.concatenate(found)
+
+    def candidates(self, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
+        """(document, item, first word of the window) of the near pairs where enough words of the item are around the window."""
+        every, first = windows(docs, self.bench)
+        key, item = np.divmod(self.near(every), len(self.need))
         if not len(key):
-            return
+            return []
         doc = np.searchsorted(first, key, "right") - 1
         size = np.asarray([len(d) for d in docs], np.int64)
         flat = np.append(np.concatenate(docs), np.int32(0))
@@ -409,15 +404,14 @@ class Latent:
         start = (key - first[doc]) * STRIDE
         # windows of an item next to each other are first tested as one stretch, which has all that is around them
         order = np.lexsort((key, item))
-        key, item, cosine, doc, start = (x[order] for x in (key, item, cosine, doc, start))
+        key, item, doc, start = (x[order] for x in (key, item, doc, start))
         run = np.flatnonzero(np.concatenate(([True], (np.diff(item) != 0) | (np.diff(doc) != 0) | (np.diff(key) > 2))))
         of_run = np.append(run[1:], len(key)) - run
         ok = self.enough(flat, begins[doc[run]], np.maximum(0, start[run] - self.sizes[item[run]]), np.minimum(size[doc[run]], start[run + of_run - 1] + 2 * STRIDE + self.sizes[item[run]]), item[run])
         keep = np.repeat(ok, of_run)
-        key, item, cosine, doc, start = (x[keep] for x in (key, item, cosine, doc, start))
+        item, doc, start = (x[keep] for x in (item, doc, start))
         ok = self.enough(flat, begins[doc], np.maximum(0, start - self.sizes[item]), np.minimum(size[doc], start + 2 * STRIDE + self.sizes[item]), item)
-        for c in np.flatnonzero(ok).tolist():
-            yield int(doc[c]), int(item[c]), int(start[c]), float(cosine[c])
+        return list(zip(doc[ok].tolist(), item[ok].tolist(), start[ok].tolist(), strict=True))
 
     def enough(self, flat: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Whether the words low to high of the document that begins there can hold as many of the item as the rule asks for."""
@@ -438,43 +432,81 @@ class Latent:
         return out
 
 
-def places(bench: Benchmark, latent: Latent, words: list[np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
-    """(document, item, first word of the window, cosine): all places that can meet the rule, of the items that have probes."""
-    for d, i, near in bench.probes.places(words) if bench.probes else ():
-        item, text = bench.items[i], words[d]
-        if lcs_length(item, text[max(0, int(near[0]) * STRIDE - len(item)) : (int(near[-1]) + 2) * STRIDE + len(item)]) < LCS_ANSWER * len(item) - 1e-9:
-            continue
-        for start in (near * STRIDE).tolist():
-            w, first = windows([text[start : start + 2 * STRIDE]], bench)
-            w = w.times(latent.vectors)[np.isin(w.key, first[:-1])]
-            yield d, i, start, float((unit(w) @ latent.query[latent.owner == i].T).max(initial=0))
-
-
-def matches(docs: DataFrame, bench: Benchmark, vectors: np.ndarray, kind: str, least: float = COSINE) -> DataFrame:
-    """A row (doc_id, item, cosine, lcs, answer) for each document and item that it holds."""
+def places(bench: Benchmark, latent: Latent, words: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(document, item, first word of the window): all places that can meet the rule, of the items that have probes."""
+    runs = list(bench.probes.places(words)) if bench.probes else []
+    if not runs:
+        return []
+    size = np.asarray([len(w) for w in words], np.int64)
+    flat, begins = np.append(np.concatenate(words), np.int32(0)), np.cumsum(size) - size
+
+    def enough(doc: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        low, high = np.maximum(0, first * STRIDE - latent.sizes[item]), np.minimum(size[doc], (last + 2) * STRIDE + latent.sizes[item])
+        ok = latent.enough(flat, begins[doc], low, high, item)
+        return np.flatnonzero(ok), low, high
+
+    doc, item = np.array([r[0] for r in runs]), np.array([r[1] for r in runs])
+    ok, low, high = enough(doc, item, np.array([r[2][0] for r in runs]), np.array([r[2][-1] for r in runs]))
+    held = [k for k in ok.tolist() if lcs_length(bench.items[item[k]], words[doc[k]][low[k] : high[k]]) >= LCS_ANSWER * len(bench.items[item[k]]) - 1e-9]
+    if not held:
+        return []
+    near = [runs[k][2] for k in held]
+    n = [len(x) for x in near]
+    doc, item, near = np.repeat(doc[held], n), np.repeat(item[held], n), np.concatenate(near)
+    ok, _, _ = enough(doc, item, near, near)
+    return list(zip(doc[ok].tolist(), item[ok].tolist(), (near[ok] * STRIDE).tolist(), strict=True))
+
+
+def cosines(bench: Benchmark, latent: Latent, words: list[np.ndarray], found: list[tuple[int, int, int]]) -> list[float]:
+    """Of each document, item and window the largest cosine of the window and a passage of the item."""
+    every, first = windows([words[d][start : start + 2 * STRIDE] for d, _, start in found], bench)
+    whole = np.isin(every.key, first[:-1])
+    vector = np.zeros((len(found), latent.vectors.shape[1]), np.float32)
+    vector[np.searchsorted(first, every.key[whole])] = unit(every.times(latent.vectors)[whole])
+    return [float((latent.query[latent.owner == i] @ v).max(initial=0)) for (_, i, _), v in zip(found, vector, strict=True)]
+
+
+def matches(docs: DataFrame, bench: Benchmark, vectors: np.ndarray, kind: str, bound: bool, least: float = COSINE) -> DataFrame:
+    """A row (doc_id, item, cosine, lcs, answer, latent) for each document and item that it holds.
+
+    cosine is that of the place with the longest common part; latent: whether the latent search led to a place that holds it.
+    """
     latent = Latent(bench, vectors, least)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in word_batches(batches):
+            if bound:
+                every, first = windows(words, bench)
+                near, asked = latent.near(every), places(bench, latent, words)
+                pairs = np.array([(first[d] + start // STRIDE) * len(bench.items) + i for d, i, start in asked], np.int64)
+                at = np.minimum(np.searchsorted(near, pairs), max(0, len(near) - 1))
+                retrieved = near[at] == pairs if len(near) else np.zeros(len(pairs), bool)
+            else:
+                asked = latent.candidates(words)
+                retrieved = [True] * len(asked)
+                asked, retrieved = (asked + (more := places(bench, latent, words)), retrieved + [False] * len(more))
             best: dict[tuple[int, int], tuple] = {}
-            for d, i, start, cosine in chain(latent.candidates(words), places(bench, latent, words)):
+            by_latent = set()
+            for (d, i, start), seen in zip(asked, retrieved, strict=True):
                 item = bench.items[i]
                 share, answer = holds(item, words[d][max(0, start - len(item)) : start + 2 * STRIDE + len(item)])
                 if share >= LCS or share >= LCS_ANSWER and answer:
-                    found = (share, answer, cosine)
+                    found = (share, answer, -start)
                     best[d, i] = max(found, best.get((d, i), found))
+                    if seen:
+                        by_latent.add((d, i))
             if best:
+                cosine = cosines(bench, latent, words, [(d, i, -v[2]) for (d, i), v in best.items()])
                 at_doc = pa.array([d for d, _ in best], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(at_doc), pa.array([i for _, i in best], pa.int64()), pa.array([v[2] for v in best.values()]), pa.array([v[0] for v in best.values()]), pa.array([v[1] for v in best.values()])],
-                    ["doc_id", "item", "cosine", "lcs", "answer"],
-                )
+                columns = [[i for _, i in best], cosine, [v[0] for v in best.values()], [v[1] for v in best.values()], [k in by_latent for k in best]]
+                kinds = [pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at_doc), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "item", "cosine", "lcs", "answer", "latent"])
 
-    return docs.mapInArrow(search, f"doc_id {kind}, item long, cosine double, lcs double, answer boolean")
+    return docs.mapInArrow(search, f"doc_id {kind}, item long, cosine double, lcs double, answer boolean, latent boolean")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", bound: bool = True, least: float = COSINE) -> DataFrame:
-    """A row (doc_id, item_id, cosine, lcs, answer) for each document and benchmark item that it holds."""
+    """A row (doc_id, item_id, cosine, lcs, answer, latent) for each document and benchmark item that it holds."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -488,17 +520,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             continue
         names = spark.createDataFrame(pa.table({"item": pa.array(range(len(bench.ids)), pa.int64()), "item_id": bench.ids}))
         names = names.select("item", F.col("item_id").cast(kinds["item_id"]))
-        found = matches(words, bench, singular_vectors(words, bench), kinds["doc_id"], least)
+        found = matches(words, bench, singular_vectors(words, bench), kinds["doc_id"], bound, least)
         parts.append(checkpoint(found.join(F.broadcast(names), "item")))  # ITEMS rows at most
     shelf.drop(*(f for f, _ in shelf.held))
     if not parts:
-        none = {"doc_id": kinds["doc_id"], "item_id": kinds["item_id"], "cosine": "double", "lcs": "double", "answer": "boolean"}
+        none = {"doc_id": kinds["doc_id"], "item_id": kinds["item_id"], "cosine": "double", "lcs": "double", "answer": "boolean", "latent": "boolean"}
         return spark.range(0).select(*(F.lit(None).cast(kind).alias(c) for c, kind in none.items()))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine")).alias("_b"))
-    return best.select("doc_id", "item_id", "_b.cosine", "_b.lcs", "_b.answer")
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine")).alias("_b"), F.bool_or("latent").alias("latent"))
+    return best.select("doc_id", "item_id", "_b.cosine", "_b.lcs", "_b.answer", "latent")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
