@@ -28,44 +28,94 @@ def windows(lines: DataFrame, profiles: DataFrame, duration_ms: Column) -> DataF
     return each.withColumn("window_start_ms", start).withColumn("window_end_ms", F.greatest(bounded, F.col("window_start_ms") + 200)).drop("pre", "post", "last_window", "_duration")
 
 
+def feasible(frames: int, vocabulary: int, target: list[int]) -> bool:
+    """Whether the ids are known and the frames hold them, with a blank between equal neighbours."""
+    return bool(target) and min(target) >= 0 and max(target) < vocabulary and frames >= len(target) + sum(a == b for a, b in zip(target, target[1:]))
+
+
+#: Frames by states by rows that are worked through at once.
+AT_ONCE = 1 << 21
+
+
+def viterbi_all(logps: list[np.ndarray], targets: list[list[int]], blank: int = 0) -> list[list[tuple[int, int, int, int, float]] | None]:
+    """viterbi of many rows: rows of like size side by side, all states of a frame at once."""
+    out: list = [[] if not t else None for t in targets]
+    todo = [i for i, t in enumerate(targets) if len(logps[i]) and feasible(*logps[i].shape, t)]
+    todo.sort(key=lambda i: (len(logps[i]), len(targets[i])))
+    while todo:
+        n, most = 0, 0
+        while n < len(todo):
+            most = max(most, 2 * len(targets[todo[n]]) + 1)
+            if n and (n + 1) * most * len(logps[todo[n]]) > AT_ONCE:
+                break
+            n += 1
+        some, todo = todo[:n], todo[n:]
+        for i, found in zip(some, _side_by_side([logps[i] for i in some], [targets[i] for i in some], blank), strict=True):
+            out[i] = found
+    return out
+
+
+def _side_by_side(logps: list[np.ndarray], targets: list[list[int]], blank: int) -> list[list[tuple[int, int, int, int, float]] | None]:
+    rows, frames = len(logps), np.array([len(x) for x in logps])
+    longest, wide = int(frames.max()), 2 * max(map(len, targets)) + 1
+    states = np.full((rows, wide), blank)
+    sizes = np.array([2 * len(t) + 1 for t in targets])
+    for i, t in enumerate(targets):
+        states[i, 1 : sizes[i] : 2] = t
+    inside = np.arange(wide) < sizes[:, None]
+    may_skip = np.zeros((rows, wide), bool)
+    may_skip[:, 2:] = (states[:, 2:] != blank) & (states[:, 2:] != states[:, :-2])
+    heard = np.full((longest, rows, wide), -np.inf)
+    for i, x in enumerate(logps):
+        heard[: len(x), i] = x[:, states[i]]
+    heard[:, ~inside] = -np.inf
+    score = np.full((rows, wide), -np.inf)
+    score[:, :2] = heard[0, :, :2]
+    came = np.zeros((longest, rows, wide), np.int8)
+    one, two = np.full((rows, wide), -np.inf), np.full((rows, wide), -np.inf)
+    for t in range(1, longest):
+        one[:, 1:] = score[:, :-1]
+        two[:, 2:] = np.where(may_skip[:, 2:], score[:, :-2], -np.inf)
+        best, step = score, came[t]
+        better = one > best
+        best = np.where(better, one, best)
+        step[better] = 1
+        better = two > best
+        best = np.where(better, two, best)
+        step[better] = 2
+        best = best + heard[t]
+        on = t < frames
+        score = np.where(on[:, None], best, score)
+        if not on.all():
+            step[~on] = 0
+    row = np.arange(rows)
+    last, before = score[row, sizes - 1], score[row, np.maximum(sizes - 2, 0)]
+    state = np.where((before > last) & (sizes > 1), sizes - 2, sizes - 1)
+    found = np.isfinite(score[row, state])
+    path = np.zeros((longest, rows), int)
+    for t in range(longest - 1, -1, -1):
+        path[t] = state
+        state = state - came[t, row, state]
+    out: list = []
+    for i, target in enumerate(targets):
+        if not found[i]:
+            out.append(None)
+            continue
+        p = path[: frames[i], i]
+        on = np.flatnonzero(p % 2 == 1)
+        token = p[on] // 2
+        edges = np.searchsorted(token, np.arange(len(target) + 1))
+        sure = np.concatenate(([0.0], np.cumsum(np.exp(logps[i][on, np.asarray(target)[token]]))))
+        out.append([(k, int(v), int(on[a]), int(on[b - 1]) + 1, float((sure[b] - sure[a]) / (b - a))) for k, (v, a, b) in enumerate(zip(target, edges[:-1].tolist(), edges[1:].tolist()))])
+    return out
+
+
 def viterbi(logp: np.ndarray, target: list[int], blank: int = 0) -> list[tuple[int, int, int, int, float]] | None:
     """Best path of a target through frames, as (token_index, token_id, start_frame, end_frame, confidence); None if there is none.
 
-    All states of a frame at once. Of equal scores staying wins, then a step of one, then of two; the
-    last state wins over the one before it unless that is better.
+    Of equal scores staying wins, then a step of one, then of two; the last state wins over the one before it unless that is better.
     """
-    if not target:
-        return []
-    frames, vocabulary = logp.shape
-    if min(target) < 0 or max(target) >= vocabulary:
-        return None
-    states = np.full(2 * len(target) + 1, blank)
-    states[1::2] = target
-    may_skip = np.zeros(len(states), bool)
-    may_skip[2:] = (states[2:] != blank) & (states[2:] != states[:-2])
-    score = np.full(len(states), -np.inf)
-    score[: min(2, len(states))] = logp[0, states[:2]]
-    came = np.zeros((frames, len(states)), np.int8)
-    for t in range(1, frames):
-        one = np.concatenate(([-np.inf], score[:-1]))
-        two = np.where(may_skip, np.concatenate(([-np.inf, -np.inf], score[:-2])), -np.inf)
-        best = score.copy()
-        for step, other in ((1, one), (2, two)):
-            better = other > best
-            best[better], came[t, better] = other[better], step
-        score = best + logp[t, states]
-    state = len(states) - 2 if score[-2] > score[-1] else len(states) - 1
-    if not np.isfinite(score[state]):
-        return None
-    path = np.zeros(frames, int)
-    for t in range(frames - 1, -1, -1):
-        path[t] = state
-        state -= came[t, state]
-    out = []
-    for i, token in enumerate(target):
-        on = np.flatnonzero(path == 2 * i + 1)
-        out.append((i, int(token), int(on[0]), int(on[-1]) + 1, float(np.exp(logp[on, token]).mean())))
-    return out
+    return viterbi_all([logp], [target], blank)[0]
 
 
 def token_spans(df: DataFrame, keys: list[str], emission: str = "emission", target: str = "target") -> DataFrame:

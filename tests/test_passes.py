@@ -33,12 +33,12 @@ def asked(spark, lines, duration, pre, post, last, lookahead):
 
 def test_window_reaches_from_before_the_anchor_past_the_next(spark):
     r = asked(spark, [(1, 0, 42100, [word("a")]), (1, 1, 46300, [word("a")])], 240_000, 0.95, 0.35, 11, 0)
-    w = passes.heard(r, blocks(spark, [0])).where("line_idx = 0").first()
+    w = passes.fitted(r, blocks(spark, [0])).where("line_idx = 0").first()
     assert (w.window_start_ms, w.window_end_ms) == (41150, 46650)
     r = asked(spark, [(1, 0, 120_000, [word("a")])], 180_000, 1.0, 0.3, 9, 0)
-    w = passes.heard(r, blocks(spark, [0])).first()
+    w = passes.fitted(r, blocks(spark, [0])).first()
     assert (w.window_start_ms, w.window_end_ms) == (119_000, 129_000)
-    assert w.emission is None  # no frames there
+    assert not w._heard and w._fit is None  # no frames there
 
 
 def test_lookahead_gives_words_of_this_line_only(spark):
@@ -61,7 +61,8 @@ def test_words_without_letters_and_lines_without_a_path(spark):
     lines = [(1, 0, 0, [word("♪", []), word("♪", [])]), (1, 1, 600, [word("aaaaaaaa")]), (1, 2, None, [word("a")]), (1, 3, 700, [])]
     r = asked(spark, lines, 1000, 0.1, 0.1, 9, 1)
     got = {x.line_idx: x for x in passes.align_lines(r, blocks(spark, [0] * 10)).collect()}
-    assert set(got) == {0}
+    assert {i: r.method for i, r in got.items()} == {0: "even_no_letters", 1: "even_no_path"}
+    assert [(w.start_ms, w.end_ms) for w in got[1].words] == [(600, 700)] and got[1].silent and got[1].conf == 0.1
     assert [(w.start_ms, w.end_ms, w.conf, w.origin) for w in got[0].words] == [(0, 300, 0.1, "interpolated_unsupported_token"), (300, 600, 0.1, "interpolated_unsupported_token")]
     assert got[0].lead_ms is None and got[0].conf == 0.1
 
@@ -125,14 +126,14 @@ def test_boundary_rescue_takes_the_earlier_word(spark):
 
 
 RESULT = (
-    "track_id long, line_idx long, pass_idx int, variant string, anchor_ms long, next_anchor_ms long, duration_ms long, window_start_ms long, window_end_ms long, lookahead_ms long, lookahead_conf double, used int, silent boolean, "
+    "track_id long, line_idx long, pass_idx int, variant string, anchor_ms long, next_anchor_ms long, duration_ms long, window_start_ms long, window_end_ms long, lookahead_ms long, lookahead_conf double, used int, silent boolean, method string, "
     "words array<struct<word_idx int, word string, normalized string, start_ms long, end_ms long, conf double, origin string>>, conf double, start_ms long, end_ms long, anchor_delta_ms long, adaptive boolean, lead_ms long, gap_ms long, score double"
 )
 
 
 def candidate(i, start, conf):
     words = [(0, "hello", "hello", 1000, 1250, 0.92, "aligned"), (1, "world", "world", start, min(2000, start + 200), conf, "aligned_low_confidence")]
-    return (1, 0, i, "first", 1000, None, 9000, 0, 3000, 2000, 0.9, 1, False, words, 0.7, 1000, 2000, 0, False, None, None, 0.0)
+    return (1, 0, i, "first", 1000, None, 9000, 0, 3000, 2000, 0.9, 1, False, "ctc", words, 0.7, 1000, 2000, 0, False, None, None, 0.0)
 
 
 def test_merge_uses_tempo_only_for_the_unstable_word(spark):
@@ -148,7 +149,7 @@ def test_merge_uses_tempo_only_for_the_unstable_word(spark):
 
 def test_a_phrase_out_of_tempo_is_told(spark):
     words = [(0, "one", "one", 1000, 1150, 0.8, "aligned"), (1, "broken", "broken", 1150, 2800, 0.55, "aligned"), (2, "three", "three", 2800, 3000, 0.82, "aligned")]
-    row = (1, 0, 0, "first", 1000, 3000, 9000, 0, 5000, 3000, 0.9, 1, False, words, 0.76, 1000, 3000, 0, False, 200, 200, 0.0)
+    row = (1, 0, 0, "first", 1000, 3000, 9000, 0, 5000, 3000, 0.9, 1, False, "ctc", words, 0.76, 1000, 3000, 0, False, 200, 200, 0.0)
     now = spark.createDataFrame([row], RESULT)
     priors = spark.createDataFrame([(1, 0, 0.055)], "track_id long, line_idx long, prior double")
     (got,) = passes.reasons(now, priors, profile("max")).collect()
