@@ -185,7 +185,7 @@ def last_word_score(conf: Column, origin: Column, start_ms: Column, end_ms: Colu
     return conf - weak - late + room - over - short
 
 
-def suspicious(conf: Column, start_ms: Column, end_ms: Column, next_anchor_ms: Column, lookahead_ms: Column, window_end_ms: Column, least_conf: float, danger_ms: int) -> Column:
+def suspicious(conf: Column, start_ms: Column, end_ms: Column, next_anchor_ms: Column, lookahead_ms: Column, window_end_ms: Column, least_conf: Column | float, danger_ms: Column | int) -> Column:
     """Whether a line's end may be wrong; false without a next anchor, true without a timed word."""
     signs = (conf < least_conf) | (start_ms >= next_anchor_ms - danger_ms) | F.coalesce(lookahead_ms - start_ms < 65, F.lit(False)) | (window_end_ms - end_ms < 55)
     return F.when(next_anchor_ms.isNull(), False).when(start_ms.isNull(), True).otherwise(signs)
@@ -204,16 +204,17 @@ def keep_better(old: DataFrame, new: DataFrame, keys: list[str], score: str, lea
     return both.select(*keys, *(F.when(wins, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in names), wins.alias("replaced"))
 
 
-def reasons(low: Column, least: Column, share: Column, consecutive: Column, interpolated: Column, outlier: Column, boundary: Column, max_profile: bool = True) -> Column:
-    """Why a line should be looked at again, in their order."""
+def reasons(low: Column, least: Column, share: Column, consecutive: Column, interpolated: Column, outlier: Column, boundary: Column, top: Column | bool = True) -> Column:
+    """Why a line should be looked at again, in their order. top: whether the profile is the best."""
+    by = lambda a, b: F.when(top if isinstance(top, Column) else F.lit(top), a).otherwise(b)
     told = [
-        (least < (0.32 if max_profile else 0.26), "very_low_word_confidence"), (share >= (0.18 if max_profile else 0.28), "low_confidence_phrase"),
+        (least < by(0.32, 0.26), "very_low_word_confidence"), (share >= by(0.18, 0.28), "low_confidence_phrase"),
         (consecutive, "consecutive_weak_words"), (interpolated, "interpolated_word"), (outlier, "tempo_outlier"), (boundary, "boundary"),
     ]
     return F.filter(F.array(*(F.when(test, F.lit(name)) for test, name in told)), lambda x: x.isNotNull())
 
 
-def rescue_gate(why: Column, severe: Column, balanced: bool) -> Column:
+def rescue_gate(why: Column, severe: Column, balanced: Column | bool) -> Column:
     """Whether reasons lead to a rescue: some, not the boundary alone, and in the balanced profile a severe one."""
     some = (F.size(why) > 0) & ~((F.size(why) == 1) & (F.element_at(why, 1) == "boundary"))
-    return some & severe if balanced else some
+    return some & (severe | ~(balanced if isinstance(balanced, Column) else F.lit(balanced)))

@@ -394,7 +394,7 @@ def h14(spark, d):
     """Every line in the three other windows of the best profile."""
     known, sound = heard(spark, d)
     now = known.select(*LINE, F.col("anchor_ms").alias("start_ms"))
-    return told(steps.align_lines(steps.variants(known, now, profile("max")), sound))
+    return told(steps.align_lines(steps.variants(steps.profiled(known, profile("max")), now), sound))
 
 
 @query("H18_pass_driver")

@@ -272,7 +272,7 @@ def test_a_phrase_out_of_tempo_is_told(spark):
     row = (1, 0, 0, "first", 1000, 3000, 9000, 0, 5000, 3000, 0.9, 1, False, "ctc", words, 0.76, 1000, 3000, 0, False, 200, 200, 0.0)
     now = spark.createDataFrame([row], RESULT)
     priors = spark.createDataFrame([(1, 0, 0.055)], "track_id long, line_idx long, prior double")
-    (got,) = passes.reasons(now, priors, profile("max")).collect()
+    (got,) = passes.reasons(passes.profiled(now, profile("max")), priors).collect()
     assert "tempo_outlier" in got.reasons and "very_low_word_confidence" not in got.reasons
 
 
