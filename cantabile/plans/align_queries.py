@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cantabile.functions.text import tokens, word_units
-from cantabile.operators import align, compare, ordered, passes as steps, quality, rescue
+from cantabile.operators import align, compare, onset, ordered, passes as steps, quality, rescue
 from cantabile.operators.ordered import by_line, by_track
 from cantabile.plans.ordered_queries import lines
 from cantabile.plans.sql import SL, SW, with_
-from cantabile.schema import REASONS, profile
-from cantabile.sources.views import sung_frames, sung_texts, sung_words
+from cantabile.schema import REASONS, profile, profiles
+from cantabile.sources.files import manifest_cases
+from cantabile.sources.views import sung_frames, sung_samples, sung_texts, sung_words
 
 QUERIES, ORACLES = {}, {}
 LINE = ["track_id", "line_idx"]
@@ -381,6 +382,129 @@ def told(lines: DataFrame) -> DataFrame:
     return lines.select(*LINE, "variant", "start_ms", "end_ms", F.round("conf", 4).alias("conf"), "lookahead_ms", "used", F.round("score", 6).alias("score"), words.alias("aligned"))
 
 
+SCORED = SW + """,
+cs AS (SELECT track_id, line_idx, word_idx, CASE WHEN k % 17 = 5 THEN word || 'x' ELSE word END AS word, start_ms + (k * 17) % 300 - 150 AS start_ms, end_ms + (k * 17) % 300 - 150 AS end_ms FROM sw WHERE seq % 7 <> 3 AND line_idx % 11 <> 10),
+rl AS (SELECT track_id, line_idx, min(start_ms) AS s, list({'t': word, 's': start_ms, 'e': end_ms} ORDER BY word_idx) AS w FROM sw GROUP BY ALL),
+cl AS (SELECT track_id, line_idx, min(start_ms) AS s, list({'t': word, 's': start_ms, 'e': end_ms} ORDER BY word_idx) AS w FROM cs GROUP BY ALL),
+bl AS (SELECT track_id, line_idx, rl.s AS rs, cl.s AS c_s, rl.w AS rw, cl.w AS cw FROM rl FULL JOIN cl USING (track_id, line_idx)),
+gm AS (SELECT track_id, line_idx, rw, cw, 0 AS i, 1::BIGINT AS cur, []::STRUCT(i BIGINT, j BIGINT)[] AS m FROM bl WHERE rw IS NOT NULL AND cw IS NOT NULL UNION ALL
+  SELECT track_id, line_idx, rw, cw, i + 1, CASE WHEN h > 0 THEN cur + h ELSE cur END, CASE WHEN h > 0 THEN list_append(m, {'i': (i + 1)::BIGINT, 'j': (cur + h - 1)::BIGINT}) ELSE m END
+  FROM (SELECT *, coalesce(list_position(list_transform(cw[cur:cur + 4], lambda x: x.t), rw[i + 1].t), 0) AS h FROM gm WHERE i < len(rw))),
+pm AS (SELECT track_id, rw, cw, unnest(m) AS m FROM gm WHERE i = len(rw)),
+em AS (SELECT track_id, abs(cw[m.j].s - rw[m.i].s)::DOUBLE AS s, abs(cw[m.j].e - rw[m.i].e)::DOUBLE AS e FROM pm),
+ea AS (SELECT track_id, count(*) AS n, avg(s) AS mae, quantile_cont(s, 0.5) AS p50, quantile_cont(s, 0.95) AS p95, avg(e) AS emae, quantile_cont(e, 0.95) AS ep95, avg((s <= 50)::INT) AS w50, avg((s <= 100)::INT) AS w100, avg((s <= 200)::INT) AS w200 FROM em GROUP BY track_id),
+la AS (SELECT track_id, count(rs) AS rl, count(c_s) AS cl, count(*) FILTER (rs IS NULL OR c_s IS NULL OR list_transform(rw, lambda x: x.t) <> list_transform(cw, lambda x: x.t)) AS other, coalesce(sum(len(rw)), 0)::BIGINT AS words, avg(abs(c_s - rs)) AS mae FROM bl GROUP BY track_id)"""
+
+
+@query("E3_score_lines", SCORED, """SELECT track_id, rl AS reference_lines, cl AS candidate_lines, other AS line_text_mismatches, words AS reference_words, coalesce(n, 0) AS matched_words, round(la.mae, 2) AS line_onset_mae_ms,
+  round(ea.mae, 2) AS word_onset_mae_ms, round(p50, 2) AS word_onset_median_ms, round(p95, 2) AS word_onset_p95_ms, round(emae, 2) AS word_end_mae_ms, round(ep95, 2) AS word_end_p95_ms,
+  round(coalesce(w50, 0), 4) AS within_50_ms, round(coalesce(w100, 0), 4) AS within_100_ms, round(coalesce(w200, 0), 4) AS within_200_ms, round(coalesce(n / words, 0), 4) AS word_coverage FROM la LEFT JOIN ea USING (track_id)""")
+def e3_lines(spark, d):
+    """Sung lines against a candidate that lacks words and lines, spells some otherwise and is up to 150 ms off."""
+    w = sung_words(spark, d)
+    off = (F.col("k") * 17) % 300 - 150
+    other = F.when(F.col("k") % 17 == 5, F.concat("word", F.lit("x"))).otherwise(F.col("word"))
+    late = w.where("seq % 7 <> 3 and line_idx % 11 <> 10").withColumns({"word": other, "start_ms": F.col("start_ms") + off, "end_ms": F.col("end_ms") + off})
+
+    def gathered(words):
+        g = words.groupBy(*LINE).agg(F.min("start_ms").alias("start_ms"), F.sort_array(F.collect_list(F.struct("word_idx", "word", "start_ms", "end_ms"))).alias("words"))
+        return g.withColumn("text", F.array_join(F.transform("words", lambda x: x["word"]), " "))
+
+    return compare.score_lines(gathered(w), gathered(late), ["track_id"])
+
+
+ANEW = UNITS + """,
+ot AS (SELECT un.*, prior, (coalesce(lead(start_ms) OVER (PARTITION BY un.track_id, un.line_idx ORDER BY word_idx), end_ms) - start_ms) / 1000 / greatest(0.035, units * prior) AS r FROM un JOIN pq USING (track_id, line_idx)),
+us AS (SELECT *, prior IS NOT NULL AND (k < 36 OR k < 45 AND (r < 0.22 OR r > 3.4) OR k < 62 AND (r < 0.12 OR r > 5)) AS u, min(start_ms) OVER (PARTITION BY track_id, line_idx) AS ls, max(end_ms) OVER (PARTITION BY track_id, line_idx) AS le FROM ot),
+bl AS (SELECT *, count(*) FILTER (NOT u) OVER w AS b, last_value(CASE WHEN NOT u THEN end_ms END IGNORE NULLS) OVER w AS lw,
+  first_value(CASE WHEN NOT u THEN start_ms END IGNORE NULLS) OVER (PARTITION BY track_id, line_idx ORDER BY word_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rw FROM us WINDOW w AS (PARTITION BY track_id, line_idx ORDER BY word_idx ROWS UNBOUNDED PRECEDING)),
+nb AS (SELECT *, count(*) OVER (PARTITION BY track_id, line_idx, b, u) AS n, row_number() OVER v - 1 AS i, sum(units) OVER (PARTITION BY track_id, line_idx, b, u) AS al, sum(units) OVER v - units AS dn, coalesce(lw, ls)::DOUBLE AS l, coalesce(rw, le)::DOUBLE AS rt, 1000 * prior AS tempo
+  FROM bl WINDOW v AS (PARTITION BY track_id, line_idx, b, u ORDER BY word_idx ROWS UNBOUNDED PRECEDING)),
+sc AS (SELECT *, l + dn * CASE WHEN lw IS NOT NULL AND rw IS NOT NULL OR greatest(20 * n, rt - l) < greatest(40 * n, al * tempo) THEN greatest(20 * n, rt - l) / al ELSE tempo END AS pred FROM nb),
+wn AS (SELECT *, CASE WHEN i = 0 THEN greatest(l + 11, least(pred, rt - 12 * (n - i))) ELSE least(pred, rt - 12 * (n - i)) END AS want FROM sc),
+st AS (SELECT *, CASE WHEN u THEN round(max(want - 12 * i) OVER (PARTITION BY track_id, line_idx, b, u ORDER BY word_idx ROWS UNBOUNDED PRECEDING) + 12 * i)::BIGINT ELSE start_ms END AS s FROM wn)"""
+
+
+def unstable_words(spark, d):
+    bounds = lines(spark, d).select(*LINE, F.col("start_ms").alias("line_start_ms"), F.col("end_ms").alias("right_ms"))
+    w = outliers(spark, d).drop("right_ms").withColumn("unstable", F.col("prior").isNotNull() & (F.col("outlier") | (F.col("conf") < 0.36)))
+    return w.join(bounds, LINE)
+
+
+@query("H16_reconstruct", ANEW, """SELECT track_id, line_idx, word_idx, s AS start_ms, CASE WHEN u THEN greatest(s + 10, coalesce(lead(s) OVER (PARTITION BY track_id, line_idx ORDER BY word_idx), round(rt)::BIGINT)) ELSE end_ms END AS end_ms,
+  CASE WHEN u THEN round(least(0.44, greatest(0.24, 0.72 * conf + 0.16)), 4) ELSE conf END::DOUBLE AS conf, CASE WHEN u THEN 'tempo_energy_rescue' ELSE origin END AS origin, CASE WHEN u THEN start_ms END AS rescue_previous_start_ms FROM st""")
+def h16(spark, d):
+    """Words out of tempo set anew between their neighbours, or by tempo at a free end."""
+    return onset.rebuild(unstable_words(spark, d))
+
+
+@query("H16_energy_snap")
+def h16_snap(spark, d):
+    """The same, moved to where the sound rises."""
+    return onset.rebuild(unstable_words(spark, d), onset.Audio(sung_samples(spark, d), 1000, 400))
+
+
+def first_pass(spark, d, name="balanced"):
+    """Lines with their profile, their sound, and what the first pass gave."""
+    known, sound = heard(spark, d)
+    known, p = steps.profiled(known, profile(name)), steps.of_profile
+    now = steps.align_lines(steps.request(known, "first", p("pre"), p("post"), p("last_window"), p("lookahead")), sound)
+    return known, sound, steps.settled(now)
+
+
+@query("H6_lookahead_used")
+def h6_used(spark, d):
+    """How many words of the next line each line was heard with, and why it has its times."""
+    _, _, now = first_pass(spark, d)
+    return now.select(*LINE, "used", "method", "lookahead_ms", F.round("lookahead_conf", 4).alias("lookahead_conf"))
+
+
+@query("H13_boundary_pass")
+def h13_pass(spark, d):
+    """Last words before and after they were aligned again in a short window."""
+    known, sound, now = first_pass(spark, d)
+    after = steps.boundary_rescued(known, now, sound)
+    last = lambda name: F.element_at("words", -1)["start_ms"].alias(name)
+    return now.select(*LINE, last("before_ms")).join(after.select(*LINE, last("after_ms"), F.col("variant").endswith("+boundary").alias("rescued")), LINE)
+
+
+@query("C11_rescue_reasons")
+def c11_reasons(spark, d):
+    """Why lines of the first pass should be looked at again, and whether they are (C12)."""
+    _, _, now = first_pass(spark, d)
+    tempos = rescue.tempo_prior(rescue.line_tempo(steps.word_rows(now, []))).select(*LINE, "prior")
+    why = steps.reasons(now, tempos)
+    severe = F.arrays_overlap("reasons", F.array(*map(F.lit, steps.SEVERE)))
+    return why.select(*LINE, F.array_join("reasons", ",").alias("reasons"), align.rescue_gate(F.col("reasons"), severe, True).alias("rescued"))
+
+
+@query("C13_weak_pass")
+def c13_pass(spark, d):
+    """Lines of the first pass that another source may mend, and lines the other source mends (D4, G7)."""
+    known, sound, now = first_pass(spark, d)
+    weak = steps.settled(steps.weak_lines(now))
+    p = steps.of_profile
+    asked = steps.request(known.join(weak.where("weak").select(*LINE), LINE, "left_semi"), "first", p("pre"), p("post"), p("last_window"), p("lookahead"))
+    again = steps.align_lines(asked, steps.Sound(sung_frames(spark, d, 0.25), 40, 10))
+    return weak.join(steps.hybrid(now, again).select(*LINE, F.col("replaced").alias("mended")), LINE)
+
+
+@query("D6_matrix_run")
+def d6_run(spark, d):
+    """Every track under two configurations of a manifest of its own, scored against the lines as they were sung."""
+    texts = sung_texts(spark, d).withColumn("case", F.col("track_id").cast("string"))
+    each = F.array(F.struct(F.col("case").alias("name"), F.lit("").alias("audio"), F.lit("").alias("lyrics"), F.lit("").alias("reference"), F.lit("eng").alias("language")))
+    one = texts.select("case").distinct().select(each.alias("cases"))
+    own = F.array(*(F.struct(F.lit(a).alias("name"), F.lit(b).alias("use_demucs"), F.lit(c).alias("quality_mode")) for a, b, c in (("own-fast", "off", "fast"), ("own-vocals", "on", "fast"))))
+    cases = manifest_cases(one.withColumn("matrix", own))
+    w = sung_words(spark, d).withColumn("case", F.col("track_id").cast("string")).withColumn("word", F.substring("word", 1, 4))
+    reference = w.groupBy("case", "line_idx").agg(F.min("start_ms").alias("start_ms"), F.sort_array(F.collect_list(F.struct("word_idx", "word", "start_ms", "end_ms"))).alias("words"))
+    reference = reference.withColumn("text", F.array_join(F.transform("words", lambda x: x["word"]), " "))
+    named = lambda lift: steps.Sound(sung_frames(spark, d, lift).withColumn("track_id", F.col("track_id").cast("string")), 40, 10)
+    out = steps.run_matrix(cases, profiles(spark), texts.drop("track_id"), reference, named(0.0), named(0.25))
+    return compare.matrix_report(out)
+
+
 @query("H9_line_alignment")
 def h9(spark, d):
     """One pass over all lines in the windows of the balanced profile."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cantabile.functions import text as tx
 from cantabile.functions import timing
-from cantabile.operators import cache, compare, editor, parse, search, serialize
+from cantabile.operators import cache, compare, editor, mend, parse, search, serialize
 from cantabile.plans.ordered_queries import lines
 from cantabile.plans.sql import LT, SL, SW, stamp, with_
 from cantabile.sources.files import manifest_cases
@@ -44,6 +44,72 @@ def a1(spark, d):
     return parse.timed_lines(lyric_texts(spark, d)).select("track_id", "line_idx", "start_ms", "text")
 
 
+#: ow: sung words in order, none over the next.
+OW = SW + """,
+ow AS (SELECT track_id, seq, line_idx, word_idx, seq * 400 + (k * 37) % 300 AS start_ms, seq * 400 + (k * 37) % 300 + 60 + (k * 13) % 40 AS end_ms, word FROM sw)"""
+
+OUTPUTS = OW + f""",
+ol AS (SELECT track_id, line_idx, min(start_ms) AS s, max(end_ms) AS e, string_agg(word, ' ' ORDER BY word_idx) AS text, count(*) AS n,
+  string_agg('<' || {stamp('start_ms')} || '>' || word || ' <' || {stamp('end_ms')} || '>', ' ' ORDER BY word_idx) AS exact,
+  string_agg('<' || {stamp('start_ms', 2)} || '>' || word, ' ' ORDER BY word_idx) AS compat FROM ow GROUP BY track_id, line_idx)"""
+
+
+def ordered_lines(spark, d):
+    """Lines of sung words whose times are in order, their words without end, trust or origin save the end."""
+    begin = F.col("seq") * 400 + (F.col("k") * 37) % 300
+    row = F.struct("word_idx", "word", begin.alias("start_ms"), (begin + 60 + (F.col("k") * 13) % 40).alias("end_ms"), F.lit(0.9).alias("conf"), F.lit("aligned").alias("origin"))
+    g = sung_words(spark, d).groupBy("track_id", "line_idx").agg(F.sort_array(F.collect_list(row)).alias("words"))
+    return g.withColumn("start_ms", F.array_min(F.transform("words", lambda w: w["start_ms"])))
+
+
+@query("B5_outputs", OUTPUTS, f"""SELECT track_id, sha256(h || string_agg('[' || {stamp('s')} || ']' || text, chr(10) ORDER BY line_idx)) AS lrc, sha256(h || string_agg('[' || {stamp('s')} || ']' || exact, chr(10) ORDER BY line_idx)) AS elrc,
+  sha256(h || string_agg('[' || {stamp('s', 2)} || ']' || compat, chr(10) ORDER BY line_idx)) AS elrc_compatible, 0 AS issues
+  FROM (SELECT *, CASE WHEN track_id % 2 = 1 THEN '[ar:A ' || track_id || ']' || chr(10) || '[zz:y]' || chr(10) || chr(10) ELSE '' END AS h FROM ol) GROUP BY track_id, h""")
+def b5_outputs(spark, d):
+    """The three texts of each track, mended, with a header where there is metadata, and how many issues there were."""
+    rows = ordered_lines(spark, d)
+    full = F.create_map(F.lit("zz"), F.lit("y"), F.lit("ar"), F.concat(F.lit("A "), F.col("track_id").cast("string")))
+    meta = rows.select("track_id").distinct().withColumn("meta", F.when(F.col("track_id") % 2 == 1, full))
+    return mend.outputs(rows, meta).select("track_id", *(F.sha2(c, 256).alias(c) for c in ("lrc", "elrc", "elrc_compatible")), F.size("issues").alias("issues"))
+
+
+@query("B6_result", OUTPUTS, f"""SELECT track_id, count(*)::VARCHAR AS line_count, sum(n)::VARCHAR AS word_count, count(*) FILTER (nxt - e >= 250) AS breaks,
+  sha256('[ar:Artist ' || track_id || ']' || chr(10) || '[ti:Title]' || chr(10) || '[by:cantabile]' || chr(10) || chr(10) || string_agg('[' || {stamp('s')} || ']' || text, chr(10) ORDER BY line_idx)) AS lrc
+  FROM (SELECT *, lead(s) OVER (PARTITION BY track_id ORDER BY line_idx) AS nxt FROM ol) GROUP BY track_id""")
+def b6_result(spark, d):
+    """The whole result of each track as JSON, of which counts, breaks and a hash of the text are shown."""
+    rows = ordered_lines(spark, d)
+    about = rows.select("track_id").distinct().select("track_id", F.concat(F.lit("Artist "), F.col("track_id").cast("string")).alias("artist"), F.lit("Title").alias("title"), F.lit("").alias("album"))
+    told = mend.payload(rows, about, min_gap_ms=250)
+    of = lambda path: F.get_json_object("payload", f"$.{path}")
+    breaks = F.size(F.from_json(of("breaks"), "array<struct<start_ms:bigint>>")).cast("long")
+    return told.select("track_id", of("line_count").alias("line_count"), of("word_count").alias("word_count"), breaks.alias("breaks"), F.sha2(of("lrc"), 256).alias("lrc"))
+
+
+@query("A3_score_files", LT, """SELECT track_id, count(*) AS reference_lines, count(*) AS candidate_lines, count(*) FILTER (contains(text, 'the')) AS line_text_mismatches, 0::BIGINT AS reference_words, 0::BIGINT AS matched_words,
+  120.0::DOUBLE AS line_onset_mae_ms, NULL::DOUBLE AS word_onset_mae_ms, NULL::DOUBLE AS word_onset_median_ms, NULL::DOUBLE AS word_onset_p95_ms, NULL::DOUBLE AS word_end_mae_ms, NULL::DOUBLE AS word_end_p95_ms,
+  0.0::DOUBLE AS within_50_ms, 0.0::DOUBLE AS within_100_ms, 0.0::DOUBLE AS within_200_ms, 0.0::DOUBLE AS word_coverage FROM ln GROUP BY track_id""")
+def a3_score_files(spark, d):
+    """Each text against a copy of it that comes 120 ms later and is spelled otherwise here and there."""
+    texts = lyric_texts(spark, d)
+    offset = F.col("track_id") % 3 * 250
+    stamp_of = lambda ms: F.concat(F.lit("[offset:"), ms.cast("string"), F.lit("]"))
+    other = F.replace(F.replace(F.col("raw"), F.lit("the"), F.lit("thee")), stamp_of(offset), stamp_of(offset + 120))
+    return compare.score_files(texts, texts.withColumn("raw", other))
+
+
+@query("F0_repair_lines")
+def f0(spark, d):
+    """Sung lines, some out of order, with some words' times, ends and texts missing, mended as whole tracks; what was mended beside them."""
+    gone = lambda c, m: F.when(F.col("k") % m != 1, F.col(c)).alias(c)
+    text = F.when(F.col("k") % 19 != 3, F.col("word")).otherwise("  ")
+    row = F.struct("word_idx", text.alias("word"), gone("start_ms", 7), gone("end_ms", 5), "conf", gone("origin", 3))
+    lines_ = sung_words(spark, d).groupBy("track_id", "line_idx").agg(F.sort_array(F.collect_list(row)).alias("words"), F.max_by("start_ms", F.col("k") * 10 + F.col("word_idx")).alias("start_ms"))
+    fixed = mend.repair_lines(lines_)
+    words = F.array_join(F.transform("words", lambda w: F.format_string("%s:%d-%d:%s", w["word"], w["start_ms"], w["end_ms"], w["origin"])), " ")
+    return fixed.select("track_id", "line_idx", "start_ms", "end_ms", words.alias("words"), F.size("issues").alias("issues"))
+
+
 @query("C1_metadata", LT, "SELECT track_id, key, value FROM lt, LATERAL (VALUES ('ar', 'Conversation ' || track_id), ('offset', (track_id % 3 * 250)::VARCHAR), ('verse', '1')) v(key, value)")
 def c1(spark, d):
     return parse.metadata(parse.raw_lines(lyric_texts(spark, d)))

@@ -77,3 +77,11 @@ def sung_frames(spark: SparkSession, sf_dir: str, lift: float = 0.0) -> DataFram
     token = lambda f: F.when((place(f) >= 0) & (place(f) % 2 == 0), F.coalesce(F.get("_ids", F.floor(place(f) / 2).cast("int")), F.lit(0))).otherwise(0)
     logp = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda f: F.transform(F.sequence(F.lit(0), F.lit(len(LETTERS))), lambda v: F.when(v == token(f), F.col("_hit")).otherwise(F.col("_miss"))))
     return said.select("track_id", "block", logp.alias("logp"))
+
+
+def sung_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand samples a second of sung words, a block of 400 to a word: (track_id, block, samples). Quiet until the word begins, then louder the more it is trusted."""
+    w = sung_words(spark, sf_dir)
+    begin = (F.col("k") * 37) % 400
+    wave = F.transform(F.sequence(F.lit(0), F.lit(399)), lambda i: (F.when(i >= begin, 0.1 + F.col("conf")).otherwise(0.01) * F.sin(i * 0.7)).cast("float"))
+    return w.select("track_id", F.col("seq").alias("block"), wave.alias("samples"))
