@@ -86,7 +86,7 @@ def b6_result(spark, d):
     return told.select("track_id", of("line_count").alias("line_count"), of("word_count").alias("word_count"), breaks.alias("breaks"), F.sha2(of("lrc"), 256).alias("lrc"))
 
 
-@query("A3_score_files", LT, """SELECT track_id, count(*) AS reference_lines, count(*) AS candidate_lines, count(*) FILTER (contains(text, 'the')) AS line_text_mismatches, 0::BIGINT AS reference_words, 0::BIGINT AS matched_words,
+@query("A3_score_texts", LT, """SELECT track_id, count(*) AS reference_lines, count(*) AS candidate_lines, count(*) FILTER (contains(text, 'the')) AS line_text_mismatches, 0::BIGINT AS reference_words, 0::BIGINT AS matched_words,
   120.0::DOUBLE AS line_onset_mae_ms, NULL::DOUBLE AS word_onset_mae_ms, NULL::DOUBLE AS word_onset_median_ms, NULL::DOUBLE AS word_onset_p95_ms, NULL::DOUBLE AS word_end_mae_ms, NULL::DOUBLE AS word_end_p95_ms,
   0.0::DOUBLE AS within_50_ms, 0.0::DOUBLE AS within_100_ms, 0.0::DOUBLE AS within_200_ms, 0.0::DOUBLE AS word_coverage FROM ln GROUP BY track_id""")
 def a3_score_files(spark, d):
