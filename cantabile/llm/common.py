@@ -78,7 +78,7 @@ def release(spark: SparkSession) -> None:
 class Shelf:
     """Tables written once into the shared folder, and deleted when nothing reads them any more.
 
-    A checkpoint runs its last stage twice and goes when the driver collects garbage; small tables here are also read in few tasks.
+    A checkpoint goes only when the driver collects garbage; these go at once, and small ones are read in few tasks.
     """
 
     def __init__(self, spark: SparkSession) -> None:
