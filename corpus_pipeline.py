@@ -63,10 +63,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     root = shared_path(spark, "pipeline")
     before = None
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
-        if before:
-            remove(spark, before)
-        before = f"{root}/{name}"
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+            docs = spark.read.parquet(f"{root}/{name}")
+            if before:
+                remove(spark, before)
+            before = f"{root}/{name}"
+    except BaseException:
+        remove(spark, root)  # nothing of a run that failed stays
+        raise
     return docs
