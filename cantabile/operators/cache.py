@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cantabile.operators.ordered import sum_before
+
 
 def lookup(cache: DataFrame, keys: DataFrame, version: int) -> DataFrame:
     """keys with the payload of the current version, null where there is none."""
@@ -58,18 +60,18 @@ def through(cache: DataFrame, asked: DataFrame, version: int, compute: Callable[
     return held.withColumn("hit", F.lit(True)).unionByName(made.withColumn("hit", F.lit(False))), upsert(touch(cache, held, now), rows)
 
 
-def evict(cache: DataFrame, limit: int, target: float = 0.85, buckets: int = 64) -> DataFrame:
+def evict(cache: DataFrame, limit: int, target: float = 0.85) -> DataFrame:
     """cache without its least recently used rows, once it is over the limit: so many go that `target` of the limit is kept.
 
-    The running total goes by buckets of access time, so no task sorts the whole cache: bucket totals first,
-    then a running sum inside each bucket.
+    All that go come before all that stay in order of (last_access, cache_key), so one cut tells them apart. It is found on keys and
+    sizes alone, by carried totals; payloads are neither shuffled nor sorted. Rows equal in both go together; a null access time is the oldest.
     """
-    bounds = cache.agg(F.min("last_access").alias("_lo"), F.max("last_access").alias("_hi"), F.coalesce(F.sum("byte_size"), F.lit(0)).alias("_total"))
-    placed = cache.join(F.broadcast(bounds)).withColumn("_b", F.least(F.lit(buckets - 1), F.floor((F.col("last_access") - F.col("_lo")) * buckets / F.greatest(F.col("_hi") - F.col("_lo") + 1, F.lit(1)))))
-    per = placed.groupBy("_b").agg(F.sum("byte_size").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    run = F.coalesce(F.sum("byte_size").over(Window.partitionBy("_b").orderBy("last_access", "cache_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    gone = (F.col("_total") > limit) & (F.col("_total") - F.col("_before") - F.col("_run") > target * limit)
-    return placed.join(F.broadcast(per), "_b").withColumn("_run", run).where(~gone).select(*cache.columns)
+    sizes = sum_before(cache.select("last_access", "cache_key", "byte_size"), ["last_access", "cache_key"], "byte_size", "_before")
+    place = F.struct("last_access", "cache_key")
+    total = cache.agg(F.coalesce(F.sum("byte_size"), F.lit(0)).alias("_total"))
+    gone = (F.col("_total") > limit) & (F.col("_total") - F.col("_before") > target * limit)
+    cut = sizes.join(F.broadcast(total)).where(gone).agg(F.max(place).alias("_cut"))
+    return cache.join(F.broadcast(cut)).where(F.col("_cut").isNull() | (place > F.col("_cut"))).select(*cache.columns)
 
 
 def fingerprint(lines: DataFrame) -> DataFrame:

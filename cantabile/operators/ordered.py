@@ -6,6 +6,7 @@ last value is one pass over sorted rows that keeps that value.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+#: Places of a track that meet in one task at once.
+STRETCH = 65_536
+
+
 def by_track() -> WindowSpec:
     return Window.partitionBy("track_id").orderBy("line_idx")
 
@@ -23,48 +28,164 @@ def by_line() -> WindowSpec:
 
 
 def strict_clamp(
-    df: DataFrame, keys: list[str], order: str, value: str, floor: Column | None = None, step: float | int = 1, kind: str = "bigint", keep: list[str] | None = None, missing: bool = False
-) -> DataFrame:
+    df: DataFrame, keys: list[str], order: str, value: str, floor: Column | None = None, step: int = 1, kind: str = "bigint", keep: list[str] | None = None, missing: bool = False,
+    stretch: int | None = None,
+) -> DataFrame:
     """Lifts a value below its predecessor to the predecessor plus `step`; others stay: (keys, order, value, moved, keep). Nothing is below `floor`, or 0.
 
     Not a running maximum: after a lift the next row is compared with the lifted value. Rows pass in order in batches; only where one falls
-    below the one before is anything done, row by row until a row's own value holds again, so a track in order costs a comparison
-    of arrays, and a long one needs time but no memory. A null counts as the floor; with missing=True it takes its predecessor plus `step` (the first
-    0), and isn't called moved.
+    below the one before is anything done, row by row until a row's own value holds again, so rows in order cost a comparison
+    of arrays. A null counts as the floor; with missing=True it takes its predecessor plus `step` (the first 0), and isn't called moved.
+
+    With `stretch` a group is cut wherever order passes a multiple of it, so a long one spreads over tasks: see `carries`. Leave it out
+    where groups are bounded.
     """
     least = F.lit(0) if floor is None else floor
     given = F.greatest(least, F.col(value)).cast(kind)
     given = F.when(F.col(value).isNotNull(), given) if missing else given
-    rows = df.select(*keys, F.col(order).cast("bigint").alias(order), given.alias(value), *(keep or []))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    nth = F.lit(0) if stretch is None else F.expr(f"`{order}` div {int(stretch)}")
+    rows = df.select(*keys, nth.cast("bigint").alias("_nth"), F.col(order).cast("bigint").alias(order), given.alias(value), *(keep or []))
+    group = [*keys, "_nth"]
+    if stretch is None:
+        dealt = rows.repartition(*keys).withColumn("_carry", F.lit(None).cast(kind))
+    else:
+        # a struct of the keys, as keys may be null; both readers share this one exchange
+        apart = rows.withColumn("_part", F.struct(*group)).repartition("_part")
+        dealt = apart.join(carries(apart, keys, order, value, kind, step), "_part", "left").drop("_part")
+    wanted = [f for f in dealt.schema.fields if f.name not in ("_nth", "_carry")]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_keys, before = len(keys), None
+        before = None
+        for batch in batches:
+            if batch.num_rows:
+                x, blank, same, before_value = _ordered_batch(batch, group, value, before)
+                carried = batch.column("_carry")
+                moved = _lift(x, blank, same, before_value, carried.is_valid().to_numpy(zero_copy_only=False), carried.fill_null(0).to_numpy(zero_copy_only=False), step)
+                before = (_key(batch, group, -1), x[-1])
+                out = {f.name: batch.column(f.name) for f in wanted} | {value: pa.array(x, batch.column(value).type), "moved": pa.array(moved, pa.bool_())}
+                yield pa.RecordBatch.from_pydict(out)
+
+    return dealt.sortWithinPartitions(*group, order, F.col(value).asc_nulls_last()).mapInArrow(run, f"{kinds}, moved boolean")
+
+
+def carries(apart: DataFrame, keys: list[str], order: str, value: str, kind: str, step: int) -> DataFrame:
+    """(_part, _carry): the clamped value that each stretch of a group but the first is entered with.
+
+    Whatever value s a stretch is entered with, it adds `step` a row until a row i (from 0) holds s + i * step or more, and from there on
+    goes the way it goes by itself. So a stretch is told by how many rows it has, the largest of its values less i * step, and its last
+    value by itself; one short row for each is passed along, in order, from stretch to stretch.
+    """
+    group = [*keys, "_nth"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in apart.select(*group).schema.fields)
+    least = np.iinfo(np.int64).min
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, held = None, None  # the stretch that is still open: key, rows, reach, last
+
+        def give(rows: list) -> pa.RecordBatch:
+            columns = zip(*((*key, n, reach, last) for key, n, reach, last in rows))
+            types = [*key_types, pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [*group, "n", "reach", "last"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = batch.column(n_keys + 1)
-            blank = column.is_null().to_numpy(zero_copy_only=False)
-            x = column.fill_null(0).to_numpy(zero_copy_only=False).copy()
-            codes = [batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for i in range(n_keys)]
-            here = tuple(batch.column(i)[0].as_py() for i in range(n_keys))
-            same = np.concatenate(([before is not None and before[0] == here], np.all([c[1:] == c[:-1] for c in codes], axis=0)))
-            shifted = np.concatenate(([before[1] if before is not None else 0], x[:-1])).astype(x.dtype)
-            moved, done = np.zeros(len(x), bool), 0
-            for at in np.flatnonzero(same & (blank | (x < shifted))).tolist():
-                if at < done:
-                    continue
-                last = x[at - 1] if at else x.dtype.type(before[1])
-                while at < len(x) and same[at] and (blank[at] or x[at] < last):
-                    last = last + step
-                    x[at], moved[at] = last, not blank[at]
-                    at += 1
-                done = at
-            before = (tuple(batch.column(i)[-1].as_py() for i in range(n_keys)), x[-1].item())
-            columns = [*batch.columns[: n_keys + 1], pa.array(x, column.type), *batch.columns[n_keys + 2 :], pa.array(moved, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "moved"])
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, order, F.col(value).asc_nulls_last()).mapInArrow(run, f"{kinds}, moved boolean")
+            key_types = [batch.column(g).type for g in group]
+            x, blank, same, before_value = _ordered_batch(batch, group, value, before)
+            own, none = x.copy(), np.zeros(len(x), bool)
+            _lift(x, blank, same, before_value, none, own, step)
+            starts = np.flatnonzero(~same)
+            starts = np.concatenate(([0], starts)) if same[0] else starts
+            lengths = np.diff(np.append(starts, len(x)))
+            offset = np.zeros(len(starts), np.int64)
+            offset[0] = held[1] if same[0] else 0
+            place = np.arange(len(x)) - np.repeat(starts - offset, lengths)
+            reach = np.maximum.reduceat(np.where(blank, least, own - step * place), starts)
+            done = []
+            for at, n, top in zip(starts.tolist(), lengths.tolist(), reach.tolist()):
+                if same[at]:
+                    held = (held[0], held[1] + n, max(held[2], top), int(x[at + n - 1]))
+                else:
+                    if held is not None:
+                        done.append(held)
+                    held = (_key(batch, group, at), n, top, int(x[at + n - 1]))
+            before = (held[0], x[-1])
+            if done:
+                yield give(done)
+        if held is not None:
+            yield give([held])
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, s = None, None
+        for batch in batches:
+            got = []
+            for i, (n, reach, last) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "reach", "last")))):
+                key = _key(batch, keys, i)
+                s = s if key == here else None
+                got.append(s)
+                here, s = key, last if s is None or s <= reach else s + step * n
+            yield pa.RecordBatch.from_arrays([*(batch.column(g) for g in group), pa.array(got, pa.int64())], [*group, "_carry"])
+
+    each = apart.sortWithinPartitions(*group, order, F.col(value).asc_nulls_last()).mapInArrow(told, f"{kinds}, n bigint, reach bigint, last bigint")
+    out = each.repartition(*keys).sortWithinPartitions(*group).mapInArrow(passed, f"{kinds}, _carry bigint")
+    return out.where("_carry is not null").select(F.struct(*group).alias("_part"), F.col("_carry").cast(kind).alias("_carry"))
+
+
+def _key(batch: pa.RecordBatch, names: list[str], at: int) -> tuple:
+    return tuple(batch.column(n)[at].as_py() for n in names)
+
+
+def _ordered_batch(batch: pa.RecordBatch, group: list[str], value: str, before: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Values (nulls as 0), which are null, which have the row before them in their group, and the value before the first."""
+    column = batch.column(value)
+    x = column.fill_null(0).to_numpy(zero_copy_only=False).copy()
+    codes = [batch.column(g).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for g in group]
+    inside = np.all([c[1:] == c[:-1] for c in codes], axis=0)
+    same = np.concatenate(([before is not None and before[0] == _key(batch, group, 0)], inside))
+    return x, column.is_null().to_numpy(zero_copy_only=False), same, 0 if before is None else before[1]
+
+
+def _lift(x: np.ndarray, blank: np.ndarray, same: np.ndarray, before: int, entered: np.ndarray, carry: np.ndarray, step: int) -> np.ndarray:
+    """Clamps x in place and tells which rows it moved; a group's first row follows its carry where it was entered with one."""
+    last_of = np.where(same, np.concatenate(([before], x[:-1])), carry).astype(x.dtype)
+    moved, done = np.zeros(len(x), bool), 0
+    for at in np.flatnonzero((same | entered) & (blank | (x < last_of))).tolist():
+        if at < done:
+            continue
+        last = (x[at - 1] if at else before) if same[at] else carry[at]
+        first = at
+        while at < len(x) and (at == first or same[at]) and (blank[at] or x[at] < last):
+            last = last + step
+            x[at], moved[at] = last, not blank[at]
+            at += 1
+        done = at
+    return moved
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df cut from its lineage in the folder of the session's checkpoints; a local session without one gets one."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def sum_before(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """df with the sum of `value` over all rows before each in `order`; a total order of the whole table that no task sorts whole.
+
+    Rows are parted by ranges of order and checkpointed, so give only the columns it needs. Each part's total is carried
+    on to the parts after it: one row a part.
+    """
+    parted = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = parted.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    carried = totals.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carried"))
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    # one row a part, so the bound of what is broadcast is their number
+    return parted.withColumn(out, F.coalesce(inside, F.lit(0))).join(F.broadcast(carried), "_part").withColumn(out, F.col(out) + F.col("_carried")).drop("_part", "_carried")
 
 
 def maxplus_clamp(value: Column, order: WindowSpec, step: Column | int = 1) -> Column:
