@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cantabile.functions import text as tx
 from cantabile.functions import timing
-from cantabile.operators import cache, compare, editor, mend, parse, search, serialize
+from cantabile.operators import cache, compare, edit_log, editor, mend, parse, search, serialize
 from cantabile.plans.ordered_queries import lines
 from cantabile.plans.sql import LT, SL, SW, stamp, with_
 from cantabile.sources.files import manifest_cases
@@ -574,6 +574,34 @@ def p9(spark, d):
     return editor.versions(sung_words(spark, d).select("track_id", F.col("seq").alias("version")), 20)
 
 
+def commands(spark, d):
+    """Every event as an editor's command on its track."""
+    names = F.element_at(F.array(*(F.lit(c) for c in ("undo", "undo", "redo", "nudge", "text", "shift", "begin", "split", "add", "drop_word", "shift"))), (F.col("k") % 11 + 1).cast("int"))
+    at = F.when(names == "shift", F.col("k") - 30).when(names == "nudge", 100 - 3 * F.col("k")).otherwise(F.col("start_ms"))
+    return sung_words(spark, d).select("track_id", "seq", names.alias("command"), F.expr("line_idx div 2").alias("line"), F.col("word_idx").alias("word"), at.alias("at"), F.upper("word").alias("text"))
+
+
+@query("P9_history", SW, """SELECT track_id, u.s AS seq, u.state, u.place FROM (SELECT track_id, unnest(list_concat(list_concat(
+    list_transform(kept, lambda x, i: {'s': x, 'state': 'kept', 'place': i - 1}), list_transform(done, lambda x, i: {'s': x, 'state': 'undoable', 'place': len(kept) + i - 1})),
+    list_transform(list_reverse(undone), lambda x, i: {'s': x, 'state': 'redoable', 'place': len(kept) + len(done) + i - 1}))) AS u
+  FROM (SELECT track_id, arg_max(kept, seq) AS kept, arg_max(done, seq) AS done, arg_max(undone, seq) AS undone FROM (
+    WITH RECURSIVE st AS (SELECT track_id, -1::BIGINT AS seq, []::BIGINT[] AS kept, []::BIGINT[] AS done, []::BIGINT[] AS undone FROM sw WHERE seq = 0 UNION ALL
+      SELECT track_id, seq, CASE WHEN len(d) > 5 THEN list_append(kept, d[1]) ELSE kept END, CASE WHEN len(d) > 5 THEN d[2:] ELSE d END, n FROM (
+        SELECT sw.track_id, sw.seq, st.kept,
+          CASE WHEN k % 11 <= 1 THEN done[:len(done) - 1] WHEN k % 11 = 2 THEN CASE WHEN len(undone) > 0 THEN list_append(done, undone[len(undone)]) ELSE done END ELSE list_append(done, sw.seq) END AS d,
+          CASE WHEN k % 11 <= 1 THEN CASE WHEN len(done) > 0 THEN list_append(undone, done[len(done)]) ELSE undone END WHEN k % 11 = 2 THEN undone[:len(undone) - 1] ELSE [] END AS n
+        FROM st JOIN sw ON sw.track_id = st.track_id AND sw.seq = st.seq + 1)) SELECT * FROM st) GROUP BY track_id))""")
+def p9_history(spark, d):
+    """Which commands hold after all undo and redo, five deep."""
+    return edit_log.standing(commands(spark, d), 5).select("track_id", "seq", "state", "place")
+
+
+@query("P9_replay")
+def p9_replay(spark, d):
+    """The words as the standing commands leave them."""
+    return edit_log.replay(sung_words(spark, d), edit_log.standing(commands(spark, d)))
+
+
 @query("P10_move_line", SL, "SELECT track_id, line_idx, start_ms + 40 AS start_ms, greatest(0, anchor_ms + 40) AS display_ms FROM sl")
 def p10(spark, d):
     return editor.move_line(lines(spark, d).withColumn("display_ms", F.col("anchor_ms")), F.col("start_ms") + 40).select("track_id", "line_idx", "start_ms", "display_ms")
