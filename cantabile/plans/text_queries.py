@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from cantabile.operators import cache, compare, edit_log, editor, mend, parse, s
 from cantabile.plans.ordered_queries import lines
 from cantabile.plans.sql import LT, SL, SW, stamp, with_
 from cantabile.sources.files import manifest_cases
+from cantabile.sources.tags import with_tags
 from cantabile.sources.views import lyric_texts, sung_words
 
 QUERIES, ORACLES = {}, {}
@@ -368,6 +371,36 @@ def a3(spark, d):
     return compare.error_metrics(both, ["track_id"], "error").select("track_id", "matched", "mae")
 
 
+def tagged(spark, d):
+    """Every turn as the bytes of a sound file: its text is the title, in a tag of version 2 to 4; every fifth plain one has a trailing tag alone."""
+    four = lambda n: F.unhex(F.lpad(F.hex(n), 8, "0"))
+    seven = lambda n: four(reduce(lambda a, i: a.bitwiseOR(F.shiftleft(F.shiftright(n, 7 * i).bitwiseAND(127), 8 * i)), (1, 2, 3), n.bitwiseAND(127)))
+    t, version = F.col("t"), 2 + (F.col("conv_id") % 3).cast("int")
+    marked = lambda first, text, coding: F.concat(F.lit(first), F.encode(text, coding))
+    title = F.when(F.col("turn") % 4 == 1, marked(b"\1\xff\xfe", t, "UTF-16LE")).when(F.col("turn") % 4 == 2, marked(b"\2", t, "UTF-16BE"))
+    title = title.when((F.col("turn") % 4 == 3) & F.col("plain"), marked(b"\0", t, "UTF-8")).otherwise(marked(b"\3", t, "UTF-8"))
+    artist = marked(b"\3", F.format_string("Conversation %d", "conv_id"), "UTF-8")
+
+    def frame(names, content, n):
+        sized = F.when(version == 3, four(n)).otherwise(seven(n))
+        return F.when(version == 2, F.concat(F.lit(names[0]), F.substring(four(n), 2, 3), content)).otherwise(F.concat(F.lit(names[1]), sized, F.lit(b"\0\0"), content))
+
+    rows = said(spark, d).withColumn("plain", F.length("t") == F.octet_length("t")).withColumns({"title": title, "artist": artist})
+    # a step for each size, as an expression that holds the whole text many times over is too long to be compiled
+    rows = rows.withColumns({"title_size": F.octet_length("title"), "artist_size": F.octet_length("artist")})
+    rows = rows.withColumns({"title": frame((b"TT2", b"TIT2"), F.col("title"), F.col("title_size")), "artist": frame((b"TP1", b"TPE1"), F.col("artist"), F.col("artist_size"))})
+    rows = rows.withColumn("body", F.concat(frame((b"COM", b"COMM"), F.lit(b"\0note"), F.lit(5)), "title", "artist")).withColumn("size", F.octet_length("body"))
+    leading = F.concat(F.lit(b"ID3"), F.substring(four(version), 4, 1), F.lit(b"\0\0"), seven(F.col("size")), "body", F.lit(b"\xff\xfb" * 100))
+    trailing = F.concat(F.lit(b"\xff\xfb" * 100 + b"TAG"), F.rpad(F.substring(F.encode(t, "UTF-8"), 1, 30), 125, F.lit(b"\0")))
+    return rows.select("conv_id", "turn", F.when(F.col("plain") & (F.col("turn") % 5 == 0), trailing).otherwise(leading).alias("content"))
+
+
+@query("A6_tags", SAID, r"""SELECT conv_id, turn, regexp_replace(CASE WHEN old THEN left(t, 30) ELSE t END, '^\s+|\s+$', '', 'g') AS title, CASE WHEN old THEN '' ELSE 'Conversation ' || conv_id END AS artist, '' AS album
+  FROM (SELECT *, strlen(t) = length(t) AND turn % 5 = 0 AS old FROM h)""")
+def a6(spark, d):
+    return with_tags(tagged(spark, d))
+
+
 FOUND = SL + """,
 pr AS (SELECT track_id, provider, CASE WHEN (track_id + n) % 4 = 0 THEN 3 WHEN (track_id + n) % 4 = 1 THEN 2 ELSE 1 END AS richness, provider || ' text' AS raw, n AS position
   FROM (SELECT DISTINCT track_id FROM sl), (VALUES ('Other', 0), ('BetterLyrics', 1), ('Musixmatch', 2), ('NetEase', 3), ('LRCLIB', 4)) p(provider, n))"""
