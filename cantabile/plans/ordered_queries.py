@@ -87,6 +87,26 @@ def e2(spark, d):
     return quality.track_lines(sung_words(spark, d)).select(*LINE_COLUMNS)
 
 
+@query("E2_line_report", STATS, """SELECT track_id, line_idx, line_idx + 1 AS line, text, round(c, 4) AS confidence, n AS words, coalesce(al, 0) AS aligned_words, coalesce(ip, 0) AS interpolated_words,
+    coalesce(m, 0) AS mean_conf, coalesce(l, 0) AS last_conf, CASE WHEN tempo_rescued > 0 THEN 'tempo' ELSE 'unknown' END AS method, ("start" - anchor)::DOUBLE AS anchor_delta_ms, lead_ms::DOUBLE AS lead_ms,
+    context_gap_ms::DOUBLE AS context_gap_ms, boundary_warning AS boundary_rescue, repaired > 0 AS adaptive_rescue, list_filter([CASE WHEN repaired > 0 THEN 'repaired' END, CASE WHEN invalid > 0 THEN 'invalid' END], lambda x: x IS NOT NULL) AS reasons,
+    tempo_rescued::BIGINT AS tempo_words, CASE WHEN lead_ms > 0 THEN words ELSE 0 END AS lookahead_used, coalesce(CASE WHEN line_idx % 3 > 0 THEN anchor END, "start") AS display_ms, 0.0::DOUBLE AS shift_ms, NULL::DOUBLE AS disagreement_ms, boundary_warning
+  FROM (SELECT bd.*, t.text, b.c, coalesce(w.n, 0) AS n, w.al, w.ip, w.m, w.l FROM bd JOIN (SELECT track_id, line_idx, string_agg(word, ' ' ORDER BY word_idx) AS text FROM sw GROUP BY ALL) t USING (track_id, line_idx)
+    JOIN (SELECT track_id, line_idx, CASE WHEN line_idx % 4 = 1 THEN 0 ELSE min_conf END AS c FROM st) b USING (track_id, line_idx)
+    LEFT JOIN (SELECT track_id, line_idx, count(*) AS n, sum((NOT (i OR t OR r))::INT) AS al, sum(i::INT) AS ip, round(avg(conf), 4) AS m, round(arg_max(conf, word_idx), 4) AS l FROM fl WHERE line_idx % 5 <> 2 GROUP BY ALL) w USING (track_id, line_idx))""")
+def e2_report(spark, d):
+    """All fields of a line; every fifth line has lost its words, every fourth says nothing of its confidence."""
+    words = sung_words(spark, d)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ")
+    told = quality.track_lines(words).join(words.groupBy("track_id", "line_idx").agg(text.alias("text")), ["track_id", "line_idx"]).select(
+        "track_id", "line_idx", "text", F.when(F.col("line_idx") % 4 != 1, F.col("min_conf")).alias("conf"), F.when(F.col("tempo_rescued") > 0, "tempo").alias("method"), "anchor_delta_ms", "lead_ms", "context_gap_ms",
+        F.col("boundary_warning").alias("boundary_rescue"), (F.col("repaired") > 0).alias("adaptive_rescue"),
+        F.filter(F.array(F.when(F.col("repaired") > 0, "repaired"), F.when(F.col("invalid") > 0, "invalid")), lambda x: x.isNotNull()).alias("reasons"),
+        F.col("tempo_rescued").alias("tempo_words"), F.when(F.col("lead_ms") > 0, F.col("words")).alias("lookahead_used"), F.col("start").alias("start_ms"), F.when(F.col("line_idx") % 3 > 0, F.col("anchor")).alias("display_ms"),
+    )
+    return quality.diagnostics(told, words.where("line_idx % 5 <> 2"))
+
+
 REPORT = STATS + """,
 lt AS (SELECT *, ("start" < coalesce(max("start") OVER (PARTITION BY track_id ORDER BY line_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1))::INT AS late FROM bd),
 tt AS (SELECT track_id, count(*) AS lines, sum(words) AS words, sum(late) + sum(non_monotonic) AS non_monotonic, sum(invalid) AS invalid, sum(aligned) AS aligned, sum(interpolated) AS interpolated,
