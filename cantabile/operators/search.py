@@ -46,7 +46,17 @@ def match_score(title: Column, artist: Column, album: Column, synced: Column) ->
 
 
 def best_match(hits: DataFrame, keys: list[str], least: float = 0.52, k: int = 1) -> DataFrame:
-    """The k hits of each query with the highest score, if that is at least `least`; of equal scores the first. Needs asked_title, title, position."""
-    scored = hits.withColumn("score", match_score(similarity(F.col("asked_title"), F.col("title")), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(False)))
+    """The k hits of each query with the highest score, if that is at least `least`; of equal scores the first.
+
+    Needs asked_title, title, position. asked_artist with artist, asked_album with album and synced count where hits has them; an empty or
+    null asked one wasn't asked for, and a hit that lacks what was asked for is unlike it.
+    """
+    def part(asked: str, found: str) -> Column:
+        if asked not in hits.columns:
+            return F.lit(None).cast("double")
+        return F.when(F.coalesce(asked, F.lit("")) != "", similarity(F.coalesce(asked, F.lit("")), F.coalesce(found, F.lit(""))))
+
+    synced = F.coalesce("synced", F.lit(False)) if "synced" in hits.columns else F.lit(False)
+    scored = hits.withColumn("score", match_score(similarity(F.col("asked_title"), F.col("title")), part("asked_artist", "artist"), part("asked_album", "album"), synced))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "position"))
     return scored.where(F.col("score") >= least).withColumn("place", place).where(F.col("place") <= k)

@@ -436,6 +436,20 @@ def g2(spark, d):
     return search.best_match(hits, ["conv_id"], 0.3, 2).select("conv_id", "position", F.round("score", 9).alias("score"), "place")
 
 
+@query("G2_full_match")
+def g2_full(spark, d):
+    """Of the first turn of each conversation, said by its speaker about its source, the later turn that is most like it in all of these; long ones count as timed."""
+    first = said_by(spark, d).groupBy("conv_id").agg(*(F.min_by(c, "turn").alias(f"asked_{c}") for c in ("title", "artist", "album")), F.min("turn").alias("_first"))
+    hits = said_by(spark, d).withColumnRenamed("turn", "position").join(first, "conv_id").where("position > _first").withColumn("synced", F.length("title") > 200)
+    return search.best_match(hits, ["conv_id"]).select("conv_id", "position", F.round("score", 9).alias("score"))
+
+
+def said_by(spark, d):
+    """Turns as songs: the text, its speaker, and, for every other one, its first word as the album."""
+    album = F.when(F.col("turn") % 2 == 0, F.regexp_extract(F.coalesce("text", F.lit("")), r"\w+", 0))
+    return turns(spark, d).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("title"), F.col("role").alias("artist"), album.alias("album"))
+
+
 @query("K5_progress", SW, "SELECT track_id, seq, CASE WHEN k < 10 THEN 'waiting' WHEN k < 30 THEN 'step1' WHEN k < 70 THEN 'step2' WHEN k < 95 THEN 'step3' ELSE 'done' END AS step FROM sw")
 def k5(spark, d):
     return sung_words(spark, d).select("track_id", "seq", timing.progress_step(F.col("k")).alias("step"))

@@ -50,6 +50,6 @@ def test_query_without_sql_runs(spark, name):
 
 def test_every_query_has_sql_or_a_reason():
     assert set(QUERIES) - set(ORACLES) == {
-        "C11_rescue_reasons", "C13_weak_pass", "D6_matrix_run", "F0_repair_lines", "G2_topk_similarity", "H3_ctc", "H5_word_spans", "H6_lookahead_used", "H9_line_alignment",
+        "C11_rescue_reasons", "C13_weak_pass", "D6_matrix_run", "F0_repair_lines", "G2_full_match", "G2_topk_similarity", "H3_ctc", "H5_word_spans", "H6_lookahead_used", "H9_line_alignment",
         "H13_boundary_pass", "H14_rescue_variants", "H16_energy_snap", "H18_pass_driver", "H19_sources", "J13_similarity", "J18_romanize", "P9_replay",
     }

@@ -172,6 +172,35 @@ def test_most_similar_turns_against_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_artist_album_and_times_count_in_a_match(spark):
+    """Against the standard library's ratio, over whole texts of every conversation."""
+    flat = lambda s: re.sub(r"[^\w]+", " ", re.sub(r"\s+", " ", s or "").strip().lower()).strip()
+    like = lambda a, b: SequenceMatcher(None, flat(a), flat(b)).ratio() if flat(a) and flat(b) else 0.0
+    talks = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect():
+        album = (re.search(r"[A-Za-z0-9_]+", r.text or "") or [""])[0] if r.turn % 2 == 0 else None
+        talks.setdefault(r.conv_id, []).append((r.turn, r.text or "", r.role, album))
+    want = []
+    for conv, songs in talks.items():
+        (_, *asked), *later = sorted(songs)
+        scores = []
+        for turn, *song in later:
+            title, artist, album = (like(a, b) if a or i == 0 else 0.75 for i, (a, b) in enumerate(zip(asked, song)))
+            scores.append((-round(0.58 * title + 0.30 * artist + 0.12 * album + (0.10 if len(song[0]) > 200 else 0.0), 9), turn))
+        want += [(conv, turn, -score) for score, turn in sorted(scores)[:1] if -score >= 0.52]
+    got = [(r.conv_id, r.position, r.score) for r in QUERIES["G2_full_match"](spark, "/root/testdata/sf0.001").collect()]
+    assert got and [(c, t, pytest.approx(s)) for c, t, s in sorted(want)] == sorted(got)
+
+
+def test_a_match_lacks_what_was_not_asked_for(spark):
+    from cantabile.operators import search
+
+    rows = [(1, "one", "one", None, "x", "", "y", None, 0), (1, "one", "one", "a", None, "b", "b", True, 1), (2, "one", "one", "a", "a", "b", "b", True, 0), (2, "one", "one", "a", "a", "b", "b", True, 1)]
+    hits = spark.createDataFrame(rows, "q long, asked_title string, title string, asked_artist string, artist string, asked_album string, album string, synced boolean, position long")
+    got = [(r.q, r.position, round(r.score, 6)) for r in search.best_match(hits, ["q"], k=2).orderBy("q", "place").collect()]
+    assert got == [(1, 0, round(0.58 + 0.42 * 0.75, 6)), (1, 1, round(0.58 + 0.12 + 0.10, 6)), (2, 0, 1.1), (2, 1, 1.1)]
+
+
 def test_strict_clamp_keeps_its_state_over_batches(spark):
     values = [(k, i, (i * 7919 + k * 31) % 997 - 40) for k in range(3) for i in range(3000)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
