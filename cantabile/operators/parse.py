@@ -51,15 +51,15 @@ def inline_words(body: Column, line_start: Column | None = None) -> Column:
     pairs = F.zip_with(starts, parts, lambda t, w: F.struct(t.alias("t"), w.alias("w")))
     terminal = terminal_stamp(body)
 
-    def one(p: Column, i: Column) -> Column:
-        later = F.slice(pairs, i + 2, F.size(pairs))
-        closing = F.filter(F.slice(later, F.lit(1), F.lit(1)), lambda q: (q["w"] == "") & (q["t"] > p["t"]))
-        following = F.filter(later, lambda q: q["w"] != "")
-        last = F.when(terminal > p["t"], terminal)
-        end = F.coalesce(F.try_element_at(closing, F.lit(1))["t"], F.try_element_at(following, F.lit(1))["t"], last)
+    rest = lambda x: F.slice(x, F.lit(2), F.size(x))
+    closed = lambda p, q: F.struct(p["t"].alias("t"), p["w"].alias("w"), F.when((q["w"] == "") & (q["t"] > p["t"]), q["t"]).alias("closing"))
+    kept = F.filter(F.zip_with(pairs, rest(pairs), closed), lambda p: p["w"] != "")
+
+    def one(p: Column, following: Column) -> Column:
+        end = F.coalesce(p["closing"], following["t"], F.when(terminal > p["t"], terminal))
         return F.struct(p["w"].alias("word"), p["t"].alias("start_ms"), end.alias("end_ms"), F.lit(1.0).alias("conf"), F.lit("imported_elrc").alias("origin"))
 
-    words = F.filter(F.transform(pairs, one), lambda w: (w["word"] != "") & w["start_ms"].isNotNull())
+    words = F.filter(F.zip_with(kept, rest(kept), one), lambda w: w["start_ms"].isNotNull())
     return F.when(F.size(stamps) > 0, words).otherwise(F.slice(words, 1, 0))
 
 

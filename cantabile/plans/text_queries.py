@@ -283,10 +283,9 @@ def j16(spark, d):
     return sung_words(spark, d).select("track_id", "seq", tx.deobfuscate_word(shown).alias("w"))
 
 
-@query("J17_clean_romanized", None, "SELECT conv_id, turn, regexp_replace(strip_accents(lower(regexp_replace(coalesce(text, ''), '[^a-zA-ZÀ-ÖØ-öø-ÿ '']', '', 'g'))), '[^a-z'']', '', 'g') AS s FROM conversations")
+@query("J17_clean_romanized", None, "SELECT conv_id, turn, regexp_replace(strip_accents(replace(lower(replace(replace(text, '’', ''''), '`', '''')), 'ß', 'ss')), '[^a-z'']', '', 'g') AS s FROM conversations")
 def j17(spark, d):
-    kept = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-ZÀ-ÖØ-öø-ÿ ']", "")
-    return turns(spark, d).select("conv_id", "turn", tx.clean_romanized(F.regexp_replace(kept, "ß", "")).alias("s"))
+    return turns(spark, d).select("conv_id", "turn", tx.clean_romanized(F.col("text")).alias("s"))
 
 
 @query("J19_tokens", None, r"""SELECT conv_id, turn, i - 1 AS word_idx, w AS word, (sum(length(w)) OVER (PARTITION BY conv_id, turn ORDER BY i) - length(w))::BIGINT AS token_start FROM
