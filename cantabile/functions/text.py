@@ -191,7 +191,8 @@ def larger_cover(url: Column) -> Column:
 
 
 def data_uri(image: Column, kind: str = "image/jpeg") -> Column:
-    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(image))
+    # Spark breaks long base64 into lines, which a URI may not hold
+    return F.concat(F.lit(f"data:{kind};base64,"), F.replace(F.base64(image), F.lit("\r\n"), F.lit("")))
 
 
 def allowed_upload(name: Column, text: Column, limit: int = 2 * 1024 * 1024) -> Column:

@@ -1,5 +1,8 @@
 """What the third review found: each test failed before its fix."""
 
+from pyspark.sql import functions as F
+
+from cantabile.functions.text import data_uri
 from cantabile.plans.catalogue import QUERIES
 
 
@@ -8,3 +11,8 @@ def test_last_words_of_lines_that_were_not_asked_again(spark):
     assert len(got) == 1734
     assert {r.rescued for r in got} == {False, True}
     assert all(r.before_ms == r.after_ms for r in got if not r.rescued)
+
+
+def test_a_long_data_uri_has_no_line_breaks(spark):
+    uri = spark.range(1).select(data_uri(F.lit("x" * 200).cast("binary"))).first()[0]
+    assert "\r" not in uri and "\n" not in uri and len(uri) == 23 + 268
