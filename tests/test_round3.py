@@ -26,3 +26,10 @@ def test_tempo_does_not_depend_on_the_order_of_rows(spark):
     words = "track_id long, line_idx long, word_idx long, start_ms long, end_ms long, conf double, origin string, units double"
     told = {rescue.line_tempo(spark.createDataFrame(rows[i:] + rows[:i], words).coalesce(1)).first().tempo for i in range(6)}
     assert told == {round(2.2 / 15.36, 9)}
+
+
+def test_samples_are_never_broadcast(spark):
+    """A sample block is far larger than Spark guesses from the events it comes from."""
+    plan = QUERIES["H16_energy_snap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "block" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
