@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from cantabile.functions.text import data_uri
-from cantabile.operators import rescue
+from cantabile.operators import passes, rescue
 from cantabile.plans.catalogue import QUERIES
+from cantabile.sources.views import sung_frames, sung_texts
 
 
 def test_last_words_of_lines_that_were_not_asked_again(spark):
@@ -33,3 +34,17 @@ def test_samples_are_never_broadcast(spark):
     plan = QUERIES["H16_energy_snap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "block" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_words_of_a_line_stay_in_its_row(spark):
+    """Nothing of a pass is dealt by words: what is exchanged are frames with lines, and lines."""
+    lines = passes.with_next(sung_texts(spark, "/root/testdata/sf0.001"), F.col("duration_ms"))
+    out = passes.align_lines(passes.request(passes.settled(lines), "first", 1.0, 1.0, 9.0, 2), passes.Sound(sung_frames(spark, "/root/testdata/sf0.001"), 40, 10), True)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "posexplode" not in plan and "CoGroup" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_times_of_words_that_were_not_heard():
+    heard = {"words": [None, {"first": 2, "last": 4, "conf": 0.5}, None, None, {"first": 9, "last": 9, "conf": 0.7}]}
+    assert passes.word_times(heard, 5, 1000, 40, 1000, None, None) == [(1080, 1110, None), (1080, 1160, 0.5), (1160, 1260, None), (1260, 1360, None), (1360, 1370, 0.7)]
+    assert passes.word_times(None, 2, 0, 40, 500, 400, 900) == [(500, 700, None), (700, 900, None)]
