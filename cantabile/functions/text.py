@@ -7,7 +7,8 @@ from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,16 +63,29 @@ def artist_title(name: Column) -> tuple[Column, Column]:
     return left, right
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: s if s is None else unicodedata.normalize("NFKC", s))
+#: Strings of a batch that are Python objects at once.
+SLICE = 256
 
 
-@F.pandas_udf(T.StringType())
-def clean_romanized(x: pd.Series) -> pd.Series:
-    """Quotes folded, accents dropped, a-z and apostrophes kept."""
+def by_slices(f: Callable[[str], str], x: pa.Array) -> pa.Array:
+    """f of each string, null of null; a batch of long texts is never whole in Python objects, which are several times larger."""
+    told = [pa.array([None if s is None else f(s) for s in x.slice(i, SLICE).to_pylist()], pa.string()) for i in range(0, len(x), SLICE)]
+    return pa.concat_arrays(told) if told else pa.array([], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def nfkc(x: pa.Array) -> pa.Array:
+    return by_slices(_nfkc, x)
 
-    return x.map(lambda s: None if s is None else _letters(s))
+
+def _nfkc(s: str) -> str:
+    return s if s.isascii() else unicodedata.normalize("NFKC", s)
+
+
+@F.arrow_udf(T.StringType())
+def clean_romanized(x: pa.Array) -> pa.Array:
+    """Quotes folded, accents dropped, a-z and apostrophes kept."""
+    return by_slices(_letters, x)
 
 
 def _letters(s: str) -> str:
@@ -104,10 +118,13 @@ def title_variants(x: Column, normal: bool = True) -> Column:
     return F.aggregate(told, F.array().cast("array<string>"), add)
 
 
-@F.pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """Share of matching characters; 0 if either is empty."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+    told = np.zeros(len(a))
+    for i in range(0, len(a), SLICE):
+        told[i : i + SLICE] = [SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a.slice(i, SLICE).to_pylist(), b.slice(i, SLICE).to_pylist(), strict=True)]
+    return pa.array(told)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -143,13 +160,23 @@ def normalized_words(x: Column, romanizer: Callable[[Column], Column] | None = N
 
     romanizer takes the array of lower-case words, spelled out, and gives one of the same length: a column expression or a pandas UDF.
     """
-    each = lambda f: F.pandas_udf(lambda s: s.map(lambda ws: None if ws is None else [f(w) for w in ws]), T.ArrayType(T.StringType()))
     words = tokens(x)
-    low = F.transform(each(lambda w: unicodedata.normalize("NFKC", w).casefold())(words), _spelled_out)
-    latin = each(_letters)(romanizer(low) if romanizer else low)
+    low = F.transform(_each(lambda w: _nfkc(w).casefold())(words), _spelled_out)
+    latin = _each(_letters)(romanizer(low) if romanizer else low)
     return F.zip_with(words, latin, lambda w, n: F.struct(w.alias("word"), n.alias("normalized")))
 
 
+def _each(f: Callable[[str], str]) -> Callable[[Column], Column]:
+    """f of each string of arrays."""
+
+    def run(words: pa.Array) -> pa.Array:
+        ends = np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, by_slices(f, words.flatten()), mask=words.is_null())
+
+    return F.arrow_udf(run, T.ArrayType(T.StringType()))
+
+
 def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"(\S+)"), F.lit(1))
 

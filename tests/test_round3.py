@@ -1,8 +1,9 @@
 """What the third review found: each test failed before its fix."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cantabile.functions.text import data_uri
+from cantabile.functions.text import SLICE, by_slices, data_uri
 from cantabile.operators import passes, rescue
 from cantabile.plans.catalogue import QUERIES
 from cantabile.sources.views import sung_frames, sung_texts
@@ -48,3 +49,9 @@ def test_times_of_words_that_were_not_heard():
     heard = {"words": [None, {"first": 2, "last": 4, "conf": 0.5}, None, None, {"first": 9, "last": 9, "conf": 0.7}]}
     assert passes.word_times(heard, 5, 1000, 40, 1000, None, None) == [(1080, 1110, None), (1080, 1160, 0.5), (1160, 1260, None), (1260, 1360, None), (1360, 1370, 0.7)]
     assert passes.word_times(None, 2, 0, 40, 500, 400, 900) == [(500, 700, None), (700, 900, None)]
+
+
+def test_batches_of_texts_become_objects_slice_by_slice():
+    given = pa.array([None if i % 5 == 0 else f"Ä{i}" for i in range(2 * SLICE + 3)])
+    assert by_slices(str.lower, given).to_pylist() == [x and x.lower() for x in given.to_pylist()]
+    assert by_slices(str.lower, given.slice(0, 0)).to_pylist() == []
