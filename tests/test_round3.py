@@ -55,3 +55,8 @@ def test_batches_of_texts_become_objects_slice_by_slice():
     given = pa.array([None if i % 5 == 0 else f"Ä{i}" for i in range(2 * SLICE + 3)])
     assert by_slices(str.lower, given).to_pylist() == [x and x.lower() for x in given.to_pylist()]
     assert by_slices(str.lower, given.slice(0, 0)).to_pylist() == []
+
+
+def test_mended_lines_of_a_result_are_made_once(spark):
+    plan = QUERIES["B6_result"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" not in plan  # all that reads the mended lines reads them settled
