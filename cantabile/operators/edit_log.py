@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cantabile.operators.ordered import settled
+
 #: How many edits can be undone.
 DEPTH = 100
 #: Commands of a track that are applied to its words at once.
@@ -101,7 +103,7 @@ def replay(words: DataFrame, state: DataFrame, of: tuple[str, ...] = ("kept", "u
     Commands go to the words in rounds of `batch` a track: an array of so many is joined to each word and folded over it. A track with many words is
     one that the engine may split in the join; a track with many commands takes more rounds. Commands on a place without a word do nothing.
     """
-    held = state.where(F.col("state").isin(*of)).withColumn("_round", F.expr(f"place div {batch}"))
+    held = settled(state.where(F.col("state").isin(*of)).withColumn("_round", F.expr(f"place div {batch}")))  # read once for each round and twice more
     kinds = {"line_idx": "bigint", "word_idx": "bigint", "word": "string", "start_ms": "bigint", "end_ms": "bigint"}
     born = held.where("command = 'add'").select("track_id", F.col("line").alias("line_idx"), F.col("word").alias("word_idx"), F.col("text").alias("word"), F.col("at").alias("start_ms"), (F.col("at") + 400).alias("end_ms"), F.col("place").alias("_born"))
     now = words.select("track_id", *(F.col(c).cast(t).alias(c) for c, t in kinds.items()), F.lit(-1).cast("bigint").alias("_born")).unionByName(born)

@@ -60,3 +60,8 @@ def test_batches_of_texts_become_objects_slice_by_slice():
 def test_mended_lines_of_a_result_are_made_once(spark):
     plan = QUERIES["B6_result"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert "MapInArrow" not in plan  # all that reads the mended lines reads them settled
+
+
+def test_a_log_is_replayed_from_what_stands_once(spark):
+    plan = QUERIES["P9_replay"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" not in plan
