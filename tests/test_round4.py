@@ -1,10 +1,13 @@
 """What the fourth review found: each test failed before its fix."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql
 from cantabile.functions.text import word_units
 from cantabile.operators import rescue
+from cantabile.plans.catalogue import QUERIES
 
 
 def test_tempo_on_half_a_billionth_is_rounded_as_sql_rounds_it(spark):
@@ -21,3 +24,22 @@ def test_units_are_the_double_next_to_their_decimals(spark):
     words = ["aeioul", "mae", "x", "", "lamour"]
     got = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(word_units(F.col("w"))).collect()]
     assert got == [5.72, 2.72, 1.0, 1.0, 5.16]
+
+
+def repeated(spark, path, times):
+    """Events of sf0.01, each `times` times under ids of their own in the track it came from."""
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    many = events.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("event_id", F.col("event_id") + F.col("_r") * 10_000_000).drop("_r")
+    many.coalesce(1).write.parquet(f"{path}/events.parquet")
+
+
+@pytest.mark.parametrize("name", ["H16_reconstruct", "F11_tempo_prior"])
+def test_words_set_anew_on_half_a_millisecond_equal_the_sql(spark, tmp_path, name):
+    """Lines of equal words share their room into equal parts, many of which end on a half."""
+    repeated(spark, tmp_path, 6)
+    have = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()), key=str)
+    with duckdb.connect() as c:
+        c.execute("SET threads = 1")
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = sorted(c.execute(oracle_sql()[name]).fetchall(), key=str)
+    assert len(have) == len(want) and have == want
