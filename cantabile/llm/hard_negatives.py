@@ -4,9 +4,10 @@ Rows are packed into blocks of about ROWS rows, anchors into blocks of ANCHORS,
 block and a row block meet for each chunk in a task of their own and make a partial tile of scores; partial tiles are shuffled in strips of STRIP anchors
 and added up as 64-bit integers. The strips are written once and read twice: for the best rows of an anchor's own label in
 each strip, merged into its positives, and for the best rows of other labels in the window of each of these positives. What is merged is a
-few rows for each strip and anchor, cut again by Spark before it is shuffled. No task holds more than a block of rows or a strip.
+few rows for each strip and anchor, cut again by Spark before it is shuffled. No task holds more than a block of rows or a strip, and the driver holds no block.
 
-The work is anchors times rows times dimensions, as all anchors are asked against all rows; nothing is left out. Products are computed in floating point where the block's
+The work is anchors times rows times dimensions, as all anchors are asked against all rows; nothing is left out. It goes by rounds of anchor blocks, each of them
+against all rows, so that what lies on disk at once is tiles of PAIRS scores, or those of one anchor block, not of all. Products are computed in floating point where the block's
 largest numbers show that every sum stays exact (under 2**53), else in integers.
 
 Defined results: rows with a null label, vector or component, or a component that isn't finite, take no part; shorter vectors count as filled up with
@@ -25,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cantabile.llm.common import Shelf, bounded_batches, checkpoint, is_small, table
+from cantabile.llm.common import Shelf, bounded_batches, checkpoint, is_small, release, remove, shared_path, table
 
 ROWS, ANCHORS, CHUNK, STRIP = 2048, 512, 32, 64
+#: Scores of one round of anchor blocks.
+PAIRS = 1 << 29
 #: Strips' worth of positives that may be broadcast; each has a few hundred small rows at most.
 BROADCAST_STRIPS = 2000
 BOUND = 1 << 26
@@ -85,12 +88,27 @@ def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x.astype(np.int64) @ y.astype(np.int64).T
 
 
-def partial_tiles(anchors: DataFrame, rows: DataFrame, n_anchor_blocks: int, n_row_blocks: int, chunk: int, strip: int) -> DataFrame:
-    """(i, j, strip, a, b, scores): each anchor block against each row block, for each chunk of dimensions."""
-    a = anchors.select(F.col("block").alias("i"), "chunk", F.arrays_zip(*HEAD).alias("a"), F.col("matrix").alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(n_row_blocks - 1))).alias("j"))
-    b = rows.select(F.col("block").alias("j"), "chunk", F.arrays_zip(*HEAD).alias("b"), F.col("matrix").alias("_y"), F.explode(F.sequence(F.lit(0), F.lit(n_anchor_blocks - 1))).alias("i"))
+def narrow(scores: np.ndarray) -> np.ndarray:
+    """The same in 32 bits, if they fit."""
+    return scores.astype(np.int32) if np.abs(scores).max(initial=0) < 1 << 31 else scores
+
+
+def wide(raw: pa.Buffer, n: int) -> np.ndarray:
+    """n scores of 32 or 64 bits."""
+    return np.frombuffer(raw, np.int32 if len(raw) == 4 * n else np.int64)
+
+
+def partial_tiles(anchors: DataFrame, rows: DataFrame, anchor_blocks: range, n_row_blocks: int, chunk: int, strip: int) -> DataFrame:
+    """(i, j, strip, a, b, scores): each of these anchor blocks against each row block, for each chunk of dimensions."""
+    mine = anchors.where(F.col("block").between(anchor_blocks[0], anchor_blocks[-1]))
+    a = mine.select(F.col("block").alias("i"), "chunk", F.arrays_zip(*HEAD).alias("a"), F.col("matrix").alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(n_row_blocks - 1))).alias("j"))
+    every = F.explode(F.sequence(F.lit(anchor_blocks[0]), F.lit(anchor_blocks[-1]))).alias("i")
+    b = rows.select(F.col("block").alias("j"), "chunk", F.arrays_zip(*HEAD).alias("b"), F.col("matrix").alias("_y"), every)
+    # a side's files are small, but a block is there once for each block it meets: Spark must not broadcast it by the size of its files, nor put its tiles into a few tasks
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = ["i", "j", "chunk"]
     # a chunk that one side hasn't got is zero there; chunk 0 is on both sides and brings the heads
-    pairs = a.join(b, ["i", "j", "chunk"])
+    pairs = a.repartition(parts, *met).join(b.repartition(parts, *met).hint("merge"), met)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +117,7 @@ def partial_tiles(anchors: DataFrame, rows: DataFrame, n_anchor_blocks: int, n_r
                 x, y = (np.frombuffer(row[c][0].as_buffer(), np.int32).reshape(-1, chunk) for c in ("_x", "_y"))
                 head_a, head_b = ((row[c][0].values if row[c][0].is_valid else None) for c in ("a", "b"))
                 for s in range(0, len(x), strip):
-                    scores = product(x[s : s + strip], y)
+                    scores = narrow(product(x[s : s + strip], y))
                     yield pa.RecordBatch.from_arrays(
                         [
                             row["i"], row["j"], pa.array([s // strip], pa.int32()), lists(None if head_a is None else head_a.slice(s, strip)), lists(head_b),
@@ -126,12 +144,11 @@ def added(partial: DataFrame) -> DataFrame:
     """Partial tiles added up; a sum that fits is kept in 32 bits."""
 
     def add(parts: pa.Table) -> pa.Table:
-        total = np.zeros(len(parts["scores"][0].as_buffer()) // 8, np.int64)
-        for s in parts["scores"]:
-            total += np.frombuffer(s.as_buffer(), np.int64)
-        small = np.abs(total).max(initial=0) < 1 << 31
         head = next(i for i in range(len(parts)) if parts["a"][i].is_valid)
-        scores = pa.chunked_array([pa.array([(total.astype(np.int32) if small else total).tobytes()], pa.binary())])
+        total = np.zeros(len(parts["a"][head]) * len(parts["b"][head]), np.int64)
+        for s in parts["scores"]:
+            total += wide(s.as_buffer(), len(total))
+        scores = pa.chunked_array([pa.array([narrow(total).tobytes()], pa.binary())])
         return parts.slice(head, 1).set_column(parts.schema.get_field_index("scores"), "scores", scores)
 
     return partial.groupBy("i", "j", "strip").applyInArrow(add, TILE)
@@ -151,9 +168,8 @@ def read_strip(batch: pa.RecordBatch, at: int) -> Strip:
         return tuple(v.field(k).fill_null(NO_ID).to_numpy(zero_copy_only=False) for k in range(3))
 
     a, b = head("a"), head("b")
-    raw = batch["scores"][at].as_buffer()
-    wide = np.int32 if len(raw) == 4 * len(a[0]) * len(b[0]) else np.int64
-    return Strip(a, b, np.frombuffer(raw, wide).reshape(len(a[0]), len(b[0])).astype(np.int64))
+    scores = wide(batch["scores"][at].as_buffer(), len(a[0]) * len(b[0]))
+    return Strip(a, b, scores.reshape(len(a[0]), len(b[0])).astype(np.int64))
 
 
 def best(scores: np.ndarray, ids: np.ndarray, among: np.ndarray, k: int) -> np.ndarray:
@@ -222,8 +238,8 @@ def top(found: DataFrame, by: list[str], k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def mine(rows: DataFrame, is_anchor: Column, mining: Mining = Mining(), sizes: tuple[int, int, int, int] = (ROWS, ANCHORS, CHUNK, STRIP)) -> DataFrame:
-    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score. rows: quantised; is_anchor: over its id."""
+def mine(rows: DataFrame, is_anchor: Column, mining: Mining = Mining(), sizes: tuple[int, int, int, int] = (ROWS, ANCHORS, CHUNK, STRIP), pairs: int = PAIRS) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score. rows: quantised; is_anchor: over its id; pairs: scores of one round."""
     spark = rows.sparkSession
     bounded_batches(spark)
     n_rows, n_anchors, chunk, strip = sizes
@@ -235,13 +251,23 @@ def mine(rows: DataFrame, is_anchor: Column, mining: Mining = Mining(), sizes: t
     shelf = Shelf(spark)
     b = shelf.put(packed(known, deal(blocks), chunk))
     a = shelf.put(packed(anchors, deal(anchor_blocks), chunk))
-    strips = shelf.put(added(partial_tiles(a, b, anchor_blocks, blocks, chunk, strip)))
+    at_once = max(1, pairs // max(1, count[0] * n_anchors))
+    found = shared_path(spark, "negatives")
+    for first in range(0, anchor_blocks, at_once):
+        some = range(first, min(first + at_once, anchor_blocks))
+        strips = shelf.put(added(partial_tiles(a, b, some, blocks, chunk, strip)))
+        positives = checkpoint(top(own_label(strips, mining.positives), ["anchor"], mining.positives).drop("rank"))
+        wanted = checkpoint(positives.groupBy("i", "strip").agg(F.collect_list(F.struct("spot", "found", "found_id", "score")).alias("wanted")))
+        asked = strips.join(F.broadcast(wanted) if is_small(wanted, BROADCAST_STRIPS) else wanted, ["i", "strip"])
+        negatives = top(in_windows(asked, mining), ["anchor", "positive"], mining.negatives)
+        negatives.write.mode("append").parquet(found)
+        shelf.drop(strips)
+        if at_once < anchor_blocks:
+            del positives, wanted, asked  # their files and those of the round's shuffles can go
+            release(spark)
     shelf.drop(a, b)
-    positives = checkpoint(top(own_label(strips, mining.positives), ["anchor"], mining.positives).drop("rank"))
-    wanted = checkpoint(positives.groupBy("i", "strip").agg(F.collect_list(F.struct("spot", "found", "found_id", "score")).alias("wanted")))
-    asked = strips.join(F.broadcast(wanted) if is_small(wanted, BROADCAST_STRIPS) else wanted, ["i", "strip"])
-    negatives = checkpoint(top(in_windows(asked, mining), ["anchor", "positive"], mining.negatives))
-    shelf.drop(strips)
+    negatives = checkpoint(spark.read.schema(negatives.schema).parquet(found))
+    remove(spark, found)
     return negatives.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("found_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
