@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql
 from cantabile.functions.text import word_units
-from cantabile.operators import rescue
+from cantabile.operators import passes, rescue
 from cantabile.plans.catalogue import QUERIES
 
 
@@ -43,3 +43,15 @@ def test_words_set_anew_on_half_a_millisecond_equal_the_sql(spark, tmp_path, nam
         c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
         want = sorted(c.execute(oracle_sql()[name]).fetchall(), key=str)
     assert len(have) == len(want) and have == want
+
+
+def test_words_of_candidates_are_joined_once(spark):
+    """What a word set anew is called goes with it; it isn't looked up in a second copy of all that leads to it."""
+    words = "array<struct<word_idx:int,word:string,normalized:string,start_ms:bigint,end_ms:bigint,conf:double,origin:string>>"
+    kinds = f"track_id long, line_idx long, pass_idx int, words {words}, start_ms long, end_ms long, next_anchor_ms long, lookahead_ms long, conf double, score double, anchor_delta_ms long, lead_ms long, gap_ms long"
+    lines = [(0, 0, i, [(k, f"w{k}", f"w{k}", 1000 * k + 30 * i, 1000 * k + 400, 0.5 + 0.1 * i, "aligned") for k in range(3)], 0, 2400, 3000, None, 0.5, 0.5, 0, 500, None) for i in (0, 1)]
+    priors = spark.createDataFrame([(0, 0, 0.1)], "track_id long, line_idx long, prior double")
+    out = passes.merged(spark.createDataFrame(lines, kinds), priors)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("adaptive_consensus") and sum("Generate explode" in line for line in plan.splitlines()) == 2
+    assert [w.word for w in out.first().words] == ["w0", "w1", "w2"]
